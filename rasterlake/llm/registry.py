@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import line_dedup
+from rasterlake.llm import line_dedup, simhash
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": line_dedup.op7_line_dedup}
+    return {
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

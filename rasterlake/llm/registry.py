@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import line_dedup, simhash
+from rasterlake.llm import itq, line_dedup, simhash
 
 
 def queries() -> dict:
     return {
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_itq_multi_index": itq.op8_itq_multi_index,
         "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,
     }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import itq, line_dedup, simhash
+from rasterlake.llm import itq, line_dedup, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_itq_multi_index": itq.op8_itq_multi_index,
         "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,

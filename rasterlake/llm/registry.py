@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import itq, line_dedup, packing, simhash
+from rasterlake.llm import itq, langid, line_dedup, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_language_profiles": langid.op2_language_profiles,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_itq_multi_index": itq.op8_itq_multi_index,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import itq, langid, line_dedup, packing, simhash
+from rasterlake.llm import itq, langid, line_dedup, packing, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_subsequence_svm": toxicity.op1_subsequence_svm,
         "op2_language_profiles": langid.op2_language_profiles,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,

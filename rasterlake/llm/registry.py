@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import itq, langid, line_dedup, packing, simhash, toxicity
+from rasterlake.llm import decontaminate, itq, langid, line_dedup, packing, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_subsequence_svm": toxicity.op1_subsequence_svm,
         "op2_language_profiles": langid.op2_language_profiles,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
+        "op6_template_decontamination": decontaminate.op6_template_decontamination,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_itq_multi_index": itq.op8_itq_multi_index,
         "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import decontaminate, itq, langid, line_dedup, packing, simhash, toxicity
+from rasterlake.llm import decontaminate, itq, langid, line_dedup, packing, simhash, tool_calls, toxicity
 
 
 def queries() -> dict:
@@ -14,8 +14,12 @@ def queries() -> dict:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_itq_multi_index": itq.op8_itq_multi_index,
         "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,
+        "op10_tool_call_linking": tool_calls.op10_tool_call_linking,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_tool_call_linking": tool_calls.ORACLE_SQL,
+    }

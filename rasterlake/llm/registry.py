@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import decontaminate, itq, langid, line_dedup, packing, simhash, tool_calls, toxicity
+from rasterlake.llm import decontaminate, html_text, itq, langid, line_dedup, packing, simhash, tool_calls, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_subsequence_svm": toxicity.op1_subsequence_svm,
         "op2_language_profiles": langid.op2_language_profiles,
+        "op3_layout_html": html_text.op3_layout_html,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op6_template_decontamination": decontaminate.op6_template_decontamination,
         "op7_line_dedup": line_dedup.op7_line_dedup,

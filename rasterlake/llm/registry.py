@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import decontaminate, html_text, itq, langid, line_dedup, packing, simhash, tool_calls, toxicity
+from rasterlake.llm import decontaminate, html_text, itq, langid, line_dedup, packing, simhash, token_counts, tool_calls, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_profiles": langid.op2_language_profiles,
         "op3_layout_html": html_text.op3_layout_html,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
+        "op5_edit_aware_counts": token_counts.op5_edit_aware_counts,
         "op6_template_decontamination": decontaminate.op6_template_decontamination,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_itq_multi_index": itq.op8_itq_multi_index,

@@ -52,9 +52,13 @@ class Coder:
         self.words = Words(self.encode)
 
     def packed(self, text: str) -> bytes:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        led = text[:1] == " "
+        body = text[1:] if led else text
+        if len(body.split()) != body.count(" ") + body.count("\n") + 1:
             return np.array(self.encode(text), dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
+        if led:
+            return b"".join(map(self.words.__getitem__, body.split(" ")))
+        first, *rest = body.split(" ")
         return b"".join(chain([np.array(self.encode(first), dtype="<u2").tobytes()], map(self.words.__getitem__, rest)))
 
 

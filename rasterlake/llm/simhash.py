@@ -13,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm.common import stored, table
 from rasterlake.llm.graph import bucket_blocks, components, forest
 
 BLOCK = 512
+#: Bits of a segment from which it is a key of its own.
+SELECTIVE = 16
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -54,12 +56,16 @@ def chained(x: np.ndarray, start: int, max_bits: int) -> np.ndarray:
 
 
 def links_of(start: int, left: np.ndarray, right: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs that link in one block, found chain by chain, row by row in slices."""
+    """Indices of the pairs that link in one block, in slices of rows: the shortest chains prune first."""
     other, found = left if right is None else right, []
+    seg = segments(max_bits)
+    near = np.uint64(0)
+    for k in (start, (start + 1) % len(seg)):
+        near |= np.uint64(((1 << seg[k][1]) - 1) << seg[k][0])
     step = max(1, (1 << 20) // max(1, len(other)))
     for at in range(0, len(left), step):
         x = left[at : at + step, None] ^ other[None, :]
-        i, j = np.divmod(np.arange(x.size), len(other))
+        i, j = np.nonzero(np.bitwise_count(x & near) * len(seg) <= 2 * max_bits)
         if right is None:
             ahead = i + at < j
             i, j = i[ahead], j[ahead]
@@ -70,6 +76,23 @@ def links_of(start: int, left: np.ndarray, right: np.ndarray | None, max_bits: i
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def chain_keys(max_bits: int) -> list[Column]:
+    """Structs (start, wiped, value): fingerprints that link have one of them in common.
+
+    A chain begins with an equal segment. Where segments are short, the next one is in the key too: a chain of two
+    differs in at most one bit, so it is equal but for one bit that is wiped out.
+    """
+    part = lambda low, bits: F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1)
+    seg, out = segments(max_bits), []
+    for k, (low, bits) in enumerate(seg):
+        low2, bits2 = seg[(k + 1) % len(seg)]
+        if bits >= SELECTIVE:
+            out.append(F.struct(F.lit(k).alias("start"), F.lit(-1).alias("wiped"), part(low, bits).alias("value")))
+        else:
+            out += [F.struct(F.lit(k).alias("start"), F.lit(p).alias("wiped"), (part(low, bits) * (1 << bits2) + part(low2, bits2).bitwiseAND(((1 << bits2) - 1) & ~(1 << p))).alias("value")) for p in range(bits2)]
+    return out
+
+
 def block_links(max_bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,9 +128,8 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
     prints = F.pandas_udf(lambda s: s.map(lambda t: fingerprint(t, words)).astype("int64"), "long")
     fps = stored(docs.select(F.col(f"`{id_col}`").alias("_id"), prints(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("_id").alias("_rep"))
-    cut = [F.struct(F.lit(k).alias("start"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1).alias("value")) for k, (low, bits) in enumerate(segments(max_bits))]
-    parts = reps.select("fp", F.explode(F.array(*cut)).alias("_s")).select("fp", "_s.start", "_s.value")
-    blocks = bucket_blocks(parts, ["start", "value"], "fp", BLOCK).select("start", "left", "right")
+    parts = reps.select("fp", F.explode(F.array(*chain_keys(max_bits))).alias("_s")).select("fp", "_s.*")
+    blocks = bucket_blocks(parts, ["start", "wiped", "value"], "fp", BLOCK).select("start", "left", "right")
     links = blocks.mapInPandas(block_links(max_bits), "a long, b long")
     linked = components(links)
     roots = reps.join(linked, reps.fp == linked.node, "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
@@ -116,6 +138,18 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
     return fps.join(known, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, max_bits: int = 6, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their group, once each; rows with a null id stay."""
+    groups = simhash_groups(docs, max_bits, words, id_col, text_col)
+    first = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__first")).agg(F.count(F.lit(1)).alias("__rows"))
+    first = stored(first, "firsts")
+    found = docs.join(first, docs[id_col] == first["__first"], "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where((F.col("__rows") == 1) | F.col(f"`{id_col}`").isNull()).select(*own)
+    again = found.where(F.col("__rows") > 1).dropDuplicates([id_col]).select(*own)
+    return once.unionByName(again)
+
+
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

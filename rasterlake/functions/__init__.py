@@ -1 +1 @@
-"""Part of rasterlake."""
+"""Column functions over pixels, bytes and file names."""

@@ -1 +1 @@
-"""Part of rasterlake."""
+"""Operators over images, frames and pixels."""

@@ -1 +1 @@
-"""Part of rasterlake."""
+"""Image files as rows: reading, decoding, encoding and writing."""

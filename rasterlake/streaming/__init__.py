@@ -1 +1 @@
-"""Part of rasterlake."""
+"""Image files as a stream, and windowed counts of animation frames."""

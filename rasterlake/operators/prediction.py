@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image_id", "frame_idx", "y").orderBy("x")
 CHANNELS = ("r", "g", "b", "a")
 
 
+def row() -> WindowSpec:
+    return Window.partitionBy("image_id", "frame_idx", "y").orderBy("x")
+
+
 def difference(c: str) -> Column:
     """A sample less its left neighbour, modulo 256: PNG's Sub filter and TIFF's horizontal predictor."""
-    return F.pmod(F.col(c) - F.lag(c, 1, 0).over(ROW), F.lit(256)).cast("int").alias(c)
+    return F.pmod(F.col(c) - F.lag(c, 1, 0).over(row()), F.lit(256)).cast("int").alias(c)
 
 
 def running(c: str) -> Column:
     """The inverse of difference."""
-    return F.pmod(F.sum(c).over(ROW.rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias(c)
+    return F.pmod(F.sum(c).over(row().rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias(c)
 
 
 def predicted(pixels: DataFrame) -> DataFrame:
@@ -30,8 +33,8 @@ def unpredicted(pixels: DataFrame) -> DataFrame:
 def runs(pixels: DataFrame, longest: int = 128) -> DataFrame:
     """Run-length packets of equal pixels in a row, of at most `longest` pixels: image_id, frame_idx, y, x (start), n."""
     word = F.struct(*CHANNELS)
-    starts = pixels.withColumn("new", F.coalesce((word != F.lag(word).over(ROW)).cast("int"), F.lit(1)))
-    numbered = starts.withColumn("run", F.sum("new").over(ROW.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = pixels.withColumn("new", F.coalesce((word != F.lag(word).over(row())).cast("int"), F.lit(1)))
+    numbered = starts.withColumn("run", F.sum("new").over(row().rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("image_id", "frame_idx", "y", "run").orderBy("x")
     split = numbered.withColumn("packet", F.floor((F.row_number().over(own) - 1) / longest))
     return split.groupBy("image_id", "frame_idx", "y", "run", "packet").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).drop("run", "packet")

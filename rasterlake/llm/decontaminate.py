@@ -8,110 +8,137 @@ and mere look-alikes are not.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import stored, table
+from rasterlake.llm.common import bounded_batches, stored, table
 
 WORDS, SHARE, RUN = 5, 0.8, 13
 #: Benchmark windows up to which they are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
-TOKENS_KEPT = 1_000_000
 
 #: Units of measure and currency that count after a number.
-UNITS = frozenset(
+UNITS = (
     "mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet g kg mg lb lbs oz gram grams ton tons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
-    "l ml liter liters litre litres w kw v a hz khz mhz ghz b kb mb gb tb mph kmh kph percent % cent cents "
-    "dollar dollars euro euros pound pounds usd eur gbp $ € £ degrees °c °f".split()
-)
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[^\W\d_]{1,3})?")
-EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
-IS_NUMBER, IS_CAPITAL, ENDS, IS_UNIT, IS_WORD = 1, 2, 4, 8, 16
-FLAGS = 31
-NUM, NAME, UNIT = (xxhash.xxh64_intdigest(s) & ~FLAGS for s in ("<number>", "<name>", "<unit>"))
-
-
-class Tokens(dict):
-    """A token's hash, with what it may be in its lowest bits."""
-
-    def __missing__(self, token: str) -> int:
-        bare = EDGE.sub("", token)
-        flags = ENDS if token[-1] in ".!?:\0" else 0
-        if any(map(str.isalnum, bare)) or bare in UNITS:
-            flags |= IS_WORD
-            if NUMBER.fullmatch(bare):
-                flags |= IS_NUMBER
-            elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
-                flags |= IS_CAPITAL
-            if bare.lower() in UNITS:
-                flags |= IS_UNIT
-        value = xxhash.xxh64_intdigest(bare.lower()) & ~FLAGS | flags
-        if len(self) >= TOKENS_KEPT:
-            self.clear()
-        self[token] = value
-        return value
-
-
-_tokens = Tokens()
-
-
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(hashes of template words, whether each is a placeholder, all tokens, places of the words among them).
-
-    A number, also with a unit on it, a capitalised word that does not begin a sentence, and a unit after a number are
-    placeholders. Tokens without a letter or digit are left out; other words are lower-cased, without punctuation.
+    "l ml liter liters litre litres w kw v a hz khz mhz ghz b kb mb gb tb mph kmh kph percent cent cents "
+    "dollar dollars euro euros pound pounds usd eur gbp degrees"
+).split()
+ALNUM, DIGIT, UPPER, SPACE, END = 1, 2, 4, 8, 16
+NUM, NAME, UNIT = (np.uint64(x) for x in (0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003))
+
+
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what a code point is, its lower case, powers for hashing); code points of over 16 bits are taken as small letters."""
+    kind, low = np.full(1 << 16, ALNUM, dtype=np.uint8), np.arange(1 << 16, dtype=np.uint64)
+    for i in range((1 << 16) - 1):
+        c = chr(i)
+        kind[i] = ALNUM * c.isalnum() | DIGIT * c.isdecimal() | UPPER * c.isupper() | SPACE * c.isspace() | END * (c in ".!?:")
+        low[i] = ord(c.lower()[0])
+    power = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], dtype=np.uint64)
+    return kind, low, power
+
+
+@dataclass
+class Template:
+    """Words of some texts in a row: hash or placeholder, whether it is one, and in which text from where to where."""
+
+    h: np.ndarray
+    slot: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def templates(texts: list[str | None]) -> Template:
+    """The texts' words, lower-cased and without all but letters and digits.
+
+    A number (digits first, with at most three letters on it), a capitalised word that does not begin a line or sentence,
+    and a unit after a number become placeholders. Tokens without a letter or digit are left out.
     """
-    tokens = (text or "").replace("\n", " \0 ").split()
-    h = np.fromiter(map(_tokens.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    starts = np.concatenate([[True], (h[:-1] & np.uint64(ENDS)) > 0]) if len(h) else np.zeros(0, dtype=bool)
-    at = np.flatnonzero(h & np.uint64(IS_WORD))
-    # A sentence also begins after an end mark that stands alone.
-    begins = np.concatenate([[0], np.cumsum(starts)])
-    starts = begins[at + 1] > np.concatenate([[0], begins[at[:-1] + 1]]) if len(at) else starts[:0]
-    h = h[at]
-    number = (h & np.uint64(IS_NUMBER)) > 0
-    name = ((h & np.uint64(IS_CAPITAL)) > 0) & ~starts
-    unit = ((h & np.uint64(IS_UNIT)) > 0) & np.concatenate([[False], number[:-1]]) if len(h) else number
-    out = h & ~np.uint64(FLAGS)
+    whole = [t or "" for t in texts]
+    kind, low, power = characters()
+    points = np.frombuffer(("\n".join(whole) + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    c = kind[np.minimum(points, 0xFFFF)]
+    space = np.concatenate([[True], (c & SPACE) > 0])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    kept = np.flatnonzero(c & ALNUM)
+    first = np.searchsorted(kept, starts)
+    count = np.diff(first, append=len(kept))
+    word = np.flatnonzero(count)
+    first, count = first[word], count[word]
+    if not len(word):
+        return Template(*(np.zeros(0, dtype=t) for t in (np.uint64, bool, np.int64, np.int64, np.int64)))
+    rank = np.arange(len(kept)) - np.repeat(first, count)
+    k, own = c[kept], points[kept]
+    small = np.where(own > 0xFFFF, own.astype(np.uint64), low[np.minimum(own, 0xFFFF)])
+    h = mixed(np.add.reduceat((small + np.uint64(1)) * power[rank & 255], first))
+    digits, uppers = (np.add.reduceat((k & bit) > 0, first, dtype=np.int64) for bit in (DIGIT, UPPER))
+    number = ((k[first] & DIGIT) > 0) & (count - digits <= 3)
+    capital = ((k[first] & UPPER) > 0) & (uppers == 1) & (count > 1) & (digits == 0)
+    stops = np.concatenate([[0], np.cumsum((c[ends - 1] & END) > 0)])[word] + np.cumsum(points == 10)[starts[word]]
+    begins = np.concatenate([[True], stops[1:] > stops[:-1]])
+    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in whole])])
+    text = np.searchsorted(base, starts[word], side="right") - 1
+    after = np.flatnonzero(number[:-1] & (text[1:] == text[:-1])) + 1
+    unit = np.zeros(len(h), dtype=bool)
+    unit[after[np.isin(h[after], unit_hashes())]] = True
+    name = capital & ~begins
     for mask, value in ((number, NUM), (name, NAME), (unit, UNIT)):
-        out[mask] = np.uint64(value)
-    return out, number | name | unit, tokens, at
+        h[mask] = value
+    return Template(h, number | name | unit, text, starts[word] - base[text], ends[word] - base[text])
+
 
+@lru_cache(maxsize=1)
+def unit_hashes() -> np.ndarray:
+    _, _, power = characters()
+    return mixed(np.array([sum((ord(x) + 1) * int(power[i]) for i, x in enumerate(u)) % (1 << 64) for u in UNITS], dtype=np.uint64))
 
-def windows(h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the windows of five words, of which at least two are not placeholders."""
-    n = len(h) - WORDS + 1
+
+def windows(t: Template) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the windows of five words of one text, of which at least two are not placeholders."""
+    n = len(t.h) - WORDS + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     key = np.zeros(n, dtype=np.uint64)
     for k in range(WORDS):
-        key = (key ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ t.h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    at = np.flatnonzero(slots[WORDS:] - slots[:-WORDS] <= WORDS - 2)
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    at = np.flatnonzero((slots[WORDS:] - slots[:-WORDS] <= WORDS - 2) & (t.text[WORDS - 1 :] == t.text[:n]))
     return at, key[at].view(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def window_hashes(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(windows(*template(t)[:2])[1]) for t in texts])
+    """A text's windows; one that stands twice may be given twice."""
+    out = []
+    for at in range(0, len(texts), 256):
+        part = list(texts.iloc[at : at + 256])
+        t = templates(part)
+        place, key = windows(t)
+        out += np.split(key, np.searchsorted(t.text[place], np.arange(1, len(part))))
+    return pd.Series(out, dtype=object)
 
 
 def compare(text: str | None, item: str | None) -> tuple[float, int, dict[str, str]]:
     """(share of the item's different windows that the text holds with consistent slots, words of the longest run of
     such windows, what stands for the item's placeholders)."""
-    th, tslot, ttok, tat = template(text)
-    ih, islot, itok, iat = template(item)
-    tpos, tkey = windows(th, tslot)
-    ipos, ikey = windows(ih, islot)
+    ours, theirs = templates([text]), templates([item])
+    (tpos, tkey), (ipos, ikey) = windows(ours), windows(theirs)
     if not len(ikey):
         return 0.0, 0, {}
     places = defaultdict(list)
@@ -119,16 +146,19 @@ def compare(text: str | None, item: str | None) -> tuple[float, int, dict[str, s
     for p, k in zip(tpos[shared].tolist(), tkey[shared].tolist(), strict=True):
         places[k].append(p)
     pairs = [(i, t, k) for i, k in zip(ipos.tolist(), ikey.tolist(), strict=True) for t in places.get(k, ())]
-    # Where a window stands at several places, those on the most common diagonals go first.
+    # Where a window stands at several places, those on the most common diagonals weigh most.
     diagonal = Counter(t - i for i, t, _ in pairs)
-    value = lambda tok, at, k: EDGE.sub("", tok[at[k]]).lower()
+
+    def value(source: str, t: Template, k: int) -> str:
+        return source[t.start[k] : t.end[k]].lower().strip(".,;:!?\"'()[]{}")
+
     votes = defaultdict(Counter)
     for i, t, _ in pairs:
         for k in range(WORDS):
-            if islot[i + k]:
-                votes[value(itok, iat, i + k)][value(ttok, tat, t + k)] += diagonal[t - i]
+            if theirs.slot[i + k]:
+                votes[value(item, theirs, i + k)][value(text, ours, t + k)] += diagonal[t - i]
     bound = {a: min(c, key=lambda b, c=c: (-c[b], b)) for a, c in votes.items()}
-    good = {(i, k) for i, t, k in pairs if all(not islot[i + j] or bound[value(itok, iat, i + j)] == value(ttok, tat, t + j) for j in range(WORDS))}
+    good = {(i, k) for i, t, k in pairs if all(not theirs.slot[i + j] or bound[value(item, theirs, i + j)] == value(text, ours, t + j) for j in range(WORDS))}
     on = {i for i, _ in good}
     run = best = 0
     for i in ipos.tolist():
@@ -152,9 +182,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run:
     - null ids pass through; rows that repeat an id and text give one row; a null item_id is an item like others.
     - repeated items are found once each under their item_id. Other columns are not read. Empty tables give no rows.
     """
+    bounded_batches(docs.sparkSession)
     item = benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("_item_text")).where("_item_text is not null").distinct()
     item = stored(item.withColumns({"_ih": F.xxhash64("_item", "_item_text"), "_keys": window_hashes("_item_text")}), "items")
-    keys = item.select("_ih", F.size("_keys").alias("_of"), F.explode("_keys").alias("_key"))
+    keys = item.select("_ih", F.size(F.array_distinct("_keys")).alias("_of"), F.explode(F.array_distinct("_keys")).alias("_key"))
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").withColumn("_h", F.xxhash64("_id", "_text"))

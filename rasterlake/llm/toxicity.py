@@ -9,7 +9,7 @@ is a logistic function of its two highest word decisions and of how many are sus
 from __future__ import annotations
 
 import math
-import re
+import string
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,30 +17,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import stored, table
+from rasterlake.llm.common import bounded_batches, stored, table
 from rasterlake.llm.langid import fold
 
 #: Labelled texts that the model is fitted on, at most; words without a toxic text that it learns from, at most.
 SAMPLE, CLEAN_WORDS, TOXIC_WORDS = 10_000, 20_000, 5_000
 LANDMARKS, INNER, PREFIX, SPAN, TYPICAL = 64, 5, 8, 24, 4
 DECAY, POWER, SHARE = 0.7, 2, 0.75
-WORDS_KEPT, LEAST = 1_000_000, -3.0
-JUNK = re.compile(r"[^\w\s]+|_+")
+WORDS_KEPT, LEAST, CHUNK = 500_000, -3.0, 4_000
+PUNCTUATION = string.punctuation.encode()
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without punctuation, each after a ^ that marks its start; a run of three or more single
+    """Lower-cased words without ASCII punctuation, each after a ^ that marks its start; a run of three or more single
     characters also gives one joined word."""
-    words = JUNK.sub("", (text or "").lower()).split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).decode("utf-8", "surrogatepass").split()
+    if not words:
+        return []
     joined, run = [], []
-    for w in [*(w if len(w) == 1 else "" for w in words), ""] if sum(len(w) == 1 for w in words) > 2 else []:
+    for w in [*(w if len(w) == 1 else "" for w in words), ""] if list(map(len, words)).count(1) > 2 else []:
         if w:
             run.append(w)
         else:
             if len(run) > 2:
                 joined.append("".join(run))
             run = []
-    return ["^" + w for w in words + joined]
+    return ("^" + " ^".join(words + joined)).split(" ")
 
 
 def spans(word: str) -> list[str]:
@@ -56,10 +58,19 @@ def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def letter_sets(codes: np.ndarray) -> np.ndarray:
-    """A bit for each letter (modulo 64) of each word."""
+def letter_sets(codes: np.ndarray, gap: int) -> np.ndarray:
+    """Three words of bits for each row: its letters (modulo 64), and its pairs of letters up to `gap` apart (128 bits)."""
     bits = np.where(codes > 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+    out = np.zeros((len(codes), 3), dtype=np.uint64)
+    out[:, 0] = np.bitwise_or.reduce(bits, axis=1)
+    wide = codes.astype(np.uint32)
+    for d in range(1, min(gap, codes.shape[1] - 1) + 1):
+        place = (wide[:, :-d] * np.uint32(0x9E3779B1) + wide[:, d:] * np.uint32(0x85EBCA77)) >> np.uint32(25)
+        bit = np.where(codes[:, d:] > 0, np.uint64(1) << (place & np.uint32(63)).astype(np.uint64), np.uint64(0))
+        high = place > 63
+        out[:, 1] |= np.bitwise_or.reduce(np.where(high, np.uint64(0), bit), axis=1)
+        out[:, 2] |= np.bitwise_or.reduce(np.where(high, bit, np.uint64(0)), axis=1)
+    return out
 
 
 def reach(n: int, decay: float) -> np.ndarray:
@@ -70,34 +81,43 @@ def reach(n: int, decay: float) -> np.ndarray:
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
     """For padded rows s[i], t[i]: the sum over common subsequences of 3 characters of decay ** (span in s + span in t)."""
-    same = ((s[:, :, None] == t[:, None, :]) & (s > 0)[:, :, None]).astype(np.float32)
-    down, across = reach(s.shape[1], decay), reach(t.shape[1], decay).T
+    # Places of s come first, so that a step along s is a step over contiguous blocks.
+    s, across = s.T[:, :, None], reach(t.shape[1], decay).T
+    same = ((s == t[None, :, :]) & (s > 0)).astype(np.float32)
     ends = same * np.float32(decay * decay)
     for _ in range(2):
-        ends = same * np.matmul(down, np.matmul(ends, across))
-    return ends.sum(axis=(1, 2), dtype=np.float64)
+        before = np.zeros_like(ends)
+        for i in range(1, len(ends)):
+            np.add(before[i - 1], ends[i - 1], out=before[i])
+            before[i] *= np.float32(decay)
+        ends = same * (before.reshape(-1, t.shape[1]) @ across).reshape(before.shape)
+    return ends.sum(axis=(0, 2), dtype=np.float64)
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([subsequence_kernel(codes[i : i + 20_000], codes[i : i + 20_000]) for i in range(0, len(codes), 20_000)] or [np.zeros(0)])
+    return np.concatenate([subsequence_kernel(codes[i : i + CHUNK], codes[i : i + CHUNK]) for i in range(0, len(codes), CHUNK)] or [np.zeros(0)])
 
 
 def similarities(words: list[str], marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, mark, k): normalised kernels to the power POWER, of the pairs where the word holds most letters of the
-    mark; the rest count as 0."""
+    mark, and half of its neighbouring letters at most one letter apart; the rest count as 0."""
     if not words or not marks:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
     codes, size = letter_codes(words)
     theirs, _ = letter_codes(marks)
-    sets, own = letter_sets(codes), letter_sets(theirs)
-    need = np.floor(np.bitwise_count(own) * SHARE)
-    pairs = [np.flatnonzero(np.bitwise_count(sets & m) >= n) for m, n in zip(own, need, strict=True)]
+    sets, own = letter_sets(codes, 2), letter_sets(theirs, 1)
+    letters = np.floor(np.bitwise_count(own[:, 0]) * SHARE)
+    pair_bits = np.ceil(np.bitwise_count(own[:, 1:]).sum(axis=1) / 2)
+    pairs = []
+    for mark, n, p in zip(own, letters, pair_bits, strict=True):
+        at = np.flatnonzero(np.bitwise_count(sets[:, 0] & mark[0]) >= n)
+        pairs.append(at[np.bitwise_count(sets[at, 1:] & mark[1:]).sum(axis=1) >= p])
     w, m = np.concatenate(pairs), np.repeat(np.arange(len(marks)), [len(p) for p in pairs])
     k, norm_marks = np.zeros(len(w)), self_kernel(theirs)
     for low, high in ((0, 8), (8, 12), (12, SPAN)):
         at = np.flatnonzero((size[w] > low) & (size[w] <= high))
-        for i in range(0, len(at), 20_000):
-            part = at[i : i + 20_000]
+        for i in range(0, len(at), CHUNK):
+            part = at[i : i + CHUNK]
             k[part] = subsequence_kernel(codes[w[part], :high], theirs[m[part]])
     used, back = np.unique(w, return_inverse=True)
     norm = self_kernel(codes[used])[back] * norm_marks[m]
@@ -173,18 +193,21 @@ def choose_landmarks(ranked: list[str], most: int = LANDMARKS) -> list[str]:
     return out
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on rows (text, toxic), of which `sample` are taken in the order of the texts' hashes.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits a model on the texts of docs (doc_id, text) with labels (doc_id, toxic), of which `sample` are taken, in the
+    order of their ids' hashes; these are few enough to be broadcast.
 
     Word statistics are Spark aggregates; what comes to the driver is bounded by SAMPLE and the word limits. Without
     both labels, or if nothing is typical of toxic texts, the model scores all texts alike.
     """
-    rows = labelled.where("text is not null and toxic is not null").select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = stored(rows.orderBy(F.xxhash64("text")).limit(sample), "labelled")
+    bounded_batches(docs.sparkSession)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = stored(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "labelled")
     toxic, clean = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not toxic or not clean:
         return Model(logit=np.array([-6.0 if clean else 6.0 if toxic else 0.0, 0, 0, 0]))
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]+", "")), r"\s+")
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\p{Punct}+", "")), r"\s+")
     vocabulary = rows.select("toxic", F.explode(F.array_distinct(words)).alias("word")).where(F.length("word").between(3, SPAN - 1))
     vocabulary = stored(vocabulary.groupBy(F.concat(F.lit("^"), "word").alias("word")).agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "words")
     parts = F.expr(f"concat(transform(sequence(4, {PREFIX}), n -> left(word, n)), transform(sequence(1, length(word)), i -> substr(word, i, {INNER})), array(word))")
@@ -271,6 +294,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     - words of over 24 characters are compared in overlapping parts; whole texts of any length are read.
     - repeated rows get the same score; an empty table stays empty; a column named toxicity is replaced.
     """
+    bounded_batches(docs.sparkSession)
     c, a, b, e = map(float, model.logit)
     rest = [F.col(f"`{x}`") for x in docs.columns if x != "toxicity"]
     scored = docs.select(*rest, best_decisions(model)(F.col(f"`{text_col}`")).alias("__d"))
@@ -279,7 +303,6 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
 def op1_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = labels.where(fold(5) != 0).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    model = train(docs, labels.where(fold(5) != 0))
     out = score_toxicity(docs.select("doc_id", "text", (fold(5) == 0).alias("held_out")), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import let, table
+from rasterlake.llm.common import bounded_batches, table
 from rasterlake.llm.tokens import coder
 
 SEGMENT = 256
@@ -107,6 +107,11 @@ class Counts:
         return text, len(part)
 
 
+def whole(n) -> int:
+    """A number as pandas gives it; 0 for null."""
+    return 0 if n is None or n != n else int(n)
+
+
 def counter(path: str):
     packed = coder(path).packed
     return lambda text: len(packed(text)) // 2 if text else 0
@@ -137,7 +142,7 @@ def edited(texts: Column, trees: Column, edits: Column, path: str) -> Column:
                 continue
             counts, encoded = Counts(chars, tokens), 0
             for e in todo if todo is not None else ():
-                text, n = counts.edit(text, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", encode)
+                text, n = counts.edit(text, whole(e["start"]), whole(e["removed"]), e["inserted"] or "", encode)
                 encoded += n
             out.append((text, {"chars": counts.chars, "tokens": counts.tokens}, encoded))
         return pd.DataFrame(out, columns=["text", "tree", "encoded"])
@@ -147,6 +152,7 @@ def edited(texts: Column, trees: Column, edits: Column, path: str) -> Column:
 
 def build_counts(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with tree, the counts of text_col; a null text has a null tree, an empty one a single leaf without tokens."""
+    bounded_batches(docs.sparkSession)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "tree"], count_trees(F.col(f"`{text_col}`"), path).alias("tree"))
 
@@ -167,9 +173,9 @@ def apply_edits(counted: DataFrame, edits_col: str = "edits", vocabulary: str |
 def join_edits(counted: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """counted with the array edits of the rows (id_col, seq, start, removed, inserted), by seq; at most a batch's edits of
     one document come together, so a long log is applied in batches of seq."""
-    e = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "removed", "inserted"))).alias("edits"))
-    e = e.withColumn("edits", F.transform("edits", lambda x: F.struct(x["start"].cast("long").alias("start"), x["removed"].cast("long").alias("removed"), x["inserted"].cast("string").alias("inserted"))))
-    return counted.join(e, id_col, "left")
+    change = F.struct(F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), F.col("inserted").cast("string").alias("inserted"))
+    e = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", change.alias("e")))).alias("edits"))
+    return counted.join(e.select(id_col, "edits.e").withColumnRenamed("e", "edits"), id_col, "left")
 
 
 def total(tree: str) -> Column:
@@ -180,7 +186,8 @@ def total(tree: str) -> Column:
 def sample_edits(text: str) -> Column:
     """Three edits of any text: five characters in its middle replaced, its first ten removed, a line added at its end."""
     change = lambda start, removed, inserted: F.struct(start.cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), F.lit(inserted).alias("inserted"))
-    return let(F.length(text).cast("long"), lambda n: F.array(change(F.floor(n / 2), 5, " or 42 new words"), change(F.lit(0), 10, ""), change(n + 100, 0, "\nThe end.")))
+    n = F.length(text)
+    return F.array(change(F.floor(n / 2), 5, " or 42 new words"), change(F.lit(0), 10, ""), change(n + 100, 0, "\nThe end."))
 
 
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,8 @@ def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
     out = out.withColumn("v", parsed).withColumn("fields", F.try_variant_get("v", "$", "map<string,variant>"))
     out = out.withColumns({"status": status, "errors": F.when(call, errors(F.col("v"), F.col("fields"), F.col("schema")))})
     depth = F.when(~(call | result), -1).otherwise(F.coalesce("depth", F.lit(2**31 - 1))).cast("long")
-    order = F.concat_ws("|", F.lpad((depth + 1).cast("string"), 10, "0"), F.lpad(F.coalesce("turn", F.lit(0)).cast("string"), 19, "0"), F.when(result, "1").otherwise("0"), F.coalesce("call_id", F.lit("")), F.lpad(F.hex("h"), 16, "0"))
+    padded = lambda t: F.lpad(F.coalesce(t, F.lit(0)).cast("string"), 19, "0")
+    order = F.concat_ws("|", F.lpad((depth + 1).cast("string"), 10, "0"), padded(F.coalesce("c.turn", "turn")), F.coalesce("call_id", F.lit("")), F.when(result, "1").otherwise("0"), padded(F.col("turn")), F.lpad(F.hex("h"), 16, "0"))
     as_json = (
         F.when(call, canonical(("arguments", F.when(F.col("fields").isNull(), "null").otherwise(F.to_json("v"))), ("id", F.coalesce(quoted(F.col("call_id")), F.lit("null"))), ("name", F.coalesce(quoted(F.col("name")), F.lit("null"))), ("role", F.lit('"assistant"')), ("type", F.lit('"tool_call"'))))
         .when(result, canonical(("content", F.coalesce(quoted(F.col("content")), F.lit("null"))), ("id", F.coalesce(quoted(F.col("call_id")), F.lit("null"))), ("role", F.lit('"tool"')), ("type", F.lit('"tool_result"'))))

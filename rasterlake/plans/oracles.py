@@ -111,6 +111,22 @@ SQL = {
     "webp_blend": lines(", ".join(f"(CASE WHEN a = 255 THEN {c} WHEN a + 100 * (255 - a) // 255 = 0 THEN 0 ELSE ({c} * a + {u} * (100 * (255 - a) // 255)) // (a + 100 * (255 - a) // 255) END)::INT AS {c}" for c, u in zip("rgb", (10, 200, 90), strict=True)) + ", (CASE WHEN a = 255 THEN 255 ELSE a + 100 * (255 - a) // 255 END)::INT AS a"),
     "frame_durations": "SELECT user_id AS image_id, event_id AS frame_idx, (coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) - epoch_us(ts), 0) / 10000.0) AS q, (floor(q) * 10000)::BIGINT AS duration_us FROM events",
     "hotspots_and_rates": "SELECT p_partkey, round_even(p_size * 20 / 48.0::DOUBLE, 0)::INT AS hotspot, coalesce([6, 12, 9][p_partkey % 5 + 1], 10)::BIGINT AS rate, (rate * 1000 // 60)::BIGINT AS ms FROM part",
+    **{f"header_{k}": f"SELECT vec_id AS image_id, '{k}' AS format, 5::BIGINT AS width, 9::BIGINT AS height, {d}::BIGINT AS depth FROM embeddings" for k, d in (("png", 8), ("bmp", 24), ("tga", 24), ("qoi", 32))},
+    "icon_directory": """SELECT p_partkey, k AS entry, CASE WHEN k = 0 THEN 256 ELSE k END AS width, CASE WHEN k = 0 THEN 256 ELSE 2 * k END AS height, 0::BIGINT AS colors,
+      p_partkey % 200 + k AS x, p_partkey % 100 AS y, k + 256 AS size, (p_size % 4 + 1) * 16 + 6 AS "offset" FROM part, range(4) t(k) WHERE k <= p_size % 4""",
+    "tiff_tags": "SELECT p_partkey, tag, CASE tag WHEN 256 THEN 4 ELSE 3 END AS type, 1::BIGINT AS count, CASE tag WHEN 256 THEN p_partkey ELSE p_size END AS value FROM part, (VALUES (256), (257)) t(tag)",
+    "reversible_color": lines("((r + 2 * g + b) // 4)::INT AS y, b - g AS u, r - g AS v"),
+    "reversible_round_trip": lines("r, g, b"),
+    "wavelet53": f"""WITH {EMB}, h AS (SELECT e.image_id, e.y, e.x, (e.g - floor((l.g + coalesce(r.g, l.g)) / 2.0))::INT AS d FROM emb e JOIN emb l ON l.image_id = e.image_id AND l.y = e.y AND l.x = e.x - 1
+      LEFT JOIN emb r ON r.image_id = e.image_id AND r.y = e.y AND r.x = e.x + 1 WHERE e.x % 2 = 1)
+    SELECT image_id, y, x, d AS coefficient FROM h UNION ALL
+    SELECT e.image_id, e.y, e.x, (e.g + floor((coalesce(l.d, r.d) + r.d + 2) / 4.0))::INT FROM emb e LEFT JOIN h l ON l.image_id = e.image_id AND l.y = e.y AND l.x = e.x - 1
+      JOIN h r ON r.image_id = e.image_id AND r.y = e.y AND r.x = e.x + 1 WHERE e.x % 2 = 0""",
+    "wavelet_round_trip": f"WITH {ORDER} SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY x) - 1)::INT AS x, r FROM px",
+    "sending_order": f"""WITH {EMB}, z AS (SELECT x, y, row_number() OVER (ORDER BY x + y, CASE WHEN (x + y) % 2 = 0 THEN x ELSE y END) - 1 AS zigzag FROM range(8) a(x), range(8) b(y))
+    SELECT image_id, emb.y, emb.x, [1, 6, 4, 6, 2, 6, 4, 6, 7, 7, 7, 7, 7, 7, 7, 7, 5, 6, 5, 6, 5, 6, 5, 6, 7, 7, 7, 7, 7, 7, 7, 7, 3, 6, 4, 6, 3, 6, 4, 6, 7, 7, 7, 7, 7, 7, 7, 7, 5, 6, 5, 6, 5, 6, 5, 6, 7, 7, 7, 7, 7, 7, 7, 7][emb.y * 8 + emb.x + 1] AS adam7,
+      [1, 4, 3, 4, 2, 4, 3, 4][emb.y + 1] AS gif_pass, zigzag::INT AS zigzag, greatest(1, least(255, (g * 20 + 50) // 100))::INT AS q90, greatest(1, least(255, (g * 250 + 50) // 100))::INT AS q20
+    FROM emb JOIN z ON z.x = emb.x AND z.y = emb.y""",
     **{f"codec_{k}": EXPLODED for k in ("png", "bmp", "tga", "qoi", "pgm", "ppm")},
 }
 SQL["frame_durations"] = f"SELECT image_id, frame_idx, duration_us FROM ({SQL['frame_durations']})"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.functions import color, formats, rgba
-from rasterlake.operators import animation, frames, palette, prediction
+from rasterlake.functions import color, formats, headers, rgba
+from rasterlake.operators import animation, frames, palette, prediction, transforms
 from rasterlake.operators.resize import resize
 from rasterlake.plans.tables import emb_frames, event_pixels, line_pixels, order_pixels, table
 from rasterlake.sources.files import decode_frames, encode_frames
@@ -137,6 +137,57 @@ def codec_round_trip(kind: str):
     return run
 
 
+def header_fields(kind: str):
+    """Frames encoded, and their headers read without decoding them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = encode_frames(resize(emb_frames(spark, sf_dir), 5, 9, "nearest"), kind)
+        return files.select("image_id", headers.header(F.col("content"), F.lit("tga") if kind == "tga" else None).alias("h")).select("image_id", "h.*")
+
+    return run
+
+
+def icon_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursor files of a part's size in entries, whose hotspots follow from its key."""
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    key, n = F.col("p_partkey"), (F.col("p_size") % 4 + 1).cast("int")
+    entry = lambda k: F.concat(byte(k), byte(k * 2), F.lit("0000"), byte(key % 200 + k), F.lit("00"), byte(key % 100), F.lit("00"), byte(k), F.lit("010000"), byte(n * 16 + 6), F.lit("000000"))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.concat(F.lit("00000200"), byte(n), F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), entry), ""))).alias("content"))
+    return headers.icon_entries(files).drop("content")
+
+
+def tiff_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIFF directories of two tags, in either byte order by the part's key: width from its key, height from its size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    be = lambda v, n: F.lpad(F.hex(v.cast("long")), 2 * n, "0")
+    le = lambda v, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(be(v, n), i * 2 + 1, F.lit(2)))), "")
+    body = lambda w: F.concat(w(F.lit(8), 4), w(F.lit(2), 2), w(F.lit(256), 2), w(F.lit(4), 2), w(F.lit(1), 4), w(key, 4), w(F.lit(257), 2), w(F.lit(3), 2), w(F.lit(1), 4), w(size, 2), F.lit("0000"))
+    hexed = F.when(key % 2 == 0, F.concat(F.lit("49492A00"), body(le))).otherwise(F.concat(F.lit("4D4D002A"), body(be)))
+    return headers.tiff_entries(table(spark, sf_dir, "part").select("p_partkey", F.unhex(hexed).alias("content"))).drop("content")
+
+
+def reversible_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reversible colour transform and its inverse: the pixels as they were."""
+    there = line_pixels(spark, sf_dir).select("image_id", "x", *transforms.reversible_color(*map(F.col, "rgb")))
+    return there.select("image_id", "x", *transforms.color_of_reversible(*map(F.col, "yuv")))
+
+
+def wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.wavelet53(frames.pixels_of(emb_frames(spark, sf_dir)), "r").select("image_id", "y", "x", "coefficient")
+
+
+def wavelet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wavelet of orders' rows, which have gaps and odd lengths, and its inverse."""
+    dense = order_pixels(spark, sf_dir).withColumn("x", F.row_number().over(prediction.row()) - 1)
+    return transforms.inverse_wavelet53(transforms.wavelet53(dense, "r"), "coefficient", "back").select("image_id", "x", F.col("back").alias("r"))
+
+
+def sending_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interlace passes, zig-zag places and scaled steps of each pixel."""
+    px, x, y = frames.pixels_of(emb_frames(spark, sf_dir)), F.col("x"), F.col("y")
+    return px.select("image_id", "y", "x", transforms.adam7_pass(x, y).alias("adam7"), transforms.gif_pass(y).alias("gif_pass"), transforms.zigzag(x, y).alias("zigzag"), transforms.scaled_quantum(F.col("r"), 90).alias("q90"), transforms.scaled_quantum(F.col("r"), 20).alias("q20"))
+
+
 def srgb_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear light of red in ten-thousandths, and back."""
     light = color.linear_of_srgb(F.col("r") / F.lit(255.0))
@@ -190,5 +241,13 @@ QUERIES = {
     "webp_blend": webp_blend,
     "frame_durations": frame_durations,
     "hotspots_and_rates": hotspots,
+    **{f"header_{k}": header_fields(k) for k in ("png", "bmp", "tga", "qoi")},
+    "icon_directory": icon_directory,
+    "tiff_tags": tiff_tags,
+    "reversible_color": over_lines(lambda r, g, b, a: transforms.reversible_color(r, g, b)),
+    "reversible_round_trip": reversible_round_trip,
+    "wavelet53": wavelet,
+    "wavelet_round_trip": wavelet_round_trip,
+    "sending_order": sending_order,
     **{f"codec_{k}": codec_round_trip(k) for k in ("png", "bmp", "tga", "qoi", "pgm", "ppm")},
 }

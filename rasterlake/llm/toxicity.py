@@ -3,7 +3,7 @@
 The kernel of two words counts their common subsequences of three characters, each weighted down by the length it spans
 in either word, so that inserted characters and changed endings lower a match instead of losing it. Landmarks are words
 and parts of words that texts labelled toxic hold far more often than others. The machine learns words; a text's score
-is a logistic function of its two highest word decisions and of how many are suspicious, fitted on the labelled texts.
+is a logistic function of how sure, how many and how dense its suspicious words are, fitted on the labelled texts.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def similarities(words: list[str], marks: list[str]) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Model:
-    """decision(word) = similarities to the marks @ weights + bias; score(text) = logistic of what best_decisions gives."""
+    """decision(word) = similarities to the marks @ weights + bias; score(text) = logistic of what suspicion gives."""
 
     marks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -159,7 +159,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w
 
 
-def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
+def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, rounds: int = 50) -> np.ndarray:
     """Bias and weights of a logistic regression by damped Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     whiten = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
     machine = fit_machine(x @ whiten, y, weight)
     model = Model(chosen, whiten @ machine[:-1], float(machine[-1]))
-    best = rows.select("toxic", best_decisions(model)("text").alias("d")).select("toxic", "d.*").toPandas()
+    best = rows.select("toxic", suspicion(model)("text").alias("d")).select("toxic", "d.*").toPandas()
     truth = best.pop("toxic").to_numpy(dtype=float)
     used = list(range(best.shape[1]))
     while True:  # a worse word must not lower a score
@@ -256,11 +256,12 @@ _known: dict[str, float] = {}
 _known_for: list[tuple] = [()]
 
 
-def best_decisions(model: Model):
-    """The two highest decisions among a text's different words, and log(1 + the number of its suspicious words)."""
+def suspicion(model: Model):
+    """The second highest decision among a text's different words, log(1 + its different suspicious words), and
+    log(1 + how much of a hundred words they weigh, every time they stand)."""
     stamp = (*model.marks, model.bias, *model.weights)
 
-    @F.pandas_udf("first double, second double, many double")
+    @F.pandas_udf("second double, many double, density double")
     def run(texts: pd.Series) -> pd.DataFrame:
         if _known_for[0] != stamp:  # a Python worker may have served another model
             _known.clear()
@@ -279,10 +280,11 @@ def best_decisions(model: Model):
                 _known.update(zip(part, model.decisions(part).tolist(), strict=True))
             for w, s in zip(words, sets, strict=True):
                 d = np.fromiter(map(_known.__getitem__, s), dtype=float, count=len(s))
-                second, first = np.partition(np.concatenate([d, [LEAST, LEAST]]), -2)[-2:].tolist()
-                bad = {s[k] for k in np.flatnonzero(d > 0)}
-                out.append((first, second, math.log1p(sum(x in bad for x in w)) if bad else 0.0))
-        return pd.DataFrame(out, columns=["first", "second", "many"])
+                second = float(np.partition(np.concatenate([d, [LEAST, LEAST]]), -2)[-2])
+                bad = {s[k]: float(d[k]) for k in np.flatnonzero(d > 0)}
+                weight = sum(bad[x] for x in w if x in bad) if bad else 0.0
+                out.append((second, math.log1p(len(bad)), math.log1p(100 * weight / (len(w) + 20))))
+        return pd.DataFrame(out, columns=["second", "many", "density"])
 
     return run
 
@@ -297,8 +299,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     bounded_batches(docs.sparkSession)
     c, a, b, e = map(float, model.logit)
     rest = [F.col(f"`{x}`") for x in docs.columns if x != "toxicity"]
-    scored = docs.select(*rest, best_decisions(model)(F.col(f"`{text_col}`")).alias("__d"))
-    return scored.select(*rest, (1 / (1 + F.exp(-(c + a * F.col("__d.first") + b * F.col("__d.second") + e * F.col("__d.many"))))).alias("toxicity"))
+    scored = docs.select(*rest, suspicion(model)(F.col(f"`{text_col}`")).alias("__d"))
+    return scored.select(*rest, (1 / (1 + F.exp(-(c + a * F.col("__d.second") + b * F.col("__d.many") + e * F.col("__d.density"))))).alias("toxicity"))
 
 
 def op1_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import table
+from rasterlake.llm.common import bounded_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and elements that never show.
@@ -255,6 +255,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     - unclosed, misplaced and stray tags never fail; elements nested deeper than 250 are laid out at that depth.
     - long pages are read whole; repeated rows get the same text; a column named text is replaced; an empty table stays so.
     """
+    bounded_batches(pages.sparkSession)
     run = F.pandas_udf(lambda s: pd.Series([visible_text(x) for x in s], dtype=object), T.StringType())
     return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != "text"], run(F.col(f"`{html_col}`")).alias("text"))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import table
+from rasterlake.llm.common import bounded_batches, table
 
 PLACES = 300
 SLICE = 1 << 20
@@ -104,6 +104,7 @@ def training_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn_profiles(labelled: DataFrame, places: int = PLACES) -> dict[str, list[int]]:
     """The `places` most frequent n-grams of each language over all rows (lang, text), most frequent first."""
+    bounded_batches(labelled.sparkSession)
     counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInPandas(training_counts, "lang string, gram long, n long")
     summed = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = summed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= places)
@@ -140,6 +141,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], places: in
     - very long texts are counted in slices; repeated rows get the same result; an empty table stays empty.
     - columns of docs that are named lang_pred or score are replaced; all others pass through untouched.
     """
+    bounded_batches(docs.sparkSession)
     names = sorted(profiles)
 
     @F.pandas_udf("lang_pred string, score double")

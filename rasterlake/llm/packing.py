@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import stored, table
+from rasterlake.llm.common import bounded_batches, stored, table
 from rasterlake.llm.tokens import END, coder, ids_of
 
 LENGTH, BUCKETS, DIMS, BITS = 1024, 512, 3, 10
@@ -106,6 +106,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
     sorted with them. Where a document starts is a running sum in its range and a sum over the ranges before.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # The row numbers hold from here on, as they are in the stored table.

@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import stored, table
+from rasterlake.llm.common import bounded_batches, stored, table
 from rasterlake.llm.graph import bucket_blocks, components, forest
 
 BLOCK = 512
@@ -55,25 +55,15 @@ def chained(x: np.ndarray, start: int, max_bits: int) -> np.ndarray:
     return ok
 
 
-def links_of(start: int, left: np.ndarray, right: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs that link in one block, in slices of rows: the shortest chains prune first."""
-    other, found = left if right is None else right, []
-    seg = segments(max_bits)
-    near = np.uint64(0)
-    for k in (start, (start + 1) % len(seg)):
-        near |= np.uint64(((1 << seg[k][1]) - 1) << seg[k][0])
-    step = max(1, (1 << 20) // max(1, len(other)))
-    for at in range(0, len(left), step):
-        x = left[at : at + step, None] ^ other[None, :]
-        i, j = np.nonzero(np.bitwise_count(x & near) * len(seg) <= 2 * max_bits)
-        if right is None:
-            ahead = i + at < j
-            i, j = i[ahead], j[ahead]
-        ok = chained(x[i, j], start, max_bits)
-        i, j = i[ok], j[ok]
-        ok = np.bitwise_count(x[i, j]) <= max_bits
-        found.append((i[ok] + at, j[ok]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+def links_of(start: int, left: np.ndarray, right: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that link between two blocks of a bucket: the shortest chains prune first."""
+    near = near_masks(max_bits)[start]
+    x = left[:, None] ^ right[None, :]
+    i, j = np.nonzero(np.bitwise_count(x & near) * (max_bits + 1) <= 2 * max_bits)
+    x = x[i, j]
+    ok = chained(x, start, max_bits)
+    ok &= np.bitwise_count(x) <= max_bits
+    return i[ok], j[ok]
 
 
 def chain_keys(max_bits: int) -> list[Column]:
@@ -93,23 +83,62 @@ def chain_keys(max_bits: int) -> list[Column]:
     return out
 
 
+def near_masks(max_bits: int) -> np.ndarray:
+    """For each start, the bits of its first two segments."""
+    seg = segments(max_bits)
+    ones = np.array([((1 << bits) - 1) << low for low, bits in seg], dtype=np.uint64)
+    return ones | np.roll(ones, -1)
+
+
+def links_within(start: np.ndarray, size: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that link in many buckets at once. Bucket i begins its chains at start[i] and is the next
+    size[i] of the prints; each print is compared with those at 1, 2, ... places after it in its bucket."""
+    parts = max_bits + 1
+    start = np.repeat(start, size)
+    near = near_masks(max_bits)[start]
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(prints)) - 1
+    at, k, found = np.flatnonzero(left >= 1), 1, [(np.zeros(0, dtype=np.int64),) * 2]
+    while len(at):
+        ok = np.bitwise_count((prints[at] ^ prints[at + k]) & near[at]) * parts <= 2 * max_bits
+        found.append((at[ok], at[ok] + k))
+        k += 1
+        at = at[left[at] >= k]
+    i, j = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+    x = prints[i] ^ prints[j]
+    ok = np.zeros(len(x), dtype=bool)
+    for s in range(parts):
+        own = start[i] == s
+        ok[own] = chained(x[own], s, max_bits)
+    ok &= np.bitwise_count(x) <= max_bits
+    return i[ok], j[ok]
+
+
 def block_links(max_bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    """Spanning forests (a, b) of the links in the rows (start, left, right) of bucket_blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = batch.column("start").to_numpy()
+            alone = batch.column("right").is_null().to_numpy(zero_copy_only=False)
+            left = batch.column("left")
+            size = np.diff(left.offsets.to_numpy())
+            prints = left.flatten().to_numpy().view(np.uint64)
+            found = []
+            own = np.repeat(alone, size)
+            nodes = prints[own]
+            found.append((nodes, *links_within(start[alone], size[alone], nodes, max_bits)))
+            ends = np.cumsum(size)
+            for row in np.flatnonzero(~alone):
+                u, v = prints[ends[row] - size[row] : ends[row]], batch.column("right")[row].values.to_numpy().view(np.uint64)
+                i, j = links_of(int(start[row]), u, v, max_bits)
+                found.append((np.concatenate([u, v]), i, j + len(u)))
             a, b = [], []
-            for start, left, right in zip(pdf["start"], pdf["left"], pdf["right"], strict=True):
-                u = np.asarray(left, dtype=np.int64)
-                v = None if right is None else np.asarray(right, dtype=np.int64)
-                i, j = links_of(start, u.view(np.uint64), None if v is None else v.view(np.uint64), max_bits)
-                if not len(i):
-                    continue
-                nodes = u if v is None else np.concatenate([u, v])
-                root = forest(len(nodes), i, j if v is None else j + len(u))
-                own = np.flatnonzero(root != np.arange(len(nodes)))
-                a.append(nodes[own])
-                b.append(nodes[root[own]])
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            for nodes, i, j in found:
+                root = forest(len(nodes), i, j)
+                moved = np.flatnonzero(root != np.arange(len(nodes)))
+                a.append(nodes[moved].view(np.int64))
+                b.append(nodes[root[moved]].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
@@ -125,12 +154,15 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
     - null ids: the row takes part, but gives no component its name; component_id is null if no id is reachable.
     - repeated rows each get their row, with the same result. Other columns are not read. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     prints = F.pandas_udf(lambda s: s.map(lambda t: fingerprint(t, words)).astype("int64"), "long")
     fps = stored(docs.select(F.col(f"`{id_col}`").alias("_id"), prints(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("_id").alias("_rep"))
-    parts = reps.select("fp", F.explode(F.array(*chain_keys(max_bits))).alias("_s")).select("fp", "_s.*")
+    # Each row becomes many: enough partitions for that, however few the fingerprints fill.
+    spread = reps.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = spread.select("fp", F.explode(F.array(*chain_keys(max_bits))).alias("_s")).select("fp", "_s.*")
     blocks = bucket_blocks(parts, ["start", "wiped", "value"], "fp", BLOCK).select("start", "left", "right")
-    links = blocks.mapInPandas(block_links(max_bits), "a long, b long")
+    links = blocks.mapInArrow(block_links(max_bits), "a long, b long")
     linked = components(links)
     roots = reps.join(linked, reps.fp == linked.node, "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
     named = roots.groupBy("_root").agg(F.min("_rep").alias("component_id"))

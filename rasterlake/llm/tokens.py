@@ -12,7 +12,7 @@ import tiktoken
 
 #: The id that ends a document, and its two bytes; ids of this vocabulary fit in 16 bits.
 END = 0
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 600_000
 
 
 @lru_cache(maxsize=4)

@@ -67,19 +67,21 @@ def links_of(start: int, left: np.ndarray, right: np.ndarray, max_bits: int) ->
 
 
 def chain_keys(max_bits: int) -> list[Column]:
-    """Structs (start, wiped, value): fingerprints that link have one of them in common.
+    """Structs (start, half, value): fingerprints that link have one of them in common.
 
-    A chain begins with an equal segment. Where segments are short, the next one is in the key too: a chain of two
-    differs in at most one bit, so it is equal but for one bit that is wiped out.
+    A chain begins with an equal segment. Where segments are short, a part of the next one is in the key too: a chain of
+    two differs in at most one bit, so that one half of its second segment is equal as well.
     """
     part = lambda low, bits: F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1)
     seg, out = segments(max_bits), []
     for k, (low, bits) in enumerate(seg):
         low2, bits2 = seg[(k + 1) % len(seg)]
         if bits >= SELECTIVE:
-            out.append(F.struct(F.lit(k).alias("start"), F.lit(-1).alias("wiped"), part(low, bits).alias("value")))
-        else:
-            out += [F.struct(F.lit(k).alias("start"), F.lit(p).alias("wiped"), (part(low, bits) * (1 << bits2) + part(low2, bits2).bitwiseAND(((1 << bits2) - 1) & ~(1 << p))).alias("value")) for p in range(bits2)]
+            out.append(F.struct(F.lit(k).alias("start"), F.lit(0).alias("half"), part(low, bits).alias("value")))
+            continue
+        cut = bits2 // 2
+        for half, (l2, b2) in enumerate(((low2, cut), (low2 + cut, bits2 - cut))):
+            out.append(F.struct(F.lit(k).alias("start"), F.lit(half).alias("half"), (part(low, bits) * (1 << b2) + part(l2, b2)).alias("value")))
     return out
 
 
@@ -161,7 +163,7 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
     # Each row becomes many: enough partitions for that, however few the fingerprints fill.
     spread = reps.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = spread.select("fp", F.explode(F.array(*chain_keys(max_bits))).alias("_s")).select("fp", "_s.*")
-    blocks = bucket_blocks(parts, ["start", "wiped", "value"], "fp", BLOCK).select("start", "left", "right")
+    blocks = bucket_blocks(parts, ["start", "half", "value"], "fp", BLOCK).select("start", "left", "right")
     links = blocks.mapInArrow(block_links(max_bits), "a long, b long")
     linked = components(links)
     roots = reps.join(linked, reps.fp == linked.node, "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))

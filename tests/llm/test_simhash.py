@@ -77,6 +77,29 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_groups_are_those_of_jaccard(spark):
+    rnd, texts, likeness = random.Random(8), [], []
+    for k in range(160):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(150, 400))]
+        v = list(w)
+        for at in range(0, len(w) - 5, len(w) // (3 + k % 5)):
+            v[at + 4] = "changed"
+        texts += [" ".join(w), " ".join(v)]
+        likeness.append(jaccard(*texts[-2:]))
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    near = [2 * k + 1 not in kept for k, x in enumerate(likeness) if x >= 0.8]
+    assert len(near) > 100 and np.mean(near) >= 0.95
+    under = [2 * k + 1 in kept for k, x in enumerate(likeness) if x < 0.8]
+    assert len(under) > 10 and all(under)
+    assert sum(0.8 <= x < 0.88 for x in likeness) > 20
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (101, 101), (200, 300), (300, 250), (None, 4)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}

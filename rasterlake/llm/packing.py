@@ -70,7 +70,7 @@ def encoded(path: str):
     @F.pandas_udf("ids binary, n long, key long, h long")
     def run(texts: pd.Series) -> pd.DataFrame:
         plane, code, end = projection(), coder(path), np.uint16(END).tobytes()
-        ids = [code.packed(t) for t in texts]
+        ids = [code.whole(t) for t in texts]
         points = np.array([document_point(ids_of(x), plane) for x in ids]).reshape(-1, DIMS)
         return pd.DataFrame({"ids": [x + end for x in ids], "n": [len(x) // 2 + 1 for x in ids], "key": on_curve(points), "h": [zlib.crc32(x) for x in ids]})
 

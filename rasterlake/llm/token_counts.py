@@ -113,8 +113,8 @@ def whole(n) -> int:
 
 
 def counter(path: str):
-    packed = coder(path).packed
-    return lambda text: len(packed(text)) // 2 if text else 0
+    ids = coder(path).whole
+    return lambda text: len(ids(text)) // 2 if text else 0
 
 
 def count_trees(texts: Column, path: str) -> Column:

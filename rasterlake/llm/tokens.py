@@ -12,12 +12,14 @@ import tiktoken
 
 #: The id that ends a document, and its two bytes; ids of this vocabulary fit in 16 bits.
 END = 0
+#: The vocabulary's only special token: its string in a text is this one id, whatever stands around it.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 WORDS_KEPT = 600_000
 
 
 @lru_cache(maxsize=4)
 def byte_bpe(path: str) -> tiktoken.Encoding:
-    """The vocabulary at path; special tokens' strings are ordinary text."""
+    """The vocabulary at path; special tokens' strings are ordinary text here (see Coder.whole)."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -40,7 +42,8 @@ class Words(dict):
 
 
 class Coder:
-    """Encodes texts as the tokenizer of byte_bpe_50k.json does, word by word where that is safe.
+    """Encodes texts as the tokenizer of byte_bpe_50k.json does, word by word where that is safe. whole() gives what that
+    tokenizer gives by default, packed() what it gives with encode_special_tokens = True.
 
     Each pre-token of this vocabulary either holds no white space, or starts with it, or is white space. So a text can be
     cut before any white space that follows another character, and the parts' ids joined. Texts whose words are parted
@@ -51,6 +54,11 @@ class Coder:
         self.encode = byte_bpe(path).encode_ordinary
         self.words = Words(self.encode)
 
+    def whole(self, text: str) -> bytes:
+        if SPECIAL not in text:
+            return self.packed(text)
+        return np.uint16(SPECIAL_ID).astype("<u2").tobytes().join(map(self.packed, text.split(SPECIAL)))
+
     def packed(self, text: str) -> bytes:
         led = text[:1] == " "
         body = text[1:] if led else text

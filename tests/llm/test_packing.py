@@ -21,6 +21,14 @@ def test_words_give_the_tokenizers_ids(spark, sf_dir):
         assert tokens.ids_of(code.packed(t)).tolist() == e.ids
 
 
+def test_special_token_is_one_id(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x \n<|endoftext|>\n\n y", "<|endoftext|", "two  blanks <|endoftext|>  and more", "<|<|endoftext|>endoftext|>"]
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {p.doc_id: tokens.ids_of(bytes(p.ids)).tolist() for p in packing.pack(df, 1 << 12).collect()}
+    assert got == {i: [*ref.encode(t, add_special_tokens=False).ids, tokens.END] for i, t in enumerate(texts)}
+
+
 def test_hilbert_steps_are_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)

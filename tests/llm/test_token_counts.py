@@ -35,6 +35,17 @@ def test_edits_against_whole_recount(text, edits):
         tc.SEGMENT = old
 
 
+def test_special_token_counts_once():
+    ref, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tc.counter(PATH)
+    count = lambda t: len(ref.encode(t, add_special_tokens=False).ids)
+    text = "some words <|endoftext|> of a text\n<|endof x text|> " * 60
+    tree = tc.Counts.of(tc.segments(text), encode)
+    assert tree.tokens[1] == count(text)
+    for start, removed, inserted in ((15, 1, ""), (15, 0, "n"), (text.index("f x t") + 1, 3, ""), (700, 0, "<|endoftext|>"), (0, 400, "")):
+        text, _ = tree.edit(text, start, removed, inserted, encode)
+        assert tree.tokens[1] == count(text)
+
+
 def test_little_is_encoded_again():
     text = "some words of a text " * 5000
     encode = tc.counter(PATH)

@@ -22,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup, and elements that never show.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset("head script style template noscript iframe object canvas audio video svg math datalist select noembed noframes title meta link dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tr ul caption".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tr ul caption".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 #: A start tag closes an open element of the first set, if none of the second set is met before.
@@ -36,6 +36,10 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"})),
 }
+#: Where only parts of a table may stand, and what stays there; all other content is moved before the table.
+GROUPS = frozenset("thead tbody tfoot".split())
+IN_TABLE = GROUPS | {"table", "tr"}
+PARTS = IN_TABLE | frozenset("caption colgroup col td th script style template".split())
 SCOPE = frozenset("table td th caption html body button".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -47,8 +51,8 @@ DEEPEST = 250
 class Node:
     __slots__ = ("attributes", "children", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], children: list | None = None):
+        self.tag, self.attributes, self.children = tag, attributes, children or []
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -65,19 +69,60 @@ def close(stack: list[Node], tags, bounds) -> None:
             return
 
 
+def to_table_parts(stack: list[Node], tag: str) -> None:
+    """Makes ready for a start tag in a table: what it cannot stand in is closed, and the row of a cell is opened."""
+    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+        stack.pop()
+    if tag not in PARTS or tag in ("script", "style", "template"):
+        return
+    table = _last(stack, {"table"})
+    if not table:
+        return
+    if tag == "table":
+        if stack[-1].tag in IN_TABLE:  # a table right in a table is the next one
+            del stack[table:]
+        return
+    if _last(stack, {"td", "th", "caption"}) > table:
+        if tag not in ("caption", "colgroup", "col"):
+            return  # CLOSES has closed what it may
+        del stack[table + 1 :]
+    into = {"td": IN_TABLE, "th": IN_TABLE, "tr": GROUPS | {"table"}, "col": {"table", "colgroup"}}.get(tag, {"table"})
+    while stack[-1].tag not in into:
+        stack.pop()
+    if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+        row = Node("tr", {})
+        stack[-1].children.append(row)
+        stack.append(row)
+
+
+def add(stack: list[Node], child: Node | str) -> None:
+    """Puts child into the innermost open element, or before the table in which it may not stand."""
+    if stack[-1].tag == "colgroup" and isinstance(child, str) and SPACES.sub("", child):
+        stack.pop()
+    if stack[-1].tag not in IN_TABLE or (child.tag in PARTS if isinstance(child, Node) else not SPACES.sub("", child)):
+        stack[-1].children.append(child)
+        return
+    at = _last(stack, {"table"})
+    if not at:  # a row or a group outside of any table
+        stack[-1].children.append(child)
+        return
+    before = stack[at - 1].children
+    before.insert(next((i for i in range(len(before) - 1, -1, -1) if before[i] is stack[at]), len(before)), child)
+
+
 def tree(page: str) -> Node:
     """The page as nested elements and strings. Unclosed elements end with their parent, stray end tags are ignored."""
     root = Node("html", {})
     stack, at = [root], 0
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            add(stack, html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            close(stack, {tag}, SCOPE - {tag} if tag not in ("table", "body", "html") else ())
+            close(stack, {tag}, {"table"} if tag in IN_TABLE - {"table"} else SCOPE - {tag} if tag not in ("table", "body", "html") else ())
             continue
         if tag in ("html", "body"):
             root.attributes = {**attributes_of(m[3]), **root.attributes}
@@ -89,8 +134,11 @@ def tree(page: str) -> Node:
                 close(stack, tags, bounds)
         elif tag in BLOCK:
             close(stack, {"p"}, SCOPE)
+        to_table_parts(stack, tag)
         node = Node(tag, attributes_of(m[3]))
-        stack[-1].children.append(node)
+        if tag == "form" and stack[-1].tag in IN_TABLE:  # an empty element there
+            continue
+        add(stack, node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.IGNORECASE).search(page, at)
             if tag in ("textarea", "xmp"):
@@ -99,7 +147,7 @@ def tree(page: str) -> Node:
         elif tag not in VOID and len(stack) < DEEPEST and not (tag in ("svg", "math") and m[3].rstrip().endswith("/")):
             stack.append(node)
     if at < len(page):
-        stack[-1].children.append(html.unescape(page[at:]))
+        add(stack, html.unescape(page[at:]))
     return root
 
 
@@ -109,7 +157,7 @@ def _last(stack: list[Node], tags) -> int:
 
 def visible(node: Node) -> bool:
     a = node.attributes
-    return not (node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or UNSEEN.search(a.get("style", "")))
+    return not ((node.tag in HIDDEN and not (node.tag == "dialog" and "open" in a)) or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or UNSEEN.search(a.get("style", "")))
 
 
 def width(text: str) -> int:
@@ -213,14 +261,15 @@ def table_lines(node: Node) -> list[str]:
     caption, rows, todo = [], [], [node]
     while todo:
         n = todo.pop()
-        if isinstance(n, str) or not visible(n):
-            continue
         if n.tag == "tr":
-            rows.append([c for c in n.children if not isinstance(c, str) and c.tag in ("td", "th") and visible(c)])
+            rows.append([c for c in map(as_cell, n.children) if c])
         elif n.tag == "caption":
             caption += rendered(n)
-        else:
-            todo += reversed([c for c in n.children if isinstance(c, str) or c.tag in ("tr", "caption", "thead", "tbody", "tfoot")])
+        elif n is node or n.tag in GROUPS:
+            inner = [Node("td", {}, [c]) if isinstance(c, str) else c for c in n.children if (visible(c) if isinstance(c, Node) else SPACES.sub("", c))]
+            todo += reversed(inner)
+        elif cell := as_cell(n):
+            rows.append([cell])
     grid = []
     for row in rows:
         line = []
@@ -238,6 +287,14 @@ def table_lines(node: Node) -> list[str]:
     return out
 
 
+def as_cell(child: Node | str) -> Node | None:
+    """A row's child as a cell; None if it shows nothing and is none."""
+    if isinstance(child, Node) and child.tag in ("td", "th"):
+        return child if visible(child) else None
+    cell = Node("td", {}, [child])
+    return cell if rendered(cell) else None
+
+
 def rendered(node: Node) -> list[str]:
     out = Lines()
     lay_out(node, out)

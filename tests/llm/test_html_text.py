@@ -30,6 +30,30 @@ CASES = [
 ]
 
 
+IN_TABLES = [
+    ("<table><td>A<td>B</table>", "A | B"),
+    ("<table><tbody><td>A", "A"),
+    ("<table><form><tr><td>x<td>y</form></table>z", "x | y\n\nz"),
+    ("<table>text<tr><td>x</table>", "text\n\nx"),
+    ("<table><tr><div>text</div><td>x</table>", "text\n\nx"),
+    ("<table><tr><td>a</td>loose<td>b<tr><td>c</table>", "loose\n\na | b\nc"),
+    ("<table><tr><td>a</tr><td>b</table>", "a\nb"),
+    ("<table><div>d<td>a<td>b</table>", "d\n\na | b"),
+    ("<table><tr><td>a<table><td>in</table>b</table>", "a\n\nin\n\nb"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>", "a\n\nb"),
+    ("<table><colgroup><col>loose<tr><td>a</table>", "loose\n\na"),
+    ("<table><tr><td>a<caption>C</table>", "C\na"),
+    ("<table><b>x</b>y<tr><td>z</table>w", "xy\n\nz\n\nw"),
+    ("<tr><td>a</td><td>b</td></tr>", "ab"),
+    ("a<dialog open>b</dialog><dialog>c</dialog>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), IN_TABLES)
+def test_nothing_in_a_table_is_lost(page, text):
+    assert visible_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_layout(page, text):
     assert visible_text(page) == text

@@ -77,6 +77,13 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
 
 
+def test_clashing_ids_stand_for_their_own_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (5, a), (1, b), (6, b), (0, c), (1, c)]
+    out = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == sorted([(1, a), (1, b), (0, c)])
+
+
 def jaccard(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
     return len(a & b) / len(a | b)

@@ -1,16 +1,19 @@
-"""What the text operators share: scratch tables, row keys and column carrying."""
+"""What the text operators share: scratch tables, row keys, columns that pass through, and joins that bear hot keys."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts name: space and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key held by more than one in HOT of all rows is hot; so there are at most HOT hot keys, however large the table is.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,33 +21,103 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where none is set."""
+    """The shared folder that the session names. A local one is made only where none is set and Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterlake-"))
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, kept: int = 0) -> DataFrame:
     """df written once as Parquet to the shared checkpoint folder and read again.
 
-    This cuts the lineage: a lost executor costs no more than the tasks that read the table.
+    This cuts the lineage: a lost executor costs no more than the tasks that read the table. The table outlives `kept` of
+    the blocks of scratch() that it is written in.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if len(_scopes) > kept:
+        _scopes[-1 - kept].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is stored within the block, at its end, but for what is stored to outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets a Python worker take at most 1000 rows, and about 8 MB, at a time; smaller settings stay."""
+    """Lets a Python worker take at most 1000 rows, and about 8 MB, at a time; smaller settings stay.
+
+    The session keeps these settings, as batches are made only when a result is computed.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(key).rstrip("b")
         if not now.isdecimal() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+class Carried:
+    """A table of any column names, to compute with without clashes: df has one struct column `row`, whose fields are
+    numbered, and what is asked for by name. Names that differ only in case, or repeat, are no ambiguity here."""
+
+    def __init__(self, df: DataFrame, **needed: str):
+        self.names = df.columns
+        fields = [f"c{i}" for i in range(len(self.names))]
+        flat = df.toDF(*fields)
+        self.df = flat.select(F.struct(*fields).alias("row"), *[F.col(fields[self.place(name)]).alias(alias) for alias, name in needed.items()])
+
+    def place(self, name: str) -> int:
+        """Of the column of that name, or else of the first one that differs in case only."""
+        if name in self.names:
+            return self.names.index(name)
+        return [x.lower() for x in self.names].index(name.lower())
+
+    def columns(self, new: dict[str, Column] | None = None, put: dict[str, Column] | None = None) -> list[Column]:
+        """All columns as they came, but for those that `put` gives a new value in place, and those named like one of
+        `new` in any case, which come last."""
+        new, put = new or {}, {self.place(k): v for k, v in (put or {}).items()}
+        gone = {x.lower() for x in new}
+        kept = [put.get(i, F.col(f"row.c{i}")).alias(x) for i, x in enumerate(self.names) if i in put or x.lower() not in gone]
+        return [*kept, *[c.alias(x) for x, c in new.items()]]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of groups, whose rows have different keys and say in `_n` how many of the `total` rows hold them.
+
+    Rows of hot keys (see HOT) are joined by broadcast where they are, so that no task gets all rows of such a key; of
+    the others each key has at most one in HOT of all rows, and these are joined by shuffle. Rows without a group go, or
+    stay with nulls if how is 'left'.
+    """
+    hot = groups["_n"] > total // HOT
+    others = [c for c in groups.columns if c not in keys]
+    some = F.broadcast(groups.where(hot).select(*keys, F.struct(*others).alias("_g")))
+    marked = rows.join(some, keys, "left")
+    at_once = marked.where("_g is not null").select(*rows.columns, *[F.col(f"_g.`{c}`").alias(c) for c in others])
+    return at_once.unionByName(marked.where("_g is null").drop("_g").join(groups.where(~hot), keys, how).select(*rows.columns, *others))
+
+
+def slot(c: str | Column) -> Column:
+    """One of a million places of a hash: a set of them is small enough to broadcast, however many hashes there are."""
+    return F.pmod(F.col(c) if isinstance(c, str) else c, F.lit(1 << 20))
+
+
+def slots_of(hashes: DataFrame, name: str) -> DataFrame:
+    """The slots that the hashes in a column take, for a broadcast semi-join or anti-join on `_slot`."""
+    return F.broadcast(hashes.select(slot(name).alias("_slot")).distinct())
 
 
 def let(value: Column, body) -> Column:

@@ -9,12 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import ASCII_SPACE, ascii_lower, let, row_key, table
+from rasterlake.llm.common import ASCII_SPACE, Carried, join_groups, let, row_key, stored, table
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends and with A-Z lower-cased."""
-    return ascii_lower(F.trim(line, F.lit(ASCII_SPACE)))
+def trimmed(line: Column) -> Column:
+    """The line without ASCII white space at its ends."""
+    return F.trim(line, F.lit(ASCII_SPACE))
+
+
+def folded(line: Column) -> Column:
+    """Equal for lines that are equal but for the case of A-Z, and for no others.
+
+    The line's bytes are lower-cased as Latin-1 characters, which is quick. That changes A-Z, and the first byte of some
+    characters of two bytes into one that begins three or four; how many bytes follow it still tells the two apart.
+    """
+    return F.lower(F.decode(line.cast("binary"), "ISO-8859-1"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,19 +36,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     - null ids count as no document and are never the largest: such rows lose every frequent line.
     - repeated rows (same id, same text) each stay and lose the same lines.
     - same id, other text: each row loses its own lines; together they count as one document.
-    - columns of docs that are named n_lines or n_dropped are replaced; others pass through.
-    - an empty table gives an empty table.
+    - columns of docs that are named n_lines or n_dropped, in any case, are replaced; others pass through.
+    - an empty table gives an empty table. Texts may have any number of lines.
 
-    Counting goes through partial aggregates by (hash, id), so that a line which a third of all documents
-    hold is summed up before it is shuffled; the join back to the lines is a sort-merge join, which AQE splits.
+    Lines are split and hashed once and stored as 128-bit hashes with their place. Counting goes through partial
+    aggregates by (hash, id), so that a line which a third of all documents hold is summed up before it is shuffled; lines
+    of such hot hashes are then marked where they are (see join_groups).
     """
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")).select("_row", F.col(f"_row.`{id_col}`").alias("_id"), F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")).alias("_text"))
-    base = base.withColumn("_rk", row_key("_id", "_text"))
-    lines = base.select("_id", "_rk", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
-    lines = lines.where(F.length("_key") >= min_chars).select("_id", "_rk", "_pos", F.unhex(F.md5("_key")).alias("_h"))
-    frequent = lines.groupBy("_h").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs).select("_h", "_last")
-    dropped = lines.join(frequent, "_h").where(~F.col("_id").eqNullSafe(F.col("_last")))
+    own = Carried(docs, _id=id_col, _text=text_col)
+    base = own.df.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_rk", row_key("_id", "_text"))
+    lines = base.select("_id", "_rk", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line")).where(F.length("_line") >= min_chars)
+    lines = lines.withColumn("_line", trimmed(F.col("_line"))).where(F.length("_line") >= min_chars).withColumn("_key", folded(F.col("_line")))
+    lines = lines.select("_id", "_rk", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
+    lines = stored(lines, "lines")
+    holders = lines.groupBy("_h1", "_h2", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    counted = holders.groupBy("_h1", "_h2").agg(F.count("_id").alias("_docs"), F.max("_id").alias("_last"), F.sum("_n").alias("_n"))
+    frequent = stored(counted.where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_last", "_n"), "frequent")
+    dropped = join_groups(lines, frequent, ["_h1", "_h2"], lines.count()).where(~F.col("_id").eqNullSafe(F.col("_last")))
     drops = dropped.groupBy("_id", "_rk").agg(F.collect_set("_pos").alias("_drops")).withColumnRenamed("_id", "_id2").withColumnRenamed("_rk", "_rk2")
     out = base.join(drops, (F.col("_rk") == F.col("_rk2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
     none = F.array().cast("array<int>")
@@ -49,9 +62,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
             lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.coalesce("_drops", none)), lambda i: own[i]), "\n"),
         )
     )
-    size = F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1
-    cols = [rewritten.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in others]
-    return out.select(*cols, size.cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    new = {"n_lines": F.size(F.split("_text", "\n", -1)).cast("long"), "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")}
+    return out.select(*own.columns(new, {text_col: rewritten}))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

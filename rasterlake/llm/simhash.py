@@ -13,13 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, stored, table
-from rasterlake.llm.graph import bucket_blocks, components, forest
+from rasterlake.llm.common import Carried, bounded_batches, join_groups, slot, slots_of, stored, table
+from rasterlake.llm.graph import bucket_blocks, components, flat, forest
 
 BLOCK = 512
 #: Bits of a segment from which it is a key of its own.
@@ -161,22 +160,25 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
 
     - null, empty and blank texts: fingerprint 0, which links like any other; texts under `words` words: one shingle.
     - null ids: the row takes part, but gives no component its name; component_id is null if no id is reachable.
+    - texts of any length are read whole, in slices of shingles. Columns named fp or component_id are no clash.
     - repeated rows each get their row, with the same result. Other columns are not read. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     prints = F.pandas_udf(lambda s: s.map(lambda t: fingerprint(t, words)).astype("int64"), "long")
-    fps = stored(docs.select(F.col(f"`{id_col}`").alias("_id"), prints(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("_id").alias("_rep"))
+    own = Carried(docs, _id=id_col, _text=text_col).df
+    fps = stored(own.select("_id", prints("_text").alias("fp")), "fingerprints")
+    reps = stored(fps.groupBy("fp").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")), "representatives")
     # Each row becomes many: enough partitions for that, however few the fingerprints fill.
     spread = reps.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = spread.select("fp", F.explode(F.array(*chain_keys(max_bits))).alias("_s")).select("fp", "_s.*")
     blocks = bucket_blocks(parts, ["start", "half", "value"], "fp", BLOCK).select("start", "left", "right")
     links = blocks.mapInArrow(block_links(max_bits), "a long, b long")
     linked = components(links)
-    roots = reps.join(linked, reps.fp == linked.node, "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
-    named = roots.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    known = roots.join(named, "_root").select("fp", "component_id")
-    return fps.join(known, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    roots = reps.join(linked, reps.fp == linked.node, "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"), F.col("_n").alias("_rows"))
+    roots = stored(roots, "roots")
+    named = roots.groupBy("_root").agg(F.min("_rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    known = join_groups(roots, named, ["_root"], reps.count()).select("fp", "component_id", F.col("_rows").alias("_n"))
+    return join_groups(fps, known, ["fp"], fps.count()).select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def wide_print(h: np.ndarray) -> np.ndarray:
@@ -209,11 +211,6 @@ def shingle_sets(words: int):
     return run
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
-    """(where each row's items begin, and the end; the items) of a column of lists, null rows being empty."""
-    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]), column.flatten()
-
-
 def trees(found) -> pa.RecordBatch:
     """Spanning forests (a, b) of the links in found: (nodes, i, j) each."""
     a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -277,11 +274,6 @@ def exact_links(least: float):
     return run
 
 
-def slot(node: str) -> Column:
-    """One of a million places of a node: a set of them is small enough to broadcast, however many nodes there are."""
-    return F.pmod(F.col(node), F.lit(1 << 20))
-
-
 def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that a row of smaller id in their group stands for.
 
@@ -292,14 +284,14 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
 
     - rows with a null id stay, and stand for none; null, empty and blank texts are copies of each other.
     - texts under `words` words: one shingle. Repeated rows, and copies that share an id, stay once.
-    - all columns are kept; an empty table stays empty.
+    - texts of any length are read whole. All columns are kept, whatever their names; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    text = F.col(f"`{text_col}`")
-    coded = docs.select(F.struct(*own).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    coded = stored(coded.withColumn("s", shingle_sets(words)("text")).select("row", "id", "h", "s.*"), "shingles")
+    bounded_batches(docs.sparkSession)
+    own = Carried(docs, id=id_col, text=text_col)
+    coded = own.df.withColumn("h", F.xxhash64("text")).withColumn("s", shingle_sets(words)("text"))
+    # The rows' order and number hold from here on, as they are in the stored table.
+    coded = stored(coded.select("row", "id", "h", "s.*"), "shingles")
+    text = F.col(f"row.c{own.place(text_col)}")
 
     spread = coded.select("node", "c0", "c1", "keys").dropDuplicates(["node"])
     members = spread.select(F.explode("keys").alias("key"), F.struct("node", "c0", "c1").alias("item"))
@@ -307,22 +299,25 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     likely = stored(likely, "likely")
 
     hashes = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingle_hashes(t, words)).tobytes()), "binary")
-    some = coded.join(F.broadcast(likely.select(slot("node").alias("slot")).distinct()), slot("node") == F.col("slot"), "left_semi")
+    some = coded.join(slots_of(likely, "node"), slot("node") == F.col("_slot"), "left_semi")
     # One text of a node will do: all have the same set.
-    one = some.select("node", hashes(F.col(f"row.`{text_col}`")).alias("hashes")).dropDuplicates(["node"]).join(likely, "node")
+    one = some.select("node", hashes(text).alias("hashes")).dropDuplicates(["node"]).join(likely, "node")
     checked = stored(one.select("component", F.struct("node", "hashes").alias("item")), "sets")
     sure = components(bucket_blocks(checked, ["component"], "item", BLOCK // 4).select("left", "right").mapInArrow(exact_links(least), "a long, b long"))
 
-    placed = coded.select("node", "id", "h").join(stored(sure, "linked"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Copies share a node: what follows joins a row for each node, and not the rows themselves, which may be mostly copies.
     stand = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("first")
-    groups = placed.groupBy("component").agg(stand, F.count("id").alias("n")).where("n > 1")
-    fate = stored(placed.select("node", "component").distinct().join(groups, "component").select("node", "first"), "groups")
-    slots = F.broadcast(fate.select(slot("node").alias("slot")).distinct())
-    alone = coded.join(slots, slot("node") == F.col("slot"), "left_anti")
-    judged = coded.join(slots, slot("node") == F.col("slot"), "left_semi").join(fate, "node", "left")
+    nodes = stored(coded.groupBy("node").agg(stand, F.count("id").alias("ids"), F.count(F.lit(1)).alias("rows")), "nodes")
+    placed = stored(nodes.join(sure, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    groups = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("ids").alias("ids"), F.count(F.lit(1)).alias("_n")).where("ids > 1")
+    fate = join_groups(placed.select("node", "component", "rows"), groups, ["component"], nodes.count())
+    fate = stored(fate.select("node", "first", F.col("rows").alias("_n")), "groups")
+    slots = slots_of(fate, "node")
+    alone = coded.join(slots, slot("node") == F.col("_slot"), "left_anti")
+    judged = join_groups(coded.join(slots, slot("node") == F.col("_slot"), "left_semi"), fate, ["node"], coded.count(), "left")
     free = judged.where(F.col("first").isNull() | F.col("id").isNull())
     firsts = judged.where((F.col("id") == F.col("first.id")) & (F.col("h").eqNullSafe(F.col("first.h")))).dropDuplicates(["id", "h"])
-    return alone.select("row.*").unionByName(free.select("row.*")).unionByName(firsts.select("row.*"))
+    return alone.select("row").unionByName(free.select("row")).unionByName(firsts.select("row")).select(*own.columns())
 
 
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

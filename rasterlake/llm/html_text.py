@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import bounded_batches, table
+from rasterlake.llm.common import Carried, bounded_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and elements that never show.
@@ -43,9 +43,15 @@ PARTS = IN_TABLE | frozenset("caption colgroup col td th script style template".
 SCOPE = frozenset("table td th caption html body button".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-DEEPEST = 250
+#: The standard's limits of how many columns and rows a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Columns that lists and quotes are indented by, at most; what is nested deeper stands there too.
+MOST_INDENT = 80
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.IGNORECASE)
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+)*)")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+INLINE = frozenset("inline inline-block inline-flex inline-grid contents".split())
 
 
 class Node:
@@ -59,61 +65,83 @@ def attributes_of(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape((v[1:-1] if v[:1] in "\"'" else v) or "") for k, v in reversed(ATTRIBUTE.findall(text))} if text.strip() else {}
 
 
-def close(stack: list[Node], tags, bounds) -> None:
+class Open:
+    """The open elements, the root first, and where those of each tag are: finding one takes no walk over the others."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        """Closes the innermost elements, until `size` are open."""
+        while len(self.nodes) > max(size, 1):
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of the tags, 0 if there is none."""
+        return max((x[-1] for t in tags if (x := self.at.get(t))), default=0)
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+
+def close(stack: Open, tags, bounds) -> None:
     """Closes the innermost open element of `tags`, with all in it, unless one of `bounds` is inside of it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in bounds:
-            return
+    place = stack.last(tags)
+    if place and place >= stack.last(bounds):
+        stack.cut(place)
 
 
-def to_table_parts(stack: list[Node], tag: str) -> None:
+def to_table_parts(stack: Open, tag: str) -> None:
     """Makes ready for a start tag in a table: what it cannot stand in is closed, and the row of a cell is opened."""
-    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-        stack.pop()
+    if stack.top.tag == "colgroup" and tag not in ("col", "template"):
+        stack.cut(len(stack.nodes) - 1)
     if tag not in PARTS or tag in ("script", "style", "template"):
         return
-    table = _last(stack, {"table"})
+    table = stack.last({"table"})
     if not table:
         return
     if tag == "table":
-        if stack[-1].tag in IN_TABLE:  # a table right in a table is the next one
-            del stack[table:]
+        if stack.top.tag in IN_TABLE:  # a table right in a table is the next one
+            stack.cut(table)
         return
-    if _last(stack, {"td", "th", "caption"}) > table:
+    if stack.last({"td", "th", "caption"}) > table:
         if tag not in ("caption", "colgroup", "col"):
             return  # CLOSES has closed what it may
-        del stack[table + 1 :]
+        stack.cut(table + 1)
     into = {"td": IN_TABLE, "th": IN_TABLE, "tr": GROUPS | {"table"}, "col": {"table", "colgroup"}}.get(tag, {"table"})
-    while stack[-1].tag not in into:
-        stack.pop()
-    if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+    stack.cut(max(stack.last(into), 0) + 1)
+    if tag in ("td", "th") and stack.top.tag != "tr":
         row = Node("tr", {})
-        stack[-1].children.append(row)
-        stack.append(row)
+        stack.top.children.append(row)
+        stack.push(row)
 
 
-def add(stack: list[Node], child: Node | str) -> None:
+def add(stack: Open, child: Node | str) -> None:
     """Puts child into the innermost open element, or before the table in which it may not stand."""
-    if stack[-1].tag == "colgroup" and isinstance(child, str) and SPACES.sub("", child):
-        stack.pop()
-    if stack[-1].tag not in IN_TABLE or (child.tag in PARTS if isinstance(child, Node) else not SPACES.sub("", child)):
-        stack[-1].children.append(child)
+    if stack.top.tag == "colgroup" and isinstance(child, str) and SPACES.sub("", child):
+        stack.cut(len(stack.nodes) - 1)
+    top = stack.top
+    if top.tag not in IN_TABLE or (child.tag in PARTS if isinstance(child, Node) else not SPACES.sub("", child)):
+        top.children.append(child)
         return
-    at = _last(stack, {"table"})
+    at = stack.last({"table"})
     if not at:  # a row or a group outside of any table
-        stack[-1].children.append(child)
+        top.children.append(child)
         return
-    before = stack[at - 1].children
-    before.insert(next((i for i in range(len(before) - 1, -1, -1) if before[i] is stack[at]), len(before)), child)
+    before = stack.nodes[at - 1].children
+    before.insert(next((i for i in range(len(before) - 1, -1, -1) if before[i] is stack.nodes[at]), len(before)), child)
 
 
-def tree(page: str) -> Node:
-    """The page as nested elements and strings. Unclosed elements end with their parent, stray end tags are ignored."""
-    root = Node("html", {})
-    stack, at = [root], 0
+def tree(page: str) -> tuple[Node, list[str]]:
+    """(the page as nested elements and strings, its style sheets). Unclosed elements end with their parent, stray end tags
+    are ignored."""
+    root, sheets = Node("html", {}), []
+    stack, at = Open(root), 0
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
             add(stack, html.unescape(page[at : m.start()]))
@@ -130,34 +158,85 @@ def tree(page: str) -> Node:
             continue
         if tag in CLOSES:
             tags, bounds = CLOSES[tag]
-            while any(n.tag in tags for n in stack[_last(stack, bounds) + 1 :]):
-                close(stack, tags, bounds)
+            while (place := stack.last(tags)) > stack.last(bounds):
+                stack.cut(place)
         elif tag in BLOCK:
             close(stack, {"p"}, SCOPE)
         to_table_parts(stack, tag)
         node = Node(tag, attributes_of(m[3]))
-        if tag == "form" and stack[-1].tag in IN_TABLE:  # an empty element there
+        if tag == "form" and stack.top.tag in IN_TABLE:  # an empty element there
             continue
         add(stack, node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.IGNORECASE).search(page, at)
             if tag in ("textarea", "xmp"):
                 node.children.append(page[at : end.start()])
+            elif tag == "style":
+                sheets.append(page[at : end.start()])
             at = end.end()
-        elif tag not in VOID and len(stack) < DEEPEST and not (tag in ("svg", "math") and m[3].rstrip().endswith("/")):
-            stack.append(node)
+        elif tag not in VOID and not (tag in ("svg", "math") and m[3].rstrip().endswith("/")):
+            stack.push(node)
     if at < len(page):
         add(stack, html.unescape(page[at:]))
-    return root
-
-
-def _last(stack: list[Node], tags) -> int:
-    return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
-
-
-def visible(node: Node) -> bool:
-    a = node.attributes
-    return not ((node.tag in HIDDEN and not (node.tag == "dialog" and "open" in a)) or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or UNSEEN.search(a.get("style", "")))
+    return root, sheets
+
+
+class Sheet:
+    """What style sheets say of display and visibility by element, class and id. Selectors with combinators, attributes or
+    pseudo-classes are left out, and of conditional rules all but those of `@media all` and `@media screen`."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules = {}
+        for order, (selectors, body) in enumerate(rule for css in sheets for rule in self.split(COMMENT.sub(" ", css))):
+            said = {k.lower(): (v.lower(), bool(important)) for k, v, important in DECLARATION.findall(body)}
+            for one in map(str.strip, selectors.split(",")) if said else ():
+                m = SELECTOR.fullmatch(one)
+                if not m or not one:
+                    continue
+                marks = re.findall(r"[#.][\w-]+", m[2])
+                tag = (m[1] or "*").lower()
+                rank = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), int(tag != "*"), order)
+                self.rules.setdefault(marks[-1] if marks else tag, []).append((tag, frozenset(marks), rank, said))
+
+    @staticmethod
+    def split(css: str):
+        """(selectors, declarations) of the rules that hold."""
+        above, start = [], 0
+        for m in re.finditer(r"[{}]", css):
+            if m[0] == "{":
+                above.append(css[start : m.start()].rsplit(";", 1)[-1].strip())
+            elif above:
+                head = above.pop()
+                if not head.startswith("@") and all(re.fullmatch(r"@media\s+(all|screen)", x, re.IGNORECASE) for x in above):
+                    yield head, css[start : m.start()]
+            start = m.end()
+
+    def look(self, node: Node) -> tuple[str | None, str | None]:
+        """(display, visibility) that author's rules give the element; inline ones win, important ones over all."""
+        a = node.attributes
+        best = {}
+        if self.rules:
+            marks = {f".{x}" for x in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
+            for key in (*marks, node.tag, "*"):
+                for tag, needed, rank, said in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and needed <= marks:
+                        for k, (value, important) in said.items():
+                            best[k] = max(best.get(k, ((False, (-1,)), "")), ((important, rank), value))
+        for k, value, important in DECLARATION.findall(a.get("style", "")) if "style" in a else ():
+            best[k.lower()] = max(best.get(k.lower(), ((False, (-1,)), "")), ((bool(important), (2**31,)), value.lower()))
+        return tuple(best[k][1] if k in best else None for k in ("display", "visibility"))
+
+    def shown(self, node: Node, seen: bool) -> tuple[bool, bool, str | None]:
+        """(whether the element is laid out, whether its own text shows, its display); seen is whether its parent's does."""
+        a, tag = node.attributes, node.tag
+        if (tag in HIDDEN and not (tag == "dialog" and "open" in a)) or (tag == "input" and a.get("type", "").lower() == "hidden"):
+            return False, False, None
+        if not self.rules and "style" not in a:
+            return "hidden" not in a, seen, None
+        display, visibility = self.look(node)
+        if visibility in ("visible", "hidden", "collapse"):
+            seen = visibility == "visible"
+        return display != "none" and (display is not None or "hidden" not in a), seen, display
 
 
 def width(text: str) -> int:
@@ -166,10 +245,13 @@ def width(text: str) -> int:
 
 
 class Lines:
-    """Lines of text as they are laid out. Blank lines and blanks are put in only before what follows them."""
+    """Lines of text as they are laid out. Blank lines and blanks are put in only before what follows them.
+
+    Lists and quotes are frames [lead, columns before it, blank line due before it, begun]: the lead stands before the
+    frame's first line, spaces of the same width before the others."""
 
     def __init__(self):
-        self.done, self.line, self.space, self.blank, self.lead = [], [], False, False, ""
+        self.done, self.line, self.space, self.blank, self.frames = [], [], False, False, []
 
     def text(self, text: str) -> None:
         for i, word in enumerate(SPACES.split(text)):
@@ -179,28 +261,60 @@ class Lines:
 
     def put(self, text: str) -> None:
         if not self.line:
-            if self.blank and self.done:
+            new = len(self.frames)
+            while new and not self.frames[new - 1][3]:
+                new -= 1
+            due = self.frames[new][2] if new < len(self.frames) else self.blank
+            if due and self.done:
                 self.done.append("")
             self.blank = False
-            self.line.append(self.lead)
-            self.lead = " " * width(self.lead)
+            self.line.append(" " * self.indent(new))
+            for frame in self.frames[new:]:
+                frame[3] = True
+                self.line.append(frame[0])
         self.line.append(text)
         self.space = False
 
+    def indent(self, frames: int) -> int:
+        return min(MOST_INDENT, self.frames[frames - 1][1] + width(self.frames[frames - 1][0])) if frames else 0
+
     def end(self, spaced: bool = False) -> None:
         if self.line:
             self.done.append("".join(self.line).rstrip())
         self.line, self.space = [], False
         self.blank |= spaced
 
+    def open(self, lead: str, spaced: bool) -> None:
+        """Begins a frame; blank lines at its ends are those around it, not those that its content asks for."""
+        self.end(spaced)
+        self.frames.append([lead, self.indent(len(self.frames)), self.blank, False])
+        self.blank = False
+
+    def close(self, spaced: bool) -> None:
+        self.end()
+        _, _, due, begun = self.frames.pop()
+        self.blank = spaced or (due and not begun)
+
     def result(self) -> list[str]:
         self.end()
         return self.done
 
 
-def lay_out(node: Node, out: Lines, ordered: list | None = None, pre: bool = False) -> None:
-    for child in node.children:
+def lay_out(root: Node, out: Lines, sheet: Sheet, seen: bool):
+    """Lays out the content of an element. Yields the (cell, seen) of tables, to be sent their lines: a walk with stacks of
+    its own, as pages may be nested to any depth."""
+    todo = [(iter(root.children), root.tag, None, False, seen, None)]
+    while todo:
+        children, parent, ordered, pre, seen, leave = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+            if leave:
+                leave[0](leave[1])
+            continue
         if isinstance(child, str):
+            if not seen:
+                continue
             if not pre:
                 out.text(child)
                 continue
@@ -211,73 +325,94 @@ def lay_out(node: Node, out: Lines, ordered: list | None = None, pre: bool = Fal
                 if line:
                     out.put(line)
             continue
-        if not visible(child):
+        laid, shows, display = sheet.shown(child, seen)
+        if not laid:
             continue
-        tag = child.tag
+        tag, inside = child.tag, iter(child.children)
         if tag == "br":
-            out.put("") if not out.line else None
+            out.put("") if shows and not out.line else None
             out.end()
         elif tag == "hr":
             out.end(True)
-            out.put("---")
+            if shows:
+                out.put("---")
             out.end(True)
         elif tag == "img":
-            out.text(child.attributes.get("alt", ""))
+            out.text(child.attributes.get("alt", "") if shows else "")
         elif tag == "table":
-            block(out, table_lines(child), True)
+            block(out, (yield from table_lines(child, sheet, shows)))
         elif tag in ("ul", "ol", "menu", "blockquote", "dd", "li"):
-            inner, start = Lines(), re.fullmatch(r"\s*(-?\d{1,9})\s*", child.attributes.get("start", ""))
-            inner.lead = "" if tag != "li" else f"{ordered[0]}. " if ordered else "- "
+            start = re.fullmatch(r"\s*(-?\d{1,9})\s*", child.attributes.get("start", ""))
+            lead = "  " if tag in ("blockquote", "dd") else "" if tag != "li" else f"{ordered[0]}. " if ordered else "- "
             if tag == "li" and ordered:
                 ordered[0] += 1
-            lay_out(child, inner, [int(start[1]) if start else 1] if tag == "ol" else None if tag in ("ul", "menu") else ordered, pre)
-            lines = inner.result()
-            if tag == "li":
-                pad = " " * (3 if ordered else 2)
-                lines = [line if i == 0 or not line or line.startswith(pad) else pad + line for i, line in enumerate(lines)]
-            nested = node.tag == "li" and tag in ("ul", "ol", "menu")
-            block(out, ["  " + x if x else x for x in lines] if tag in ("blockquote", "dd") else lines, tag in SPACED and not nested)
-        elif tag in BLOCK:
-            out.end(tag in SPACED)
-            lay_out(child, out, ordered, pre or tag == "pre")
+            spaced = tag in SPACED and not (parent == "li" and tag in ("ul", "ol", "menu"))
+            out.open(lead, spaced)
+            todo.append((inside, tag, [int(start[1]) if start else 1] if tag == "ol" else None if tag in ("ul", "menu") else ordered, pre, shows, (out.close, spaced)))
+        elif tag == "details" and "open" not in child.attributes:
+            out.end()
+            todo.append((iter([c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), tag, ordered, pre, shows, (out.end, False)))
+        elif (tag in BLOCK) if display is None else display not in INLINE:
             out.end(tag in SPACED)
+            todo.append((inside, tag, ordered, pre or tag == "pre", shows, (out.end, tag in SPACED)))
         else:
-            lay_out(child, out, ordered, pre or tag in ("textarea", "xmp"))
+            todo.append((inside, tag, ordered, pre or tag in ("textarea", "xmp"), shows, None))
 
 
-def block(out: Lines, lines: list[str], spaced: bool) -> None:
-    out.end(spaced)
+def block(out: Lines, lines: list[str]) -> None:
+    out.end(True)
     for line in lines:
         if line:
             out.put(line)
             out.end()
         else:
             out.end(True)
-    out.end(spaced)
+    out.end(True)
 
 
-def table_lines(node: Node) -> list[str]:
-    """A table's caption, then its rows with cells aligned in columns; a cell may have several lines and span columns."""
-    caption, rows, todo = [], [], [node]
+def number(cell: Node, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "1").strip()
+    return min(int(text[:9]), most) if text.isdecimal() and text.isascii() else 1
+
+
+def table_lines(node: Node, sheet: Sheet, seen: bool):
+    """A table's caption, then its rows with cells aligned in columns. A cell may have several lines, span columns, and span
+    rows to the end of its group; a place that it spans is left empty."""
+    caption, grid, todo = [], [], [(node, seen, 0)]
+    busy, group = {}, 0  # rows that the cells above still fill, by column
     while todo:
-        n = todo.pop()
-        if n.tag == "tr":
-            rows.append([c for c in map(as_cell, n.children) if c])
-        elif n.tag == "caption":
-            caption += rendered(n)
-        elif n is node or n.tag in GROUPS:
-            inner = [Node("td", {}, [c]) if isinstance(c, str) else c for c in n.children if (visible(c) if isinstance(c, Node) else SPACES.sub("", c))]
-            todo += reversed(inner)
-        elif cell := as_cell(n):
-            rows.append([cell])
-    grid = []
-    for row in rows:
-        line = []
-        for cell in row:
-            span = cell.attributes.get("colspan", "1")
-            line.append(rendered(cell) or [""])
-            line += [[""]] * (min(int(span), 1000) - 1 if span.isdecimal() and span.isascii() else 0)
-        grid.append(line)
+        n, seen, inside = todo.pop()
+        if n.tag == "caption":
+            caption += yield n, seen
+            continue
+        if n is node or n.tag in GROUPS:
+            inner = [c if isinstance(c, Node) else Node("td", {}, [c]) for c in n.children if isinstance(c, Node) or SPACES.sub("", c)]
+            group += 1
+            todo += reversed([(c, shows, group if n is not node else inside) for c in inner for laid, shows, _ in [sheet.shown(c, seen)] if laid])
+            continue
+        cells = []
+        for child in n.children if n.tag == "tr" else [n]:
+            cell = child if isinstance(child, Node) and child.tag in ("td", "th") else Node("td", {}, [child])
+            laid, shows, _ = sheet.shown(cell, seen)
+            lines = (yield cell, shows) if laid else []
+            if lines or (laid and cell is child):  # what is no cell, and shows nothing, takes no place
+                cells.append((cell, lines or [""]))
+        if n.tag != "tr" and not cells:
+            continue
+        if any(g != inside for g, _ in busy.values()):
+            busy = {}
+        line, at, after = {}, 0, {c: (g, k - 1) for c, (g, k) in busy.items() if k > 1}
+        for cell, lines in cells:
+            while at in busy:
+                at += 1
+            line[at] = lines
+            rows = number(cell, "rowspan", MOST_ROWS)
+            for c in range(at, at := at + max(1, number(cell, "colspan", MOST_COLUMNS))):
+                line.setdefault(c, [""])
+                if rows != 1:
+                    after[c] = (inside, rows - 1 if rows else MOST_ROWS)
+        busy = after
+        grid.append([line.get(c, [""]) for c in range(max(line, default=-1) + 1)])
     wide = [max(width(x) for line in grid if c < len(line) for x in line[c]) for c in range(max(map(len, grid), default=0))]
     out = caption
     for line in grid:
@@ -287,34 +422,40 @@ def table_lines(node: Node) -> list[str]:
     return out
 
 
-def as_cell(child: Node | str) -> Node | None:
-    """A row's child as a cell; None if it shows nothing and is none."""
-    if isinstance(child, Node) and child.tag in ("td", "th"):
-        return child if visible(child) else None
-    cell = Node("td", {}, [child])
-    return cell if rendered(cell) else None
-
-
-def rendered(node: Node) -> list[str]:
+def rendered(node: Node, sheet: Sheet) -> list[str]:
+    """The element's lines."""
     out = Lines()
-    lay_out(node, out)
-    return out.result()
+    walks, answer = [(lay_out(node, out, sheet, sheet.shown(node, True)[1]), out)], None
+    while True:
+        try:
+            cell, seen = walks[-1][0].send(answer)
+            answer, out = None, Lines()
+            walks.append((lay_out(cell, out, sheet, seen), out))
+        except StopIteration:
+            answer = walks.pop()[1].result()
+            if not walks:
+                return answer
 
 
 def visible_text(page: str | None) -> str | None:
-    return None if page is None else "\n".join(rendered(tree(page)))
+    if page is None:
+        return None
+    root, sheets = tree(page)
+    return "\n".join(rendered(root, Sheet(sheets)))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, the visible text of html_col as a browser would lay it out.
 
     - null html: null text; empty html or nothing visible: empty text.
-    - unclosed, misplaced and stray tags never fail; elements nested deeper than 250 are laid out at that depth.
-    - long pages are read whole; repeated rows get the same text; a column named text is replaced; an empty table stays so.
+    - unclosed, misplaced and stray tags never fail; elements may be nested to any depth.
+    - long pages are read whole; repeated rows get the same text; a column named text, in any case, is replaced; an empty
+      table stays so.
     """
     bounded_batches(pages.sparkSession)
     run = F.pandas_udf(lambda s: pd.Series([visible_text(x) for x in s], dtype=object), T.StringType())
-    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != "text"], run(F.col(f"`{html_col}`")).alias("text"))
+    own = Carried(pages, html=html_col)
+    return own.df.select("row", run("html").alias("out")).select(*own.columns({"text": F.col("out")}))
 
 
 def op3_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:

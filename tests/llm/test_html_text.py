@@ -49,6 +49,41 @@ IN_TABLES = [
 ]
 
 
+SPANS = [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+    ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j</table>", "a | b | c\nd |   | e\nf |   | g\nh | i | j"),
+    ("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C<tr><td>x<td>y<td>z</table>", "A |   | B\n  |   | C\nx | y | z"),
+    ("<table><tbody><tr><td rowspan=9>A<td>B<tbody><tr><td>C<td>D</table>", "A | B\nC | D"),
+    ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>", "A | B\n  | C\n  | D"),
+    ("<table><tr><td rowspan=x>A<td rowspan=-2>B<tr><td>C</table>", "A | B\nC"),
+    ("<table><tr style='display:none'><td>no<tr><td>a<td style='visibility:hidden'>no<td>b</table>", "a |  | b"),
+]
+SEEN = [
+    ("<details><summary>S</summary>no<p>no</details>x", "S\nx"),
+    ("<details open><summary>S</summary>yes</details>x", "S\nyes\nx"),
+    ("<details>no</details>x", "x"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<div style='display:none'>no<b style='display:block;visibility:visible'>no</b></div>x", "x"),
+    ("<style>.a{display:none} #b{visibility:hidden} i.c{display:none}</style><p class='x a'>no<p id=b>no<p><i class=c>no</i><b class=c>yes</b>", "yes"),
+    ("<style>p{display:none} .on{display:block}</style><p>no<p class=on>yes", "yes"),
+    ("<style>.a{display:none !important}</style><p class=a style='display:block'>no</p><p style='display:none' class=b>no</p>x", "x"),
+    ("<style>@media print{.a{display:none}} @media screen{.b{display:none}} /* .c{display:none} */</style><i class=a>1</i><i class=b>2</i><i class=c>3</i>", "13"),
+    ("<style>div p{display:none} a:hover{display:none}</style><div><p>yes <a>too</a></div>", "yes too"),
+    ("<style>.a{display:block}</style><p hidden class=a>yes<p hidden>no", "yes"),
+    ("a<span style='display:block'>b</span>c<div style='display:inline'>d</div>e", "a\nb\ncde"),
+    ("<i aria-hidden=true>icon</i> x", "icon x"),
+    ("<ul><li><p>a</p></li><li><p>b</p><p>c</p></li></ul>", "- a\n- b\n\n  c"),
+    ("<ol start=9><li>a<li>b<ul><li>c<br>d</ul></ol>", "9. a\n10. b\n    - c\n      d"),
+    ("<blockquote><ul><li>a</ul></blockquote>b", "  - a\n\nb"),
+    ("<ul><li><ul><li>x</ul></ul>", "- - x"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SPANS + SEEN)
+def test_spans_and_visibility(page, text):
+    assert visible_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), IN_TABLES)
 def test_nothing_in_a_table_is_lost(page, text):
     assert visible_text(page) == text
@@ -60,15 +95,22 @@ def test_layout(page, text):
 
 
 def test_deep_and_broken_pages():
-    assert visible_text("<div>" * 5000 + "x") == "x"
-    assert visible_text("<table><tr><td>" * 400 + "x").strip(" |") == "x"
-    assert visible_text("<ul><li>" * 400 + "x").endswith("x")
+    assert visible_text("<div>" * 50_000 + "x") == "x"
+    assert visible_text("<div>" * 5000 + "<div hidden>secret</div>x") == "x"
+    assert visible_text("<p><b>" * 20_000 + "x") == "x"
+    assert visible_text("<table><tr><td>" * 2000 + "x") == "x"
+    assert visible_text("<ul><li>" * 3000 + "x").endswith("- x")
+    deep = visible_text("".join(f"<ul><li>w{i}" for i in range(2000))).split("\n")
+    assert [x.split()[-1] for x in deep] == [f"w{i}" for i in range(2000)] and max(map(len, deep)) < 100
     assert len(visible_text("<p>word " * 50_000)) > 50_000
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")
+    df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, Text string")
+    assert extract_text(df).columns == ["page_id", "html", "text"]
     assert sorted((r.page_id, r.text) for r in extract_text(df).collect()) == [(1, "a"), (1, "a"), (2, None)]
+    rows = extract_text(spark.createDataFrame([("<p>a", "b", "c", 1)], "html string, HTML string, out string, row int"))
+    assert rows.columns == ["html", "HTML", "out", "row", "text"] and tuple(rows.first()) == ("<p>a", "b", "c", 1, "a")
     assert extract_text(df.limit(0)).count() == 0
 
 

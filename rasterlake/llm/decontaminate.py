@@ -14,15 +14,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import bounded_batches, stored, table
+from rasterlake.llm.common import Carried, bounded_batches, join_groups, slot, slots_of, stored, table
 
 WORDS, SHARE, RUN = 5, 0.8, 13
 #: Benchmark windows up to which they are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Parts that each window's hits are dealt into where they are joined by shuffle.
+SALTS = 32
 
 #: Units of measure and currency that count after a number.
 UNITS = (
@@ -134,6 +137,11 @@ def window_hashes(texts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def value(source: str, t: Template, k: int) -> str:
+    """What stands at word k."""
+    return source[t.start[k] : t.end[k]].lower().strip(".,;:!?\"'()[]{}")
+
+
 def compare(text: str | None, item: str | None) -> tuple[float, int, dict[str, str]]:
     """(share of the item's different windows that the text holds with consistent slots, words of the longest run of
     such windows, what stands for the item's placeholders)."""
@@ -149,9 +157,6 @@ def compare(text: str | None, item: str | None) -> tuple[float, int, dict[str, s
     # Where a window stands at several places, those on the most common diagonals weigh most.
     diagonal = Counter(t - i for i, t, _ in pairs)
 
-    def value(source: str, t: Template, k: int) -> str:
-        return source[t.start[k] : t.end[k]].lower().strip(".,;:!?\"'()[]{}")
-
     votes = defaultdict(Counter)
     for i, t, _ in pairs:
         for k in range(WORDS):
@@ -172,39 +177,88 @@ def comparison(texts: pd.Series, items: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([compare(t, i) for t, i in zip(texts, items, strict=True)], columns=["containment", "run", "slots"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, _h, item_id, containment, run, slots) for each text and benchmark item that it leaks; _h is the text's hash.
+@F.pandas_udf(T.LongType())
+def template_class(items: pd.Series) -> pd.Series:
+    """A hash of the item's template and of which of its slots have the same value: items that agree in both leak from the
+    same texts."""
+    out = []
+    for text in items:
+        t, seen = templates([text]), {}
+        same = [seen.setdefault(value(text, t, k), len(seen)) for k in np.flatnonzero(t.slot)]
+        out.append(xxhash.xxh64_intdigest(t.h.tobytes() + b"|" + np.array(same, dtype="<i8").tobytes()) - (1 << 63))
+    return pd.Series(out, dtype="int64")
+
+
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, class, text): the benchmark's different items with a text, and a hash of their class."""
+    own = Carried(benchmark, item_id=item_col, text=text_col).df.select("item_id", "text").where("text is not null").distinct()
+    return own.select("item_id", template_class("text").alias("class"), "text")
+
+
+def spread_join(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """hits joined with keys on `_key`: by broadcast if there are few keys, else by shuffle, with the keys repeated for
+    SALTS parts of each key's hits, as one window may be in a third of all texts."""
+    if keys.count() <= BROADCAST_WINDOWS:
+        return hits.join(F.broadcast(keys), "_key")
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id_col, _h, item_id, n_items, containment, run, slots) for each text and class of benchmark items that it leaks; _h is
+    the text's hash.
 
     A text leaks an item if it holds, with consistent slots, at least `share` of the item's different windows, or a run
-    of at least `run` words of it.
+    of at least `run` words of it. Items of one template (see template_class) are compared once: item_id is the smallest of
+    them, n_items how many there are, and item_classes gives them all.
+
+    Pairs to compare are found exactly: a text that holds enough of an item's windows holds one of its rarest, where as many
+    of its windows are left out as may be missing; so windows that most items share make no pairs.
 
     - null texts, and texts or items of under five words (or with placeholders only), hold no window and never match.
     - null ids pass through; rows that repeat an id and text give one row; a null item_id is an item like others.
-    - repeated items are found once each under their item_id. Other columns are not read. Empty tables give no rows.
+    - repeated items are found once; texts of any length are read whole. Other columns are not read, whatever their names.
+      Empty tables give no rows.
     """
     bounded_batches(docs.sparkSession)
-    item = benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("_item_text")).where("_item_text is not null").distinct()
-    item = stored(item.withColumns({"_ih": F.xxhash64("_item", "_item_text"), "_keys": window_hashes("_item_text")}), "items")
-    keys = item.select("_ih", F.size(F.array_distinct("_keys")).alias("_of"), F.explode(F.array_distinct("_keys")).alias("_key"))
-    if keys.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").withColumn("_h", F.xxhash64("_id", "_text"))
-    found = rows.select("_h", F.explode(window_hashes("_text")).alias("_key")).join(keys, "_key")
-    held = found.groupBy("_h", "_ih", "_of").agg(F.count_distinct("_key").alias("_n"))
-    enough = F.least(F.ceil(F.col("_of") * share), F.lit(run - WORDS + 1))
-    likely = stored(held.where(F.col("_n") >= enough).select("_h", "_ih"), "likely")
-    pairs = rows.join(likely, "_h").dropDuplicates(["_h", "_ih"]).join(item.select("_ih", "_item", "_item_text"), "_ih")
-    checked = pairs.select(F.col("_id").alias(id_col), "_h", F.col("_item").alias("item_id"), comparison("_text", "_item_text").alias("_c")).select(id_col, "_h", "item_id", "_c.*")
+    first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "text")).alias("i")
+    item = item_classes(benchmark, item_col, item_text_col).groupBy(F.col("class").alias("_ih")).agg(first, F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("item_id").isNull()).alias("n_items"))
+    item = stored(item.select("_ih", "n_items", F.col("i.item_id").alias("_item"), F.col("i.text").alias("_item_text")).withColumn("_keys", F.array_distinct(window_hashes("_item_text"))), "items")
+    of = F.size("_keys")
+    enough = F.least(F.ceil(of * F.lit(share)), F.lit(run - WORDS + 1)).cast("int")
+    item = item.where(of > 0).withColumn("_enough", F.greatest(enough, F.lit(1)))
+    keys = item.select("_ih", (of - F.col("_enough") + 1).alias("_kept"), F.explode("_keys").alias("_key"))
+    often = stored(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "windows")
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    by_rarity = Window.partitionBy("_ih").orderBy("_n", "_key")  # the windows of one item
+    rare = stored(join_groups(keys, often, ["_key"], total).withColumn("_place", F.row_number().over(by_rarity)).where("_place <= _kept").select("_ih", "_key"), "rare")
+
+    rows = Carried(docs, _id=id_col, _text=text_col).df.select("_id", "_text").where("_text is not null").withColumn("_h", F.xxhash64("_id", "_text"))
+    hits = stored(spread_join(rows.select("_h", F.explode(window_hashes("_text")).alias("_key")), often.select("_key")).distinct(), "hits")
+    near = stored(spread_join(hits, rare).select("_h", "_ih").distinct(), "near")
+    full = join_groups(near, item.select("_ih", "_keys", "_enough").join(near.groupBy("_ih").agg(F.count(F.lit(1)).alias("_n")), "_ih"), ["_ih"], near.count())
+    held = full.select("_h", "_ih", "_enough", F.explode("_keys").alias("_key")).join(hits, ["_h", "_key"]).groupBy("_h", "_ih", "_enough").count()
+    likely = stored(held.where("count >= _enough").select("_h", "_ih"), "likely")
+
+    some = rows.join(slots_of(likely, "_h"), slot("_h") == F.col("_slot"), "left_semi")
+    pairs = some.join(likely, "_h").dropDuplicates(["_h", "_ih"])
+    known = item.select("_ih", "_item", "_item_text", "n_items").join(likely.groupBy("_ih").agg(F.count(F.lit(1)).alias("_n")), "_ih")
+    pairs = join_groups(pairs, known, ["_ih"], likely.count())
+    checked = pairs.select(F.col("_id").alias(id_col), "_h", F.col("_item").alias("item_id"), "n_items", comparison("_text", "_item_text").alias("_c")).select(id_col, "_h", "item_id", "n_items", "_c.*")
     return checked.where((F.col("containment") >= share) | (F.col("run") >= run))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text leaks no benchmark item; null texts stay."""
-    leaks = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("_h").distinct().withColumnRenamed("_h", "__leak"), "leaks")
-    h: Column = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return docs.join(leaks, h == leaks["__leak"], "left_anti")
+    leaks = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("_h").distinct().withColumnRenamed("_h", "leak"), "leaks")
+    own = Carried(docs, id=id_col, text=text_col)
+    rows = own.df.select("row", F.xxhash64("id", "text").alias("h"))
+    slots = slots_of(leaks, "leak")
+    sure = rows.join(slots, slot("h") == F.col("_slot"), "left_anti")
+    judged = rows.join(slots, slot("h") == F.col("_slot"), "left_semi").join(leaks, F.col("h") == F.col("leak"), "left_anti")
+    return sure.unionByName(judged).select(*own.columns())
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return leaks.select("doc_id", "item_id", "containment", F.col("run").alias("run_words"), F.size("slots").alias("n_slots"))
+    return leaks.select("doc_id", "item_id", "n_items", "containment", F.col("run").alias("run_words"), F.size("slots").alias("n_slots"))

@@ -7,6 +7,7 @@ n-grams is from its place in the profile, or the profile's length where it has n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, table
+from rasterlake.llm.common import Carried, bounded_batches, table
 
 PLACES = 300
 SLICE = 1 << 20
 UNKNOWN = "und"
+#: A character that is no letter: no n-gram goes on over it.
+NO_LETTER = re.compile(r"[\W\d_]")
 
 
 @lru_cache(maxsize=1)
@@ -29,16 +32,15 @@ def letters() -> np.ndarray:
 
 
 def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(indices, parts) of about SLICE characters each. A longer text is cut at a space, or after SLICE letters."""
+    """(indices, parts) of about SLICE characters each. A longer text is cut where a word ends; one word is never cut."""
     at, parts, total = [], [], 0
     for i, text in enumerate(texts):
         start = 0
         while True:
             end = len(text)
             if end - start > SLICE:
-                end = start + SLICE
-                space = text.rfind(" ", start, end)
-                end = space if space > start else end
+                gap = NO_LETTER.search(text, start + SLICE)
+                end = gap.start() if gap else end
             at.append(i)
             parts.append(text[start:end])
             total += end - start
@@ -102,10 +104,15 @@ def training_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield total
 
 
-def learn_profiles(labelled: DataFrame, places: int = PLACES) -> dict[str, list[int]]:
-    """The `places` most frequent n-grams of each language over all rows (lang, text), most frequent first."""
+def learn_profiles(labelled: DataFrame, places: int = PLACES, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[int]]:
+    """The `places` most frequent n-grams of each language over all rows, most frequent first (ties: by the n-gram).
+
+    - rows whose language or text is null are left out; a text without a letter counts nothing; repeated rows count each.
+    - texts of any length are counted whole. Without rows there are no profiles. Other columns are not read.
+    """
     bounded_batches(labelled.sparkSession)
-    counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInPandas(training_counts, "lang string, gram long, n long")
+    rows = Carried(labelled, lang=lang_col, text=text_col).df.select("lang", "text")
+    counts = rows.where("lang is not null and text is not null").mapInPandas(training_counts, "lang string, gram long, n long")
     summed = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = summed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= places)
     out: dict[str, list[int]] = {}
@@ -139,7 +146,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], places: in
 
     - null text, text without a letter, or no profile at all: 'und' with score 0.
     - very long texts are counted in slices; repeated rows get the same result; an empty table stays empty.
-    - columns of docs that are named lang_pred or score are replaced; all others pass through untouched.
+    - columns of docs that are named lang_pred or score, in any case, are replaced; all others pass through untouched.
     """
     bounded_batches(docs.sparkSession)
     names = sorted(profiles)
@@ -155,8 +162,9 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], places: in
         blank = np.array([not any(map(str.isalpha, t)) for t in whole], dtype=bool)
         return pd.DataFrame({"lang_pred": np.where(blank, UNKNOWN, np.array(names, dtype=object)[best]), "score": np.where(blank, 0.0, score)})
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*rest, run(F.col(f"`{text_col}`")).alias("__guess")).select(*rest, "__guess.lang_pred", "__guess.score")
+    own = Carried(docs, text=text_col)
+    guessed = own.df.select("row", run("text").alias("guess"))
+    return guessed.select(*own.columns({"lang_pred": F.col("guess.lang_pred"), "score": F.col("guess.score")}))
 
 
 def fold(folds: int, id_col: str = "doc_id"):

@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, stored, table
+from rasterlake.llm.common import Carried, bounded_batches, stored, table
 from rasterlake.llm.tokens import END, coder, ids_of
 
 LENGTH, BUCKETS, DIMS, BITS = 1024, 512, 3, 10
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
     - null text: empty; an empty text is its end id alone. Documents longer than a sequence are cut as any other.
     - null ids sort first among equal places and pass through; repeated rows are packed once each.
     - ties on the curve (copies) are ordered by id, then by a checksum of their ids. An empty table gives no rows.
-    - columns of docs other than id_col and text_col are not read.
+    - columns of docs other than id_col and text_col are not read, whatever their names.
 
     Only row numbers, token counts and curve keys are range-sorted. A range of any number of equal keys is split, as ids are
     sorted with them. Where a document starts is a running sum in its range and a sum over the ranges before.
@@ -108,7 +108,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, i
     spark = docs.sparkSession
     bounded_batches(spark)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    own = Carried(docs, id=id_col, text=text_col).df
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("text", F.lit("")).alias("text"))
     # The row numbers hold from here on, as they are in the stored table.
     coded = stored(rows.withColumn("coded", encoded(path)("text")).select("row", "id", "coded.*"), "tokens")
 

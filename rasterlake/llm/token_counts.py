@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import bounded_batches, table
+from rasterlake.llm.common import Carried, bounded_batches, table
 from rasterlake.llm.tokens import coder
 
 SEGMENT = 256
@@ -151,10 +151,15 @@ def edited(texts: Column, trees: Column, edits: Column, path: str) -> Column:
 
 
 def build_counts(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with tree, the counts of text_col; a null text has a null tree, an empty one a single leaf without tokens."""
+    """docs with tree, the counts of text_col.
+
+    - a null text has a null tree, an empty one a single leaf without tokens. Texts of any length are counted whole.
+    - repeated rows get the same tree; a column named tree, in any case, is replaced; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
+    own = Carried(docs, text=text_col)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "tree"], count_trees(F.col(f"`{text_col}`"), path).alias("tree"))
+    return own.df.select("row", count_trees(F.col("text"), path).alias("tree")).select(*own.columns({"tree": F.col("tree")}))
 
 
 def apply_edits(counted: DataFrame, edits_col: str = "edits", vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
@@ -162,20 +167,35 @@ def apply_edits(counted: DataFrame, edits_col: str = "edits", vocabulary: str |
 
     edits_col is an array of (start, removed, inserted) in code points, applied one after the other; starts and ends are
     moved into the text, null fields are 0 or ''. A null array leaves the row as it is; so does a null text, which has no
-    characters to edit. Repeated rows are edited each on their own; other columns pass through; empty tables stay empty.
+    characters to edit. Repeated rows are edited each on their own; other columns pass through, but for one named encoded,
+    in any case, which is replaced; empty tables stay empty.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rest = [c for c in counted.columns if c not in (text_col, "tree", "encoded", edits_col)]
-    out = counted.select(*[F.col(f"`{c}`") for c in rest], edited(F.col(f"`{text_col}`"), F.col("tree"), F.col(f"`{edits_col}`"), path).alias("__e"))
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("__e.text").alias(text_col), "__e.tree", "__e.encoded")
+    own = Carried(counted, text=text_col, tree="tree", edits=edits_col)
+    out = own.df.select("row", edited(F.col("text"), F.col("tree"), F.col("edits"), path).alias("e"))
+    kept = [c for i, c in enumerate(own.columns(put={text_col: F.col("e.text"), "tree": F.col("e.tree")})) if i != own.place(edits_col) and own.names[i].lower() != "encoded"]
+    return out.select(*kept, F.col("e.encoded").alias("encoded"))
+
 
+def join_edits(counted: DataFrame, edits: DataFrame, id_col: str = "doc_id", first: int | None = None, last: int | None = None) -> DataFrame:
+    """counted with the array edits of the rows (id_col, seq, start, removed, inserted), by seq from `first` to `last`.
 
-def join_edits(counted: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """counted with the array edits of the rows (id_col, seq, start, removed, inserted), by seq; at most a batch's edits of
-    one document come together, so a long log is applied in batches of seq."""
+    A document's edits come together as one array, as they must be applied in turn; a long log is joined and applied in
+    batches of seq. Edits of one seq are ordered by their other columns.
+
+    - rows without edits, and rows with a null id, get a null array; edits with a null id are left out.
+    - repeated rows of counted get the same edits each; repeated edits are applied each.
+    - a column of counted named edits, in any case, is replaced. Empty tables give no rows, or null arrays.
+    """
     change = F.struct(F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), F.col("inserted").cast("string").alias("inserted"))
-    e = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", change.alias("e")))).alias("edits"))
-    return counted.join(e.select(id_col, "edits.e").withColumnRenamed("e", "edits"), id_col, "left")
+    log = Carried(edits, id=id_col, seq="seq", start="start", removed="removed", inserted="inserted").df.where("id is not null")
+    if first is not None:
+        log = log.where(F.col("seq") >= first)
+    if last is not None:
+        log = log.where(F.col("seq") <= last)
+    e = log.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", change.alias("e")))).alias("edits")).select(F.col("id").alias("edited"), F.col("edits.e").alias("edits"))
+    own = Carried(counted, id=id_col)
+    return own.df.join(e, F.col("id") == F.col("edited"), "left").select(*own.columns({"edits": F.col("edits")}))
 
 
 def total(tree: str) -> Column:

@@ -52,6 +52,20 @@ def test_edges(spark):
     assert {r.lang_pred for r in langid.predict_language(df, {}).collect()} == {"und"}
 
 
+def test_clashing_names(spark):
+    profiles = langid.learn_profiles(spark.createDataFrame([("the cat and the dog", "en", 1)], "text string, lang string, TEXT int"))
+    df = spark.createDataFrame([("the dog", 1, 2, 3, "x")], "text string, Score int, __guess int, row int, Text string")
+    out = langid.predict_language(df, profiles)
+    assert out.columns == ["text", "__guess", "row", "Text", "lang_pred", "score"] and tuple(out.first())[:5] == ("the dog", 2, 3, "x", "en")
+
+
+def test_a_long_word_is_not_cut(monkeypatch):
+    text = "ab" * 50 + "cd 1 " + "xyz" * 30
+    whole = langid.grams([text], np.zeros(1, dtype=np.int64))
+    monkeypatch.setattr(langid, "SLICE", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(langid.grams([text], np.zeros(1, dtype=np.int64)), whole, strict=True))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = langid.op2_language_profiles(spark, sf_dir).join(docs, "doc_id").where("held_out").collect()

@@ -7,8 +7,7 @@ from rasterlake.llm import token_counts as tc
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 REF = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-REF.encode_special_tokens = True
-PIECES = ["a", "the ", " ", "\n", "  ", "it's ", "é", "1", "42", "\t", "\x1c", "\xa0", ".", "!", "中", "Hello ", "x y\n"]
+PIECES = ["<|endoftext|>", "<|endof", "text|>", "a", "the ", " ", "\n", "  ", "it's ", "é", "1", "42", "\t", "\x1c", "\xa0", ".", "!", "中", "Hello ", "x y\n"]
 TEXT = st.lists(st.sampled_from(PIECES), max_size=120).map("".join)
 
 
@@ -64,6 +63,20 @@ def test_rows(spark):
     assert tc.apply_edits(tc.join_edits(counted.limit(0), edits)).count() == 0
 
 
+def test_clashing_names_and_batches(spark):
+    docs = spark.createDataFrame([(1, "some words here", 9, 8, 7)], "doc_id long, text string, Tree int, e int, EDITS int")
+    counted = tc.build_counts(docs)
+    assert counted.columns == ["doc_id", "text", "e", "EDITS", "tree"]
+    log = spark.createDataFrame([(1, 1, 0, 4, "many", "x"), (1, 2, 5, 0, "new ", "y")], "doc_id long, seq int, start long, removed long, inserted string, Doc_Id string")
+    for first, last in ((1, 1), (2, 9)):
+        joined = tc.join_edits(counted, log, first=first, last=last)
+        assert joined.columns[-1] == "edits" and "EDITS" not in joined.columns
+        counted = tc.apply_edits(joined)
+    assert counted.columns == ["doc_id", "text", "e", "tree", "encoded"]
+    row = counted.select("text", "e", tc.total("tree").alias("n")).first()
+    assert tuple(row) == ("many new words here", 8, count("many new words here"))
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in tc.op5_edit_aware_counts(spark, sf_dir).collect():

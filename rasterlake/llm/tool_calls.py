@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import stored, table
+from rasterlake.llm.common import Carried, join_groups, stored, table
 
 #: Schema rows up to which schemas are broadcast.
 BROADCAST_SCHEMAS = 10_000
@@ -24,15 +24,20 @@ def depths(nodes: DataFrame) -> DataFrame:
     calls takes about log2(n) joins; calls that still look back after as many rounds as there could be are on, or behind,
     a cycle: their depth is null.
     """
-    known = nodes.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"))
-    at = nodes.join(known, (F.col("conv_id") == F.col("c2")) & (F.col("after") == F.col("i2")), "left")
-    at = stored(at.select("conv_id", "call_id", F.col("i2").alias("up"), F.when(F.col("i2").isNull(), 0).otherwise(1).cast("long").alias("depth")), "calls")
-    total = at.count()
+    total = nodes.count()
+
+    def looked_up(calls: DataFrame, by: str, found: DataFrame) -> DataFrame:
+        """calls with the columns of the row of found (conv_id, call_id, ...) that `by` names; many calls may name one."""
+        names = calls.where(F.col(by).isNotNull()).groupBy("conv_id", by).agg(F.count(F.lit(1)).alias("_n"))
+        return join_groups(calls, found.withColumnRenamed("call_id", by).join(names, ["conv_id", by]), ["conv_id", by], total, "left")
+
+    known = nodes.select("conv_id", "call_id", F.col("call_id").alias("up"))
+    at = looked_up(nodes.select("conv_id", "call_id", "after"), "after", known)
+    at = stored(at.select("conv_id", "call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "calls")
     for _ in range(total.bit_length()):
         if at.where("up is not null").isEmpty():
             break
-        above = at.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        step = at.join(above, (F.col("conv_id") == F.col("c2")) & (F.col("up") == F.col("i2")), "left")
+        step = looked_up(at, "up", at.select("conv_id", "call_id", F.col("up").alias("up2"), F.col("depth").alias("d2")))
         at = stored(step.select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), "calls")
     return at.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cyclic"))
 
@@ -92,19 +97,34 @@ def link_tool_calls(events: DataFrame, schemas: DataFrame) -> DataFrame:
       behind a cycle: 'cyclic', after all others. An `after` that is no call of the conversation is ignored.
     - arguments that are null or not a JSON object: errors holds 'not an object', and json holds null for them. A tool
       without schema: 'unknown tool'. errors is null for anything but calls.
-    - other columns of events are not read. Empty tables give no rows; without schemas every tool is unknown.
+    - arguments and contents of any length are read whole; other columns are not read, whatever their names. Empty tables
+      give no rows; without schemas every tool is unknown.
     """
-    e = stored(events.select(*EVENT).distinct().withColumn("h", F.xxhash64(*EVENT)), "events")
+    own = Carried(events, **{c: c for c in EVENT}).df.select(*EVENT)
+    e = stored(own.distinct().withColumn("h", F.xxhash64(*EVENT)), "events")
     first = F.struct("turn", "h")
-    calls = e.where("kind = 'call' and conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.min_by("after", first).alias("after"))
-    results = e.where("kind = 'result' and conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(first).alias("r"))
-    links = calls.drop("after").join(depths(calls.select("conv_id", "call_id", "after")), ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
-    links = links.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), "c", "r", "depth", "cyclic")
-    known = schemas.select("name", "arg", "type", "required").distinct().groupBy("name").agg(F.collect_list(F.struct("arg", "type", "required")).alias("schema")).withColumnRenamed("name", "n2")
+    tool = e.where("kind in ('call', 'result') and conv_id is not null and call_id is not null")
+    ids = tool.groupBy("conv_id", "call_id").agg(
+        F.min(F.when(F.col("kind") == "call", first)).alias("c"),
+        F.min_by("after", F.when(F.col("kind") == "call", first)).alias("after"),
+        F.min(F.when(F.col("kind") == "result", first)).alias("r"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    ids = stored(ids, "ids")
+    # Results without a call have nothing to link with.
+    links = ids.where("c is not null").drop("after").join(depths(ids.where("c is not null").select("conv_id", "call_id", "after")), ["conv_id", "call_id"])
+    linked = join_groups(tool, links.select("conv_id", "call_id", "c", "r", "depth", "cyclic", "_n"), ["conv_id", "call_id"], tool.count(), "left")
+    kept = [*e.columns, "c", "r", "depth", "cyclic"]
+    rest = e.where("not coalesce(kind in ('call', 'result') and conv_id is not null and call_id is not null, false)")
+    rest = rest.select("*", *[F.lit(None).cast(linked.schema[c].dataType).alias(c) for c in kept[-4:]])
+    out = linked.select(*kept).unionByName(rest)
+    schemas = Carried(schemas, name="name", arg="arg", type="type", required="required").df.drop("row")
+    known = schemas.distinct().groupBy("name").agg(F.collect_list(F.struct("arg", "type", "required")).alias("schema"))
     if schemas.count() <= BROADCAST_SCHEMAS:
-        known = F.broadcast(known)
-    out = e.join(links, (F.col("conv_id") == F.col("c2")) & (F.col("call_id") == F.col("i2")) & F.col("kind").isin("call", "result"), "left")
-    out = out.join(known, (F.col("name") == F.col("n2")) & (F.col("kind") == "call"), "left")
+        out = out.join(F.broadcast(known.withColumnRenamed("name", "n2")), (F.col("name") == F.col("n2")) & (F.col("kind") == "call"), "left")
+    else:
+        names = tool.where("kind = 'call' and name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+        out = join_groups(out, known.join(names, "name"), ["name"], e.count(), "left").withColumn("schema", F.when(F.col("kind") == "call", F.col("schema")))
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
         F.when((call | result) & (F.col("conv_id").isNull() | F.col("call_id").isNull()), "no id")
@@ -165,7 +185,8 @@ def tool_schemas(spark: SparkSession) -> DataFrame:
 
 def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_tool_calls(conversation_events(table(spark, sf_dir, "conversations")), tool_schemas(spark))
-    return linked.select("conv_id", "turn", "kind", "call_id", "depth", "status", F.array_join("errors", ",").alias("errors"), "json")
+    order = F.regexp_replace("order_key", r"\|[0-9A-F]{16}$", "")  # without the hash that tells ties apart
+    return linked.select("conv_id", "turn", "kind", "call_id", "depth", "status", F.array_join("errors", ",").alias("errors"), order.alias("order_key"), "json")
 
 
 ORACLE_SQL = r"""
@@ -181,6 +202,8 @@ x AS (SELECT e.*, CASE WHEN kind = 'message' THEN -1 WHEN d.depth IS NULL THEN 2
   CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'note' END AS name
   FROM e LEFT JOIN d ON d.conv_id = e.conv_id AND d.turn = e.turn - CASE kind WHEN 'result' THEN 1 ELSE 0 END)
 SELECT conv_id, turn, kind, call_id, depth::BIGINT AS depth, status,
+  lpad((depth::BIGINT + 1)::VARCHAR, 10, '0') || '|' || lpad((CASE WHEN kind = 'result' AND status = 'linked' THEN turn - 1 ELSE turn END)::VARCHAR, 19, '0')
+    || '|' || coalesce(call_id, '') || CASE kind WHEN 'result' THEN '|1|' ELSE '|0|' END || lpad(turn::VARCHAR, 19, '0') AS order_key,
   CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN name = 'note' THEN 'missing:tags' END,
     CASE WHEN conv_id % 7 = 0 THEN 'type:turn' END, CASE WHEN conv_id % 11 = 0 AND conv_id % 7 <> 0 THEN 'unknown:debug' END) END AS errors,
   CASE kind WHEN 'call' THEN '{"arguments":{' || CASE WHEN conv_id % 11 = 0 AND conv_id % 7 <> 0 THEN '"debug":true,' ELSE '' END

@@ -66,10 +66,41 @@ def test_validation_and_canonical_json(spark):
     assert rows_of(spark, []).count() == 0
 
 
+def test_hot_ids_names_and_clashes(spark, monkeypatch):
+    """Many calls after one call, many results of one id, many of one tool; long texts; schemas too many to broadcast."""
+    events = [call(1, 0, "root")] + [call(1, k, f"c{k}", after="root") for k in range(1, 60)] + [result(1, k, "root", f"r{k}") for k in range(60)]
+    events += [call(2, 0, "long", '{"a":1,"b":"' + "x" * 300_000 + '"}')]
+    schema = spark.createDataFrame([("f", "a", "integer", True, 1), ("f", "b", "string", False, 2)], "name string, arg string, type string, required boolean, ARG int")
+    df = spark.createDataFrame([(*e, 1, 2, 3) for e in events], KIND.replace("depth int", "c int, Turn int, _n int"))
+    want = None
+    for most, hot in ((10_000, 10_000), (0, 10_000), (10_000, 10), (0, 10)):
+        monkeypatch.setattr(tl, "BROADCAST_SCHEMAS", most)
+        monkeypatch.setattr("rasterlake.llm.common.HOT", hot)
+        rows = sorted(map(str, tl.link_tool_calls(df, schema).collect()))
+        want = want or rows
+        assert rows == want
+    out = tl.link_tool_calls(df, schema).collect()
+    assert {r.depth for r in out if r.call_id != "root" and r.conv_id == 1} == {1}
+    assert sum(r.status == "duplicate" for r in out) == 59 and sum(r.status == "linked" for r in out) == 2
+    assert [r.errors for r in out if r.conv_id == 2] == [[]]
+
+
 def test_query(spark, sf_dir, duck):
     same_rows(tl.op10_tool_call_linking(spark, sf_dir), duck, tl.ORACLE_SQL)
 
 
+def test_order_of_the_query(spark, sf_dir):
+    out = tl.op10_tool_call_linking(spark, sf_dir).collect()
+    place = {}
+    for r in sorted(out, key=lambda r: (r.conv_id, r.order_key)):
+        if r.kind == "call":
+            assert r.depth == 0 or place[f"c{r.conv_id}-{r.turn - 2}"] < len(place)
+            place[r.call_id] = len(place)
+        elif r.status == "linked" and r.kind == "result":
+            assert r.call_id in place
+    assert max(r.depth for r in out if r.status == "linked") > 0
+
+
 def test_query_is_native(spark, sf_dir):
     plan = tl.op10_tool_call_linking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))

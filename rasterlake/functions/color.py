@@ -5,6 +5,7 @@ The factors are those of the formats' standards: BT.601 luma, full-range JPEG YC
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,17 +80,42 @@ def srgb_of_linear(v: Column) -> Column:
 
 
 def fixed_of_double(v: Column) -> Column:
-    """Signed 2.13 fixed point."""
-    return F.floor(v * 8192 + F.lit(0.5)).cast("int")
+    """Signed 2.13 fixed point as an unsigned 16-bit number: held within -4 and 3.99987793, rounded half to even."""
+    held = F.greatest(F.lit(-4.0), F.least(F.lit(3.99987793), v))
+    return F.rint(held * 8192).cast("int").bitwiseAND(0xFFFF)
 
 
 def double_of_fixed(v: Column) -> Column:
-    return v / F.lit(8192.0)
+    return F.when(v >= 32768, v - 65536).otherwise(v) / F.lit(8192.0)
 
 
-def masked(word: Column, shift: int, bits: int) -> Column:
-    """A channel of `bits` bits, scaled by 256 >> bits (five bits: 31 becomes 248)."""
-    return F.shiftright(word, shift).bitwiseAND((1 << bits) - 1) * (256 >> bits)
+def rgba_of_fixed(r: Column, g: Column, b: Column, a: Column, curve: bool = True) -> list[Column]:
+    """Bytes of four s2.13 numbers; colours, not alpha, go through the sRGB curve if curve is set."""
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), double_of_fixed(v)))
+    byte = lambda v: F.floor(v * 255 + F.lit(0.5)).cast("int")
+    return [byte(srgb_of_linear(unit(c)) if curve and n != "a" else unit(c)).alias(n) for n, c in zip("rgba", (r, g, b, a), strict=True)]
+
+
+def fixed_of_rgba(r: Column, g: Column, b: Column, a: Column, curve: bool = True) -> list[Column]:
+    """Four s2.13 numbers of a pixel; colours become linear light if curve is set."""
+    unit = lambda v: v / F.lit(255.0)
+    return [fixed_of_double(linear_of_srgb(unit(c)) if curve and n != "a" else unit(c)).alias(n) for n, c in zip("rgba", (r, g, b, a), strict=True)]
+
+
+def masked(word: Column, mask: int) -> Column:
+    """The channel that a mask of a word's bits takes, scaled by 256 >> bits (five bits: 31 becomes 248) if it has fewer than
+    eight; more than 255 is 255, and so is a channel without a mask."""
+    if mask == 0:
+        return F.lit(255)
+    shift = (mask & -mask).bit_length() - 1
+    bits = (mask >> shift).bit_count()
+    value = F.shiftright(word.cast("long").bitwiseAND(F.lit(mask).cast("long")), shift) * (256 >> bits if bits < 8 else 1)
+    return F.least(value, F.lit(255)).cast("int")
+
+
+def white_is_zero(v: Column) -> Column:
+    """A sample of a picture in which 0 is white."""
+    return 255 - v
 
 
 def five_to_eight(v: Column) -> Column:
@@ -106,9 +132,48 @@ def gray_of_16(v: Column) -> Column:
     return F.rint(v * 255 / F.lit(65535)).cast("int")
 
 
+def high_byte(v: Column) -> Column:
+    """A 16-bit colour sample as 8 bits."""
+    return F.shiftright(v, 8)
+
+
+def rgb_of_luma_ycbcr(y: Column, cb: Column, cr: Column, luma: tuple[float, float, float] = (0.299, 0.587, 0.114)) -> list[Column]:
+    """RGB of TIFF's YCbCr with its own luma coefficients, in single precision, held within bytes and cut."""
+    lr, lg, lb = map(np.float32, luma)
+    one, two = np.float32(1), np.float32(2)
+    k = lambda v: F.lit(float(v)).cast("float")
+    yf, u, v = y.cast("float"), cb.cast("float") - k(128), cr.cast("float") - k(128)
+    r = yf + k(two * (one - lr)) * v
+    g = yf + k(-two * lr * (one - lr) / lg) * v + k(-two * lb * (one - lb) / lg) * u
+    b = yf + k(two * (one - lb)) * u
+    return [F.greatest(k(0), F.least(k(255), c)).cast("int").alias(n) for n, c in (("r", r), ("g", g), ("b", b))]
+
+
+def rgb_of_studio_yuv(y: Column, u: Column, v: Column) -> list[Column]:
+    """RGB of BT.601 studio-range YUV as WebP takes it."""
+    part = lambda c, by: F.shiftright(c * by, 8)
+    clip = lambda c: clamped(F.shiftright(c, 6)).cast("int")
+    luma = part(y, 19077)
+    return [clip(luma + part(v, 26149) - 14234).alias("r"), clip(luma - part(u, 6419) - part(v, 13320) + 8708).alias("g"), clip(luma + part(u, 33050) - 17685).alias("b")]
+
+
 def luma_bytes(r: Column, g: Column, b: Column) -> Column:
     return clamp_byte(0.299 * r + 0.587 * g + 0.114 * b)
 
 
 def subtract_green(r: Column, g: Column, b: Column) -> list[Column]:
     return [F.pmod(r - g, F.lit(256)).alias("r"), g.alias("g"), F.pmod(b - g, F.lit(256)).alias("b")]
+
+
+def add_green(r: Column, g: Column, b: Column) -> list[Column]:
+    """The inverse of subtract_green."""
+    return [F.pmod(r + g, F.lit(256)).alias("r"), g.alias("g"), F.pmod(b + g, F.lit(256)).alias("b")]
+
+
+def add_color_transform(r: Column, g: Column, b: Column, green_to_red: Column, green_to_blue: Column, red_to_blue: Column) -> list[Column]:
+    """Undoes VP8L's colour transform with a block's factors, all bytes taken as signed where they are multiplied."""
+    signed = lambda v: F.when(v > 127, v - 256).otherwise(v)
+    delta = lambda t, c: F.shiftright(signed(t) * signed(c), 5)
+    red = F.pmod(r + delta(green_to_red, g), F.lit(256))
+    blue = F.pmod(b + delta(green_to_blue, g) + delta(red_to_blue, red), F.lit(256))
+    return [red.cast("int").alias("r"), g.alias("g"), blue.cast("int").alias("b")]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions.rgba import pack, pixel_word, unpack
+from rasterlake.operators.resize import resize
 
 FRAME = "struct<width:int,height:int,duration_us:bigint,rgba:binary>"
 
@@ -36,9 +37,13 @@ def pixels_of(frames: DataFrame) -> DataFrame:
 
 
 def frames_from_pixels(pixels: DataFrame, width: Column, height: Column) -> DataFrame:
-    """Frames of a known size; pixels that are missing are transparent black. A group is one frame."""
-    own = F.struct((F.col("y") * width + F.col("x")).alias("k"), F.lpad(F.hex(pack(F.col("r"), F.col("g"), F.col("b"), F.col("a"))), 8, "0").alias("h"))
-    known = pixels.groupBy("image_id", "frame_idx").agg(F.map_from_entries(F.collect_list(own)).alias("m"), F.first(width).alias("width"), F.first(height).alias("height"))
+    """Frames of a known size; pixels that are missing are transparent black, and of several at one place the one with the
+    largest word (0xRRGGBBAA) is taken. A group is one frame."""
+    sized = pixels.withColumns({"width": width, "height": height})
+    place = (F.col("y") * F.col("width") + F.col("x")).alias("k")
+    one = sized.groupBy("image_id", "frame_idx", "width", "height", place).agg(F.max(pack(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).alias("word"))
+    own = F.struct("k", F.lpad(F.hex("word"), 8, "0").alias("h"))
+    known = one.groupBy("image_id", "frame_idx").agg(F.map_from_entries(F.collect_list(own)).alias("m"), F.first("width").alias("width"), F.first("height").alias("height"))
     dense = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit("00000000")))
     return known.select("image_id", "frame_idx", "width", "height", F.lit(0).cast("long").alias("duration_us"), F.unhex(F.array_join(dense, "")).alias("rgba"))
 
@@ -54,9 +59,10 @@ def insert_frame(frames: Column, at: Column, frame: Column) -> Column:
 
 
 def remove_frame(frames: Column, at: Column) -> Column:
-    """Without the frame at a place counted from 0; an image keeps at least one frame."""
+    """Without the frame at a place counted from 0; a place without a frame is an error, and so is removing the only one."""
     left = F.filter(frames, lambda f, i: i != at)
-    return F.when(F.size(left) > 0, left).otherwise(F.raise_error(F.lit("an image needs a frame")).cast(f"array<{FRAME}>"))
+    error = lambda text: F.raise_error(F.lit(text)).cast(f"array<{FRAME}>")
+    return F.when((at < 0) | (at >= F.size(frames)), error("no such place")).when(F.size(left) > 0, left).otherwise(error("an image needs a frame"))
 
 
 def keep_root(frames: Column) -> Column:
@@ -74,5 +80,74 @@ def step_rate(rates: Column, step: Column, default: Column) -> Column:
 
 
 def milliseconds(jiffies: Column) -> Column:
-    """Sixtieths of a second in whole milliseconds."""
-    return F.floor(jiffies * 1000 / 60).cast("long")
+    """Sixtieths of a second in milliseconds, as a double."""
+    return jiffies * F.lit(1000.0 / 60.0)
+
+
+def jiffies(milliseconds: Column) -> Column:
+    """Milliseconds in whole sixtieths of a second, rounded half up."""
+    return F.floor(milliseconds * 60.0 / 1000.0 + F.lit(0.5)).cast("long")
+
+
+def step_frame(sequence: Column, step: Column, frames: Column) -> Column:
+    """The frame that a step shows: by the sequence, or in turn beyond it and without one."""
+    return F.coalesce(F.when(step >= 0, F.try_element_at(sequence, (step + 1).cast("int"))), step % frames)
+
+
+def put_at(values: Column, at: Column, value: Column, blank: Column) -> Column:
+    """An array with a value at a place counted from 0; it is made longer with blanks where it is too short."""
+    known = F.coalesce(values, F.filter(F.array(blank), lambda _: F.lit(False)))
+    long = F.concat(known, F.array_repeat(blank, F.greatest(at + 1 - F.size(known), F.lit(0)).cast("int")))
+    return F.transform(long, lambda v, i: F.when(i == at, value).otherwise(v))
+
+
+def set_step_rate(rates: Column, step: Column, rate: Column, default: Column) -> Column:
+    """Jiffies of a step; steps before it that have none get the default."""
+    return put_at(rates, step, rate, default)
+
+
+def set_hotspot(hotspots: Column, at: Column, x: Column, y: Column) -> Column:
+    """An array of (x, y) with the hotspot of one frame or entry; entries before it that have none get (0, 0). An icon that
+    gets one becomes a cursor, which is the caller's column to change."""
+    spot = lambda a, b: F.struct(a.cast("int").alias("x"), b.cast("int").alias("y"))
+    return put_at(hotspots, at, spot(x, y), spot(F.lit(0), F.lit(0)))
+
+
+def set_metadata(metadata: Column, kind: str, value: Column) -> Column:
+    """A map of metadata by kind, with one kind set; a null map is an empty one."""
+    rest = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: k != kind)
+    return F.map_concat(rest, F.create_map(F.lit(kind), value))
+
+
+def get_metadata(metadata: Column, kind: str) -> Column:
+    """Null if there is none of the kind."""
+    return F.try_element_at(metadata, F.lit(kind))
+
+
+def remove_metadata(metadata: Column, kind: str) -> Column:
+    return F.map_filter(metadata, lambda k, v: k != kind)
+
+
+def has_metadata(metadata: Column, kind: str) -> Column:
+    return F.coalesce(F.map_contains_key(metadata, kind), F.lit(False))
+
+
+def resized_images(images: DataFrame, width: int, height: int, mode: str = "bilinear") -> DataFrame:
+    """images (image_id, frames, ...) with all frames in one size. Other columns are carried, and `hotspots`, an array of
+    (x, y), is scaled by the size of the root frame; hotspots at (0, 0) stay there. An image is one file, so its frames are
+    gathered again by image_id, which must tell images apart."""
+    other = [c for c in images.columns if c not in ("image_id", "frames")]
+    root = images.withColumns({"rw": F.col("frames")[0]["width"], "rh": F.col("frames")[0]["height"]}).select("image_id", "rw", "rh", "frames", F.struct(F.lit(1).alias("_"), *other).alias("rest"))
+    new = resize(frames_of(root), width, height, mode)
+    own = F.struct("frame_idx", F.struct("width", "height", "duration_us", "rgba").alias("f"))
+    out = new.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["f"]).alias("frames"), F.first("rest").alias("rest"), F.first("rw").alias("rw"), F.first("rh").alias("rh"))
+    spot = lambda h: F.struct(scale_hotspot(h["x"], F.col("rw"), F.lit(width)).alias("x"), scale_hotspot(h["y"], F.col("rh"), F.lit(height)).alias("y"))
+    new = {"hotspots": F.transform("rest.hotspots", spot)} if "hotspots" in other else {}
+    return out.select(*[c if c in ("image_id", "frames") else new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in images.columns])
+
+
+def patched(pixels: DataFrame, patch: DataFrame) -> DataFrame:
+    """pixels with those of patch (image_id, frame_idx, y, x, r, g, b, a; one for each place) in their places."""
+    key = ["image_id", "frame_idx", "y", "x"]
+    new = patch.select(*key, F.struct(*"rgba").alias("new"))
+    return pixels.join(new, key, "left").select(*key, *[F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in "rgba"])

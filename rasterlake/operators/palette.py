@@ -9,6 +9,7 @@ from rasterlake.functions.color import gray
 
 #: Distinct colours beyond which an image has no colour count.
 MOST_COLORS = 256
+MOST_ENTRIES = 65_536
 
 
 def alpha_stats(pixels: DataFrame) -> DataFrame:
@@ -22,16 +23,18 @@ def alpha_stats(pixels: DataFrame) -> DataFrame:
 
 
 def color_counts(pixels: DataFrame) -> DataFrame:
-    """Per image: the number of colours, null beyond 256. Colours are counted once before they are counted per image."""
-    colors = pixels.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    n = F.count(F.lit(1))
-    return colors.groupBy("image_id").agg(F.when(n <= MOST_COLORS, n).alias("n_colors"))
+    """Per image: the number of colours, null beyond 256, but for a 257th that only the last pixel has. Colours are counted
+    once before they are counted per image."""
+    place = F.struct("y", "x")
+    colors = pixels.groupBy("image_id", "r", "g", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    n, at_end = F.count(F.lit(1)), F.max("first") == F.max("last")
+    return colors.groupBy("image_id").agg(F.when((n <= MOST_COLORS) | ((n == MOST_COLORS + 1) & at_end), n).alias("n_colors"))
 
 
 def icon_depth(pixels: DataFrame) -> DataFrame:
     """Per image: the least bits a pixel of an icon entry that hold it."""
     both = alpha_stats(pixels).join(color_counts(pixels), "image_id")
-    depth = F.when(F.col("soft_alpha"), 32).when(F.col("n_colors").isNull(), 24).when(F.col("n_colors") <= 2, 1).when(F.col("n_colors") <= 16, 4).otherwise(8)
+    depth = F.when(F.col("soft_alpha"), 32).when(F.col("n_colors").isNull() | (F.col("n_colors") > MOST_COLORS), 24).when(F.col("n_colors") <= 2, 1).when(F.col("n_colors") <= 16, 4).otherwise(8)
     return both.select("image_id", "n_colors", depth.alias("depth"))
 
 
@@ -42,11 +45,28 @@ def pnm_class(pixels: DataFrame) -> DataFrame:
     return out.select("image_id", F.when(F.col("binary"), "pbm").when(F.col("grey"), "pgm").otherwise("ppm").alias("pnm_class"))
 
 
-def first_colors(pixels: DataFrame, most: int, width: int = 65536) -> DataFrame:
-    """Per image: its first `most` colours in scan order. The window sees one row a colour, of which Spark keeps `most`."""
-    colors = pixels.groupBy("image_id", "r", "g", "b").agg(F.min(F.col("y").cast("long") * width + F.col("x")).alias("scan"))
+def first_colors(pixels: DataFrame, most: int, padded: bool = False) -> DataFrame:
+    """Per image: its first `most` colours in scan order, and black after them if padded. The window sees one row a colour, of
+    which Spark keeps `most`."""
+    colors = pixels.groupBy("image_id", "r", "g", "b").agg(F.min(F.struct("y", "x")).alias("scan"))
     ranked = colors.withColumn("idx", F.row_number().over(Window.partitionBy("image_id").orderBy("scan")) - 1)
-    return ranked.where(F.col("idx") < most).select("image_id", "idx", "r", "g", "b")
+    known = ranked.where(F.col("idx") < most).select("image_id", "idx", "r", "g", "b")
+    if not padded:
+        return known
+    size = known.groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") < most)
+    black = [F.lit(0).alias(c) for c in "rgb"]
+    return known.unionByName(size.select("image_id", F.explode(F.sequence("n", F.lit(most - 1))).alias("idx"), *black))
+
+
+def apply_palette(indexes: DataFrame, palette: DataFrame) -> DataFrame:
+    """indexes (..., idx) with r, g, b and a of the palette (idx, r, g, b, a, and image_id if each image has its own); null
+    where the palette has no such entry. A palette for all images is broadcast: it has at most 65,536 entries."""
+    if "image_id" in palette.columns:
+        return indexes.join(palette, ["image_id", "idx"], "left")
+    entries = palette.limit(MOST_ENTRIES + 1)
+    if entries.count() > MOST_ENTRIES:
+        raise ValueError("a palette has at most 65,536 entries")
+    return indexes.join(F.broadcast(palette), "idx", "left")
 
 
 def nearest_color(pixels: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
@@ -64,6 +84,23 @@ def histogram(pixels: DataFrame, bins: int = 16) -> DataFrame:
     return pixels.groupBy(value.alias("bin")).agg(F.count(F.lit(1)).alias("n_pixels"))
 
 
+def channel_histogram(pixels: DataFrame) -> DataFrame:
+    """Pixels by channel and value, over all images: the literal counts that prefix codes are built from."""
+    each = pixels.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "rgba"])).alias("s"))
+    return each.groupBy("s.channel", "s.value").agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
+def length_statistics(parts: DataFrame) -> DataFrame:
+    """Of the parts or packets (image_id, tile, length) of tiles: per image how many there are, their bytes, the tiles up to
+    the largest, and the least, largest and mean bytes (cut) and parts (rounded up) of a tile that has any."""
+    tiles = parts.groupBy("image_id", "tile").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    return tiles.groupBy("image_id").agg(
+        F.sum("n").alias("n_parts"), (F.max("tile") + 1).cast("long").alias("n_tiles"), F.sum("size").alias("total_size"),
+        F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.floor(F.avg("size")).cast("long").alias("mean_size"),
+        F.min("n").alias("min_parts"), F.max("n").alias("max_parts"), F.ceil(F.avg("n")).cast("long").alias("mean_parts"),
+    )
+
+
 def image_means(pixels: DataFrame) -> DataFrame:
     """Per image: size, sums of the channels, and extremes of grey."""
     g = gray(F.col("r"), F.col("g"), F.col("b"))

@@ -30,6 +30,70 @@ def unpredicted(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "frame_idx", "y", "x", *map(running, CHANNELS))
 
 
+def column() -> WindowSpec:
+    return Window.partitionBy("image_id", "frame_idx", "x").orderBy("y")
+
+
+def filtered(pixels: DataFrame, kind: str) -> DataFrame:
+    """PNG's filters 'up', 'average' and 'paeth' (difference is 'sub'): each sample less what its neighbours to the left, above,
+    and above to the left foretell, modulo 256. Windows are over one row and one column."""
+    near = pixels.withColumns({f"left_{c}": F.lag(c, 1, 0).over(row()) for c in CHANNELS})
+    near = near.withColumns({f"up_{c}": F.lag(c, 1, 0).over(column()) for c in CHANNELS} | {f"corner_{c}": F.lag(f"left_{c}", 1, 0).over(column()) for c in CHANNELS})
+
+    def foretold(c: str) -> Column:
+        left, up, corner = F.col(f"left_{c}"), F.col(f"up_{c}"), F.col(f"corner_{c}")
+        if kind == "up":
+            return up
+        if kind == "average":
+            return F.floor((left + up) / 2)
+        if kind != "paeth":
+            raise ValueError("kind must be up, average or paeth")
+        p = left + up - corner
+        a, b, far = F.abs(p - left), F.abs(p - up), F.abs(p - corner)
+        return F.when((a <= b) & (a <= far), left).when(b <= far, up).otherwise(corner)
+
+    return near.select("image_id", "frame_idx", "y", "x", *[F.pmod(F.col(c) - foretold(c), F.lit(256)).cast("int").alias(c) for c in CHANNELS])
+
+
+def unfiltered_up(pixels: DataFrame) -> DataFrame:
+    """The inverse of the filter 'up'."""
+    total = lambda c: F.sum(c).over(column().rowsBetween(Window.unboundedPreceding, 0))
+    return pixels.select("image_id", "frame_idx", "y", "x", *[F.pmod(total(c), F.lit(256)).cast("int").alias(c) for c in CHANNELS])
+
+
+def packets(pixels: DataFrame, longest: int = 128) -> DataFrame:
+    """Run-length packets of a row as Targa has them: image_id, frame_idx, y, x (start), n, raw. Runs of two or more equal pixels
+    are packets of one pixel; single pixels in a row share a raw packet; none is longer than `longest`."""
+    each = runs(pixels, longest).withColumn("raw", F.col("n") == 1)
+    own = Window.partitionBy("image_id", "frame_idx", "y").orderBy("x")
+    grouped = each.withColumn("island", F.sum((~F.col("raw")).cast("int")).over(own))
+    inside = Window.partitionBy("image_id", "frame_idx", "y", "raw", "island").orderBy("x")
+    part = F.when(F.col("raw"), F.floor((F.row_number().over(inside) - 1) / longest)).otherwise(0)
+    return grouped.withColumn("part", part).groupBy("image_id", "frame_idx", "y", "raw", "island", "part").agg(F.min("x").alias("x"), F.sum("n").alias("n")).drop("island", "part")
+
+
+def qoi_operations(pixels: DataFrame) -> DataFrame:
+    """pixels with op, what QOI sends for each pixel of a frame in scan order: 'run' (as the one before), 'index' (the last one in
+    its slot), 'diff', 'luma', 'rgb' or 'rgba'. The slots' state is a window over the pixels of one slot."""
+    scan = Window.partitionBy("image_id", "frame_idx").orderBy("y", "x")
+    in_slot = Window.partitionBy("image_id", "frame_idx", "slot").orderBy("y", "x")
+    word = F.struct(*CHANNELS)
+    start, empty = F.struct(*[F.lit(v).alias(c) for c, v in zip(CHANNELS, (0, 0, 0, 255), strict=True)]), F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
+    known = pixels.withColumn("slot", color_slot(*map(F.col, CHANNELS)))
+    known = known.withColumns({"before": F.coalesce(F.lag(word).over(scan), start), "seen": F.coalesce(F.lag(word).over(in_slot), empty)})
+    signed = lambda c: F.pmod(F.col(c) - F.col(f"before.{c}") + 128, F.lit(256)) - 128
+    dr, dg, db = map(signed, "rgb")
+    op = (
+        F.when(word == F.col("before"), "run")
+        .when(word == F.col("seen"), "index")
+        .when(F.col("a") != F.col("before.a"), "rgba")
+        .when(dr.between(-2, 1) & dg.between(-2, 1) & db.between(-2, 1), "diff")
+        .when(dg.between(-32, 31) & (dr - dg).between(-8, 7) & (db - dg).between(-8, 7), "luma")
+        .otherwise("rgb")
+    )
+    return known.withColumn("op", op).drop("slot", "before", "seen")
+
+
 def runs(pixels: DataFrame, longest: int = 128) -> DataFrame:
     """Run-length packets of equal pixels in a row, of at most `longest` pixels: image_id, frame_idx, y, x (start), n."""
     word = F.struct(*CHANNELS)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.functions import color, formats, headers, rgba
+from rasterlake.functions import color, formats, headers, rgba, samples, sql
 from rasterlake.operators import animation, frames, palette, prediction, transforms
 from rasterlake.operators.resize import resize
-from rasterlake.plans.tables import emb_frames, event_pixels, line_pixels, order_pixels, table
-from rasterlake.sources.files import decode_frames, encode_frames
+from rasterlake.plans.tables import emb_frames, emb_rgba, event_pixels, line_pixels, order_pixels, table
+from rasterlake.sources.files import decode_frames, encode_frames, read_files, write_files
+from rasterlake.streaming.images import stream_frames
 
 PALETTE = [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128), (128, 64, 32), (32, 64, 128)]
 KEY = ["image_id", "frame_idx", "y", "x"]
@@ -122,7 +126,7 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' sizes as hotspots, scaled from 48 to 20 pixels; rates of steps from a short list."""
     rates = F.array(F.lit(6), F.lit(12), F.lit(9))
     step = F.col("p_partkey") % 5
-    return table(spark, sf_dir, "part").select("p_partkey", frames.scale_hotspot(F.col("p_size"), F.lit(48), F.lit(20)).alias("hotspot"), frames.step_rate(rates, step, F.lit(10)).cast("long").alias("rate"), frames.milliseconds(frames.step_rate(rates, step, F.lit(10))).alias("ms"))
+    return table(spark, sf_dir, "part").select("p_partkey", frames.scale_hotspot(F.col("p_size"), F.lit(48), F.lit(20)).alias("hotspot"), frames.step_rate(rates, step, F.lit(10)).cast("long").alias("rate"), frames.milliseconds(frames.step_rate(rates, step, F.lit(10))).alias("ms"), frames.jiffies(F.col("p_size") * F.lit(7.25)).alias("jiffies"), frames.step_frame(F.array(F.lit(2), F.lit(0)), step, F.lit(3)).cast("int").alias("frame"))
 
 
 def codec_round_trip(kind: str):
@@ -195,11 +199,243 @@ def srgb_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_pixels(spark, sf_dir).select("image_id", "x", F.floor(light * 10_000 + F.lit(0.5)).cast("int").alias("light"), back.alias("r"))
 
 
+def channels(df: DataFrame) -> DataFrame:
+    """Each channel of frames' pixels as an image of its own, numbered 4 * image_id + channel."""
+    each = frames.pixels_of(df).select("image_id", "y", "x", F.posexplode(F.array(*"rgba")).alias("c", "g"))
+    return each.select((F.col("image_id") * 4 + F.col("c")).alias("image_id"), "y", "x", "g")
+
+
+def resized_rgba(width: int, height: int, mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return channels(resize(emb_rgba(spark, sf_dir), width, height, mode))
+
+    return run
+
+
+def rgba_round_trip(kind: str):
+    """Frames of four differing channels encoded and decoded."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = encode_frames(emb_rgba(spark, sf_dir), kind).select("image_id", "frame_idx", "content", F.lit(kind).alias("format"))
+        return channels(decode_frames(files))
+
+    return run
+
+
+def over_pixels(operator):
+    """An operator over the pixels of the four-channel frames."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(frames.pixels_of(emb_rgba(spark, sf_dir)))
+
+    return run
+
+
+def upsampled(fancy: bool):
+    """The frames' chroma sampled by 2 x 2 and brought back, with red as luma."""
+
+    def run(px: DataFrame) -> DataFrame:
+        luma = px.select("image_id", "frame_idx", "y", "x", F.col("r").alias("l"))
+        return transforms.rgb_of_420(luma, transforms.chroma_420(px), fancy).select("image_id", "y", "x", *"rgba")
+
+    return over_pixels(run)
+
+
+def gif_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as animations on a canvas of 4 x 2: a frame for each line, with its place, size and disposal from its colour."""
+    px = order_pixels(spark, sf_dir).select("image_id", F.col("x").alias("frame_idx"), *"rgba")
+    own = px.select("image_id", "frame_idx", *"rgba", (F.col("r") % 3).alias("left"), (F.col("g") % 2).alias("top"), (F.col("r") % 2 + 1).alias("width"), F.lit(1).alias("height"), (F.col("b") % 4).alias("disposal"), F.lit(4).alias("canvas_width"), F.lit(2).alias("canvas_height"), F.lit(0x0AC85AFF).cast("long").alias("background"))
+    pixels = own.select("image_id", "frame_idx", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), *"rgba")
+    word = rgba.pack((F.col("r") + F.col("x") * 40) % 256, F.col("g"), F.col("b"), F.col("a"))
+    return own.drop(*"rgba"), pixels.select("image_id", "frame_idx", "y", "x", word.alias("word"))
+
+
+def gif_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return animation.gif_canvas(*gif_frames(spark, sf_dir))
+
+
+def webp_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same animations, blended where the disposal is 0 or 1, and cleared after where it is odd."""
+    own, pixels = gif_frames(spark, sf_dir)
+    content = pixels.groupBy("image_id", "frame_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda p: F.lpad(F.hex(p["word"]), 8, "0")), "").alias("hex"))
+    one = F.struct("frame_idx", "left", "top", "width", "height", (F.col("disposal") < 2).alias("blend"), (F.col("disposal") % 2 == 1).alias("dispose"), F.unhex("hex").alias("rgba"))
+    images = own.join(content, ["image_id", "frame_idx"]).groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("frames"))
+    drawn = animation.webp_canvases(images.select("image_id", F.lit(4).alias("width"), F.lit(2).alias("height"), F.lit(0x0AC85A80).cast("long").alias("background"), "frames"))
+    return drawn.select("image_id", F.posexplode("frames").alias("n", "c")).select("image_id", "n", F.hex("c").alias("canvas"))
+
+
+def palette_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines' numbers as indexes into the colours of the nations; some are beyond them."""
+    n = F.col("n_nationkey").cast("int")
+    colors = table(spark, sf_dir, "nation").select(n.alias("idx"), (n * 10).alias("r"), (255 - n).alias("g"), (n * n % 256).alias("b"), F.lit(255).alias("a"))
+    return palette.apply_palette(line_pixels(spark, sf_dir).select("image_id", "x", (F.col("r") % 30).alias("idx")), colors)
+
+
+def pbm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmap rows of the grey frames."""
+    black = frames.pixels_of(emb_frames(spark, sf_dir)).select("image_id", "frame_idx", "y", "x", color.bit(F.col("r")).alias("v"))
+    return samples.packed_rows(black, 1).select("image_id", "y", F.hex("content").alias("row"))
+
+
+def bits_round_trip(bits: int):
+    """Orders' rows in samples of 2 or 4 bits, packed and unpacked; places without a sample are 0."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = order_pixels(spark, sf_dir).select("image_id", "frame_idx", "y", "x", (F.col("r") % (1 << bits)).alias("v"))
+        back = samples.unpacked_rows(samples.packed_rows(v, bits), bits, (F.floor(F.length("content") * 8 / bits)).cast("int"))
+        return back.where("v > 0").select("image_id", "x", "v")
+
+    return run
+
+
+def chunky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names, and shorter and reversed forms of them, as planes of one and of two bytes."""
+    name = F.col("p_name")
+    planes = F.array(*[F.encode(c, "utf-8") for c in (name, F.reverse(name), F.substring(name, 1, 9))])
+    n = F.length(name)
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(samples.chunky(planes, n)).alias("one"), F.hex(samples.chunky(planes, F.floor(n / 2).cast("int"), 2)).alias("two"))
+
+
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.encode("p_name", "utf-8")
+    return table(spark, sf_dir, "part").select("p_partkey", F.crc32(name).alias("crc32"), samples.adler32(name).alias("adler32"))
+
+
+def jpeg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables at a quality from a part's key, what they add up to, and the quality estimated from them in thousandths."""
+    q = (F.col("p_partkey") % 100 + 1).cast("int")
+    t = table(spark, sf_dir, "part").select("p_partkey", samples.scaled_table(samples.LUMINANCE, q).alias("l"), samples.scaled_table(samples.CHROMINANCE, q).alias("c"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v).cast("long")
+    return t.select("p_partkey", total("l").alias("sum_l"), total("c").alias("sum_c"), F.floor(samples.estimated_quality(F.col("l"), F.col("c")) * 1000 + 0.5).cast("long").alias("quality"))
+
+
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of a part's size, in tiles of its key."""
+    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 7).cast("int").alias("width"), (F.col("p_size") + 3).cast("int").alias("height"))
+    return transforms.tile_grid(images, F.col("p_partkey") % 50 + 20, F.col("p_partkey") % 7 + 5).drop("width", "height")
+
+
+def packet_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as packets of the tiles that their suppliers stand for."""
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), (F.col("l_suppkey") % 3).cast("int").alias("tile"), F.col("l_quantity").cast("long").alias("length"))
+    return palette.length_statistics(parts)
+
+
+def more_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old BMP, extended WebP and commented Netpbm headers with a part's key and size as sides, and loop counts."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    low = lambda v, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.lpad(F.hex(v.cast("long")), 2 * n, "0"), i * 2 + 1, F.lit(2)))), "")
+    bmp = F.concat(F.lit("424D00000000000000000000" + "0000" + "0C000000"), low(key, 2), low(size, 2), F.lit("01001800"))
+    webp = F.concat(F.lit("5249464600000000574542505650385800000000" + "00000000"), low(key, 3), low(size - 1, 3), F.lit("414E494D06000000FFFFFFFF"), low(key % 1000, 2))
+    gif = F.concat(F.lit("474946383961"), low(key, 2), low(size, 2), F.lit("000000" + headers.NETSCAPE), low(key % 777, 2), F.lit("00"))
+    pnm = F.concat(F.lit("P5 # it is "), F.col("p_name"), F.lit("\n"), key.cast("string"), F.lit(" #\n "), size.cast("string"), F.lit("\n255\n"))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.unhex(bmp).alias("bmp"), F.unhex(webp).alias("webp"), F.unhex(gif).alias("gif"), F.encode(pnm, "utf-8").alias("pnm"))
+    t = t.select("p_partkey", headers.header(F.col("bmp")).alias("b"), headers.header(F.col("webp")).alias("w"), headers.pnm_header(F.col("pnm")).alias("n"), headers.loop_count(F.col("gif")).alias("gif_loops"), headers.loop_count(F.col("webp")).alias("webp_loops"), headers.loop_count(F.col("bmp")).alias("no_loops"))
+    return t.select("p_partkey", F.col("b.width").alias("bmp_width"), F.col("b.height").alias("bmp_height"), F.col("b.depth").alias("bmp_depth"), F.col("w.width").alias("webp_width"), F.col("w.height").alias("webp_height"), F.col("n.format").alias("pnm_format"), F.col("n.width").alias("pnm_width"), F.col("n.height").alias("pnm_height"), F.col("n.most").alias("pnm_most"), "gif_loops", "webp_loops", "no_loops")
+
+
+def metadata_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of metadata that a part's key and name go into and partly come out of."""
+    odd = F.col("p_partkey") % 2 == 1
+    start = F.when(odd, F.create_map(F.lit("ico"), F.col("p_name"))).otherwise(F.lit(None).cast("map<string,string>"))
+    put = frames.set_metadata(frames.set_metadata(start, "ani", F.col("p_partkey").cast("string")), "ico", F.lit("new"))
+    t = table(spark, sf_dir, "part").select("p_partkey", start.alias("m0"), put.alias("m1"), frames.remove_metadata(put, "ani").alias("m2"))
+    return t.select("p_partkey", frames.get_metadata(F.col("m0"), "ico").alias("ico_before"), frames.has_metadata(F.col("m0"), "ico").alias("had_ico"), frames.get_metadata(F.col("m1"), "ani").alias("ani"), frames.get_metadata(F.col("m1"), "ico").alias("ico"), frames.has_metadata(F.col("m2"), "ani").alias("has_ani"), F.size("m2").cast("long").alias("n_left"))
+
+
+def hotspot_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotspots and rates set at places beyond the arrays' ends."""
+    at = (F.col("p_partkey") % 4).cast("int")
+    spots = frames.set_hotspot(F.lit(None).cast("array<struct<x:int,y:int>>"), at, F.col("p_size"), F.lit(7))
+    spots = frames.set_hotspot(spots, F.lit(1), F.lit(3), F.lit(4))
+    rates = frames.set_step_rate(F.array(F.lit(5)), at, F.col("p_size").cast("int"), F.lit(10))
+    as_text = lambda a: F.array_join(a, ",")
+    return table(spark, sf_dir, "part").select("p_partkey", as_text(F.transform(spots, lambda s: F.concat_ws(":", s["x"], s["y"]))).alias("spots"), as_text(F.transform(rates, lambda r: r.cast("string"))).alias("rates"))
+
+
+def images_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of two frames with hotspots and other columns, resized; the second frame is of another size."""
+    own = F.struct("width", "height", F.lit(70_000).cast("long").alias("duration_us"), "rgba")
+    small = F.struct(F.lit(1).alias("width"), F.lit(2).alias("height"), F.lit(90_000).cast("long").alias("duration_us"), F.unhex(F.lit("0102030405060708")).alias("rgba"))
+    spot = F.struct((F.col("image_id") % 8).cast("int").alias("x"), F.lit(5).alias("y"))
+    images = emb_rgba(spark, sf_dir).select("image_id", (F.col("image_id") % 5).alias("loop_count"), F.array(own, small).alias("frames"), F.array(spot).alias("hotspots"))
+    out = frames.resized_images(images, 3, 5, "nearest")
+    each = frames.frames_of(out.drop("hotspots"))
+    sizes = each.select("image_id", "loop_count", "frame_idx", "width", "height", "duration_us", F.hex(F.substring("rgba", 1, 4)).alias("first"))
+    spots = out.select(F.col("image_id"), F.col("hotspots")[0]["x"].alias("spot_x"), F.col("hotspots")[0]["y"].alias("spot_y"))
+    return sizes.join(spots, "image_id")
+
+
+def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main diagonal of each frame set to a colour."""
+    px = frames.pixels_of(emb_frames(spark, sf_dir))
+    patch = px.where("x = y").select("image_id", "frame_idx", "y", "x", F.lit(1).alias("r"), F.col("x").alias("g"), F.lit(3).alias("b"), F.lit(4).alias("a"))
+    return frames.patched(px, patch).select("image_id", "y", "x", *"rgba")
+
+
+def keep_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of three frames without all but the first."""
+    own = F.struct("width", "height", "duration_us", "rgba")
+    images = emb_frames(spark, sf_dir).select("image_id", frames.keep_root(F.array(own, own, own)).alias("frames"))
+    return frames.frames_of(images).select("image_id", "frame_idx", F.hex("rgba").alias("rgba_hex"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions in one SQL statement: frames encoded, detected, decoded, resized and taken apart."""
+    sql.register(spark)
+    images = emb_rgba(spark, sf_dir).select("image_id", F.array(F.struct("width", "height", "duration_us", "rgba")).alias("frames"))
+    return spark.sql(
+        """WITH coded AS (SELECT image_id, image_encode(f.rgba, f.width, f.height, 'qoi') AS content FROM {images}, LATERAL image_frames(frames) AS f),
+        decoded AS (SELECT image_id, image_info(content) AS info, image_decode(content, image_detect(content)) AS d FROM coded),
+        small AS (SELECT image_id, info, image_resize(d.rgba, d.width, d.height, 3, 2, 'nearest') AS rgba FROM decoded)
+        SELECT image_id, info.format, info.width, info.height, p.y, p.x, p.r, p.g, p.b, p.a FROM small, LATERAL image_pixels(rgba, 3, 2) AS p""",
+        images=images,
+    )
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share; a local one only where none is set and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='rasterlake-')}/files-{uuid.uuid4().hex}"
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder into which each frame is written as a file of one of three formats, in folders by format."""
+    f, folder = emb_frames(spark, sf_dir), scratch_folder(spark)
+    kinds = ["png", "bmp", "qoi"]
+    for k, kind in enumerate(kinds):
+        some = encode_frames(f.where(F.col("image_id") % 3 == k), kind)
+        write_files(some.select(F.concat(F.lit(f"{kind}/"), F.col("image_id").cast("string"), F.lit(f".{kind}")).alias("name"), "content"), folder)
+    return folder
+
+
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written, and read back by their names: every pixel must come back."""
+    files = decode_frames(read_files(spark, written_files(spark, sf_dir)))
+    key = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
+    return gray_pixels(files.select(key.alias("image_id"), F.lit(0).alias("frame_idx"), "width", "height", "rgba"))
+
+
+def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream that runs until all are read, counted by what their bytes show."""
+    folder, out = written_files(spark, sf_dir), scratch_folder(spark)
+    found = stream_frames(spark, folder, "content").select("format", "width", "height", "error")
+    query = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    return rows.groupBy("format", "width", "height").agg(F.count(F.lit(1)).alias("n_files"), F.count("error").alias("n_errors"))
+
+
 def word(r, g, b):
     """A 16-bit word of a pixel."""
     return r * 128 + g * 2 + F.floor(b / 64)
 
 
+#: Masks of ten bits, of the highest byte, of eight bits, of bits apart, and none.
+WIDE = (0x3FF00000, 0xFF000000, 0x0000FF00, 0x00000F0F, 0)
+
 QUERIES = {
     "detect_format": detect_format,
     "pixel_explode": pixel_explode,
@@ -219,11 +455,12 @@ QUERIES = {
     "cmyk_to_rgb": over_lines(lambda r, g, b, a: [*color.rgb_of_cmyk(r, g, b, a)]),
     "studio_yuv": over_lines(lambda r, g, b, a: [*color.studio_yuv(r, g, b)]),
     "srgb_light": srgb_light,
-    "mask_565": over_lines(lambda r, g, b, a: [color.masked(word(r, g, b), 11, 5).alias("r"), color.masked(word(r, g, b), 5, 6).alias("g"), color.masked(word(r, g, b), 0, 5).alias("b")]),
+    "mask_565": over_lines(lambda r, g, b, a: [color.masked(word(r, g, b), m).cast("long").alias(n) for n, m in zip("rgb", (0xF800, 0x07E0, 0x001F), strict=True)]),
+    "mask_wide": over_lines(lambda r, g, b, a: [color.masked(((r.cast("long") * 256 + g) * 256 + b) * 256 + a, m).alias(n) for n, m in zip(("ten", "high", "byte", "gaps", "none"), WIDE, strict=True)]),
     "expand_555": over_lines(lambda r, g, b, a: [color.five_to_eight(F.floor(r / 8).cast("int")).cast("long").alias("r"), color.word_555(r, g, b).cast("long").alias("word")]),
     "gray_16_to_8": over_lines(lambda r, g, b, a: [color.gray_of_16(r * 256 + g).alias("gray")]),
     "scale_sample": over_lines(lambda r, g, b, a: [color.scale_sample(r, F.lit(255) - b % 100).alias("scaled")]),
-    "fixed_point": over_lines(lambda r, g, b, a: [color.fixed_of_double(r / F.lit(255.0)).alias("fixed")]),
+    "fixed_point": over_lines(lambda r, g, b, a: [color.fixed_of_double((r - 100) / F.lit(20.0)).alias("fixed"), color.double_of_fixed(r.cast("long") * 256 + g).alias("double")]),
     "subtract_green": over_lines(lambda r, g, b, a: [*[c.cast("int").alias(n) for c, n in zip(color.subtract_green(r, g, b), "rgb", strict=True)]]),
     "color_slot": over_lines(lambda r, g, b, a: [prediction.color_slot(r, g, b, a).alias("slot")]),
     "nearest_palette": lambda s, d: palette.nearest_color(line_pixels(s, d), PALETTE).select("image_id", "x", "idx"),
@@ -249,5 +486,50 @@ QUERIES = {
     "wavelet53": wavelet,
     "wavelet_round_trip": wavelet_round_trip,
     "sending_order": sending_order,
+    "fixed_pixels": over_lines(lambda r, g, b, a: [c.alias(f"{c0}8") for c0, c in zip("rgba", color.rgba_of_fixed(r * 40, g * 40, 65536 - b, a * 64), strict=True)] + [c.alias(f"{c0}16") for c0, c in zip("rgba", color.fixed_of_rgba(r, g, b, a), strict=True)]),
+    "sample_forms": over_lines(lambda r, g, b, a: [color.white_is_zero(r).alias("black_is_zero"), color.high_byte(r * 256 + g).alias("high")]),
+    "tiff_luma": over_lines(lambda r, g, b, a: color.rgb_of_luma_ycbcr(r, g, b, (0.2126, 0.7152, 0.0722))),
+    "yuv_inverse": over_lines(lambda r, g, b, a: color.rgb_of_studio_yuv(r, g, b)),
+    "chroma_420": over_pixels(lambda px: transforms.chroma_420(px).drop("frame_idx")),
+    "upsample_simple": upsampled(False),
+    "upsample_fancy": upsampled(True),
+    "add_green": over_lines(lambda r, g, b, a: [c.cast("int").alias(n) for n, c in zip("rgb", color.add_green(r, g, b), strict=True)]),
+    "color_transform": over_lines(lambda r, g, b, a: color.add_color_transform(r, g, b, F.lit(200), F.lit(17), F.lit(130))),
+    **{f"filter_{k}": over_pixels(lambda px, k=k: prediction.filtered(px, k).drop("frame_idx")) for k in ("up", "average", "paeth")},
+    "filter_up_round_trip": over_pixels(lambda px: prediction.unfiltered_up(prediction.filtered(px, "up")).drop("frame_idx")),
+    "rle_packets": lambda s, d: prediction.packets(order_pixels(s, d).withColumns({c: F.lit(0) for c in "rgb"})).select("image_id", "x", "n", "raw"),
+    "qoi_operations": over_pixels(lambda px: prediction.qoi_operations(px.withColumns({c: F.floor(F.col(c) / 64).cast("int") for c in "rgba"})).select("image_id", "y", "x", "op")),
+    "gif_canvas": gif_canvas,
+    "webp_canvas": webp_canvas,
+    "palette_apply": palette_apply,
+    "palette_padded": lambda s, d: palette.first_colors(order_pixels(s, d), 4, padded=True),
+    "channel_histogram": lambda s, d: palette.channel_histogram(line_pixels(s, d)),
+    "packet_lengths": packet_lengths,
+    "pbm_rows": pbm_rows,
+    "bits_2_round_trip": bits_round_trip(2),
+    "bits_4_round_trip": bits_round_trip(4),
+    "chunky": chunky,
+    "checksums": checksums,
+    "png_legal": lambda s, d: table(s, d, "part").select("p_partkey", samples.png_is_legal(F.col("p_partkey") % 17, F.col("p_size") % 8).alias("legal")),
+    "jpeg_quality": jpeg_quality,
+    "wavelet_2d": over_pixels(lambda px: transforms.decompose53(px, "r", 1).drop("frame_idx", "level")),
+    "wavelet_levels_round_trip": over_pixels(lambda px: transforms.compose53(transforms.decompose53(px, "b", 3), 3).drop("frame_idx")),
+    "wavelet97": over_pixels(lambda px: transforms.wavelet97(px, "g").select("image_id", "y", "x", F.floor(F.col("coefficient").cast("double") * 100).cast("long").alias("c"))),
+    "irreversible_color": over_lines(lambda r, g, b, a: [F.floor(c.cast("double") * 100).cast("long").alias(n) for n, c in zip("yuv", transforms.irreversible_color(r, g, b), strict=True)]),
+    "irreversible_inverse": over_lines(lambda r, g, b, a: transforms.color_of_irreversible(*[c.cast("float") for c in (r, g - 128, b - 128)])),
+    "dead_zone": over_lines(lambda r, g, b, a: [transforms.dead_zone(r - 128, 7.5).alias("q"), transforms.of_dead_zone(transforms.dead_zone(r - 128, 7.5), 7.5).alias("c")]),
+    "dequantized": over_lines(lambda r, g, b, a: [transforms.dequantized(r - 128, g % 9 + 1).alias("d"), transforms.level_shifted((r - 128) * F.lit(1.25)).alias("s")]),
+    "tile_grid": tile_grid,
+    "more_headers": more_headers,
+    "metadata_edits": metadata_edits,
+    "hotspot_edits": hotspot_edits,
+    "images_resized": images_resized,
+    "patched": patched,
+    "keep_root": keep_root,
+    "sql_functions": sql_functions,
+    "files_round_trip": files_round_trip,
+    "streamed_files": streamed_files,
+    **{f"rgba_{n}": resized_rgba(*size, mode) for n, *size, mode in (("nearest", 5, 3, "nearest"), ("area", 5, 3, "bilinear"), ("bilinear", 11, 13, "bilinear"), ("bicubic", 11, 13, "bicubic"))},
+    **{f"rgba_{k}": rgba_round_trip(k) for k in ("png", "bmp", "tga", "qoi")},
     **{f"codec_{k}": codec_round_trip(k) for k in ("png", "bmp", "tga", "qoi", "pgm", "ppm")},
 }

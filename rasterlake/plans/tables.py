@@ -1,6 +1,6 @@
 """Images derived from the tables by formulas that any SQL engine can compute.
 
-emb_frames: a vector as an 8 x 8 grey frame. line_pixels: an order as one row of pixels, one for each line number.
+emb_frames: a vector as an 8 x 8 grey frame; emb_rgba: the same with four channels. line_pixels: an order as one row of pixels, one for each line number.
 event_frames: a user's events as the frames of an animation, with colours from type and value.
 """
 
@@ -25,6 +25,14 @@ def emb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(0).alias("frame_idx"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit(0).cast("long").alias("duration_us"), rgba.alias("rgba"))
 
 
+def emb_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """emb_frames in colour: of a grey g the channels g, 255 - g, 7 g and 3 g, modulo 256."""
+    grey = F.transform("embedding", lambda v: clamp_byte((v.cast("double") + F.lit(0.5)) * 255))
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    rgba = F.unhex(F.array_join(F.transform(grey, lambda g: F.concat(byte(g), byte(255 - g), byte(g * 7 % 256), byte(g * 3 % 256))), ""))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(0).alias("frame_idx"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit(0).cast("long").alias("duration_us"), rgba.alias("rgba"))
+
+
 def line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of one-row images: red from quantity, green from discount, blue from tax, alpha from the return flag."""
     x = F.col("l_linenumber").cast("int") - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,34 +57,72 @@ def encode_frames(frames: DataFrame, kind: str) -> DataFrame:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
+    """Files of one task: where they are staged, and their names."""
+
+    files: list[tuple[str, str]]
 
 
 class ImageFileWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
+    """Tasks write under a staging folder, and the driver moves what the tasks that count have written into place, so that a
+    task that fails or runs twice leaves nothing behind."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.overwrite = options["path"], overwrite
+        self.staging = f".staging-{uuid.uuid4().hex}"
+
+    def place(self):
+        """(file system, folder) of the target; paths without a scheme are of a folder that all executors mount."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else "file://" + self.folder)
 
     def write(self, rows: Iterator[Row]) -> Written:
-        """Each file is renamed into place when it is whole, so a task that runs again leaves the same files."""
-        import os
-        import uuid
-
-        os.makedirs(self.folder, exist_ok=True)
-        n = 0
-        for row in rows:
-            name = os.path.basename(row["name"])
-            part = f"{self.folder}/.{name}.{uuid.uuid4().hex}"
-            with open(part, "wb") as out:
-                out.write(row["content"])
-            os.replace(part, f"{self.folder}/{name}")
-            n += 1
-        return Written(n)
+        system, folder = self.place()
+        out = []
+        for n, row in enumerate(rows):
+            name = row["name"]
+            if name.startswith("/") or ".." in name.split("/") or not name:
+                raise ValueError(f"not a name within the folder: {name}")
+            staged = f"{folder}/{self.staging}/{uuid.uuid4().hex}-{n}"
+            system.create_dir(f"{folder}/{self.staging}", recursive=True)
+            with system.open_output_stream(staged) as to:
+                to.write(row["content"])
+            out.append((staged, name))
+        return Written(out)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder = self.place()
+        files = [f for m in messages if m for f in m.files]
+        if len({name for _, name in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("several rows have the same name")
+        if self.overwrite:
+            from pyarrow import fs
+
+            known = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            for old in known:
+                if old.base_name != self.staging:
+                    (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
+        system.create_dir(folder, recursive=True)
+        for parent in {name.rsplit("/", 1)[0] for _, name in files if "/" in name}:
+            system.create_dir(f"{folder}/{parent}", recursive=True)
+        for staged, name in files:
+            system.move(staged, f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, folder = self.place()
+        if system.get_file_info(f"{folder}/{self.staging}").type == fs.FileType.Directory:
+            system.delete_dir(f"{folder}/{self.staging}")
 
 
 class ImageFileSource(DataSource):
     """df (name, content).write.format('image_files').mode('append').save(folder): a file for each row.
 
-    The folder must be one that all executors share."""
+    Names may hold folders, and must differ; mode 'overwrite' removes what is in the folder. The folder must be one that all
+    executors share."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,9 +132,9 @@ class ImageFileSource(DataSource):
         return "name string, content binary"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ImageFileWriter:
-        return ImageFileWriter(self.options)
+        return ImageFileWriter(self.options, overwrite)
 
 
-def write_files(encoded: DataFrame, folder: str) -> None:
+def write_files(encoded: DataFrame, folder: str, mode: str = "append") -> None:
     encoded.sparkSession.dataSource.register(ImageFileSource)
-    encoded.select("name", "content").write.format("image_files").mode("append").save(folder)
+    encoded.select("name", "content").write.format("image_files").mode(mode).save(folder)

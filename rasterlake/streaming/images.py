@@ -13,7 +13,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 
 def stream_files(spark: SparkSession, path: str, detect_by: str = "extension", per_trigger: int = 1000) -> DataFrame:
     """New files under path as they arrive, with their format."""
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", per_trigger).load(path)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").load(path)
     kind = format_of_bytes(F.col("content")) if detect_by == "content" else format_of_path(F.col("path"))
     return files.withColumn("format", kind)
 

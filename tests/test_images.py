@@ -4,7 +4,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from rasterlake.functions import formats, rgba
-from rasterlake.operators import frames, prediction
+from rasterlake.operators import animation, frames, palette, prediction, transforms
 from rasterlake.operators.resize import resize, resize_array
 from rasterlake.plans.oracles import SQL
 from rasterlake.plans.queries import QUERIES
@@ -106,6 +106,61 @@ def test_pixels_and_frames(spark):
         images.select(frames.remove_frame(frames.keep_root(F.col("frames")), F.lit(0))).collect()
 
 
+def test_places_of_frames_and_repeated_pixels(spark):
+    px = picture(3, 2)
+    f = spark.createDataFrame([(7, 0, 2, 3, 0, px.tobytes())], "image_id long, frame_idx int, width int, height int, duration_us long, rgba binary")
+    images = frames.images_of(f.unionByName(f.withColumn("frame_idx", F.lit(1))))
+    for at in (-1, 2):
+        with pytest.raises(Exception, match="no such place"):
+            images.select(frames.remove_frame(F.col("frames"), F.lit(at))).collect()
+    pixels = frames.pixels_of(f)
+    twice = pixels.unionByName(pixels.withColumns({c: F.lit(0) for c in "rgba"}))
+    assert bytes(frames.frames_from_pixels(twice, F.lit(2), F.lit(3)).first().rgba) == px.tobytes()
+
+
+def test_blend_against_whole_numbers(spark):
+    rnd = np.random.default_rng(1).integers(0, 256, (3000, 8))
+    rnd[:300, 3], rnd[300:600, 7], rnd[600:700, [3, 7]], rnd[700:800, 3] = 0, 0, 0, 255
+    df = spark.createDataFrame([tuple(map(int, r)) for r in rnd], "r int, g int, b int, a int, r2 int, g2 int, b2 int, a2 int")
+    got = df.select("*", F.struct(*animation.blend({c: F.col(c) for c in "rgba"}, {c: F.col(f"{c}2") for c in "rgba"})).alias("o")).collect()
+    for row in got:
+        s, d = row[:4], row[4:8]
+        alpha = s[3] + d[3] * (255 - s[3]) // 255
+        want = s if s[3] == 255 else d if alpha == 0 else tuple((s[k] * s[3] + d[k] * d[3] * (255 - s[3]) // 255) // alpha % 256 for k in range(3)) + (alpha,)
+        assert tuple(row.o) == tuple(want)
+        assert animation.over_canvas(np.array([[d]], dtype=np.uint8), np.array([[s]], dtype=np.uint8))[0, 0].tolist() == list(want)
+
+
+def test_color_counts_up_to_the_limit(spark):
+    px = lambda i, n, last: [(i, 0, y, x, v % 256, v // 256, 7, 255) for k in range(n + last) for v in [min(k, n - 1)] for y, x in [divmod(k, 100_000)]]
+    rows = [*px(1, 256, 5), *px(2, 257, 0), *px(3, 257, 1), *px(4, 258, 0)]
+    df = spark.createDataFrame(rows, "image_id long, frame_idx int, y int, x int, r int, g int, b int, a int")
+    assert {r.image_id: (r.n_colors, r.depth) for r in palette.icon_depth(df).collect()} == {1: (256, 8), 2: (257, 24), 3: (None, 24), 4: (None, 24)}
+
+
+def test_files_are_replaced_or_left(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = lambda *r: spark.createDataFrame([*r], "name string, content binary")
+    files.write_files(rows(("a/x.bin", b"1"), ("b/x.bin", b"2")), folder)
+    files.write_files(rows(("c.bin", b"3")), folder)
+    found = lambda: {str(p.relative_to(folder)): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found() == {"a/x.bin": b"1", "b/x.bin": b"2", "c.bin": b"3"}
+    for bad in ([("d", b"4"), ("d", b"5")], [("../d", b"4")]):
+        with pytest.raises(Exception, match="same name|within the folder"):
+            files.write_files(rows(*bad), folder)
+    assert len(found()) == 3 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".staging")]
+    files.write_files(rows(("only", b"6")), folder, "overwrite")
+    assert found() == {"only": b"6"}
+
+
+def test_levels_of_wavelets_of_any_size(spark):
+    for h, w in ((1, 1), (5, 7), (6, 1), (9, 12)):
+        px = np.random.default_rng(h).integers(0, 256, (h, w))
+        df = spark.createDataFrame([(1, 0, y, x, int(px[y, x])) for y in range(h) for x in range(w)], "image_id long, frame_idx int, y int, x int, r int")
+        back = transforms.compose53(transforms.decompose53(df, "r", 2), 2)
+        assert {(r.y, r.x): r.v for r in back.collect()} == {(y, x): int(px[y, x]) for y in range(h) for x in range(w)}
+
+
 def test_long_runs_are_split(spark):
     row = spark.range(300).select(F.lit(1).alias("image_id"), F.lit(0).alias("frame_idx"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"), *[F.lit(9).alias(c) for c in "rgba"])
     assert sorted((r.x, r.n) for r in prediction.runs(row).collect()) == [(0, 128), (128, 128), (256, 44)]

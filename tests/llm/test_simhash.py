@@ -68,6 +68,29 @@ def test_groups_against_brute_force(spark, monkeypatch, max_bits):
     assert len(set(want)) < 150
 
 
+def test_query_against_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op9_simhash_pigeonring(spark, sf_dir).collect()}
+    ids = sorted(texts)
+    prints = [plain(texts[i]) for i in ids]
+    assert got == {i: (f"{p:016x}", c) for i, p, c in zip(ids, prints, closure(ids, prints, 2), strict=True)}
+    assert len({c for _, c in got.values()}) < len(ids)
+
+
+def test_long_texts_hot_groups_and_clashing_names(spark, monkeypatch):
+    """Of all rows, most are copies of one text, and the join of hot groups takes each way."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(i, long, "x", 1, 2) for i in range(40)] + [(100, long + " w", "x", 1, 2)] + [(200 + i, f"text {i} of its own " * (i + 1), "x", 1, 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Text string, fp int, component_id int")
+    want = closure([r[0] for r in rows], [simhash.fingerprint(r[1]) % (1 << 64) for r in rows], 2)
+    for hot in (10_000, 5, 1):
+        monkeypatch.setattr("rasterlake.llm.common.HOT", hot)
+        got = {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()}
+        assert got == {r[0]: c for r, c in zip(rows, want, strict=True)}
+        kept = simhash.one_of_each_group(df)
+        assert kept.columns == df.columns and {0} <= {r.doc_id for r in kept.collect()} and kept.count() <= 7
+
+
 def test_one_of_each_group(spark):
     t = " ".join(f"word{i}" for i in range(300))
     df = spark.createDataFrame([(5, t, "a"), (3, t, "b"), (3, t, "b"), (9, "quite another text with some words", "c"), (None, t, "d")], "doc_id long, text string, note string")
@@ -107,7 +130,9 @@ def test_groups_are_those_of_jaccard(spark):
     assert sum(0.8 <= x < 0.88 for x in likeness) > 20
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr("rasterlake.llm.common.HOT", hot)
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (101, 101), (200, 300), (300, 250), (None, 4)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200, 250: 200, 300: 200}

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from rasterlake.functions.rgba import clamp_byte
 
 
+#: WebP's whole-number factors and offsets from studio YUV to red, green and blue, in 1/16,384 and 1/64.
+STUDIO_LUMA, STUDIO_CHROMA, STUDIO_OFFSETS = 19077, (26149, (6419, 13320), 33050), (-14234, 8708, -17685)
+
+
 def whole(c: Column) -> Column:
     """Cut towards zero."""
     return c.cast("int")
@@ -153,8 +157,10 @@ def rgb_of_studio_yuv(y: Column, u: Column, v: Column) -> list[Column]:
     """RGB of BT.601 studio-range YUV as WebP takes it."""
     part = lambda c, by: F.shiftright(c * by, 8)
     clip = lambda c: clamped(F.shiftright(c, 6)).cast("int")
-    luma = part(y, 19077)
-    return [clip(luma + part(v, 26149) - 14234).alias("r"), clip(luma - part(u, 6419) - part(v, 13320) + 8708).alias("g"), clip(luma + part(u, 33050) - 17685).alias("b")]
+    luma = part(y, STUDIO_LUMA)
+    red, (green_u, green_v), blue = STUDIO_CHROMA
+    low_red, low_green, low_blue = STUDIO_OFFSETS
+    return [clip(luma + part(v, red) + low_red).alias("r"), clip(luma - part(u, green_u) - part(v, green_v) + low_green).alias("g"), clip(luma + part(u, blue) + low_blue).alias("b")]
 
 
 def luma_bytes(r: Column, g: Column, b: Column) -> Column:

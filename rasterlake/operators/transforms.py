@@ -129,18 +129,23 @@ def compose53(bands: DataFrame, levels: int) -> DataFrame:
     return low
 
 
+#: Rows of JPEG 2000's irreversible colour transform, and the factors of its inverse.
+FORWARD = ((0.299, 0.587, 0.114), (-0.16875, -0.33126, 0.5), (0.5, -0.41869, -0.08131))
+RED_V, GREEN_U, GREEN_V, BLUE_U = 1.402, 0.34413, 0.71414, 1.772
+
+
 def irreversible_color(r: Column, g: Column, b: Column) -> list[Column]:
     """JPEG 2000's irreversible colour transform in single precision."""
     k = lambda v: F.lit(v).cast("float")
     r, g, b = (c.cast("float") for c in (r, g, b))
-    return [(k(0.299) * r + k(0.587) * g + k(0.114) * b).alias("y"), (k(-0.16875) * r - k(0.33126) * g + k(0.5) * b).alias("u"), (k(0.5) * r - k(0.41869) * g - k(0.08131) * b).alias("v")]
+    return [(k(x) * r + k(y) * g + k(z) * b).alias(n) for n, (x, y, z) in zip("yuv", FORWARD, strict=True)]
 
 
 def color_of_irreversible(y: Column, u: Column, v: Column) -> list[Column]:
     """Its inverse; a half is added and the rest cut."""
     k = lambda x: F.lit(x).cast("float")
     half = k(0.5)
-    return [(y + k(1.402) * v + half).cast("int").alias("r"), (y - k(0.34413) * u - k(0.71414) * v + half).cast("int").alias("g"), (y + k(1.772) * u + half).cast("int").alias("b")]
+    return [(y + k(RED_V) * v + half).cast("int").alias("r"), (y - k(GREEN_U) * u - k(GREEN_V) * v + half).cast("int").alias("g"), (y + k(BLUE_U) * u + half).cast("int").alias("b")]
 
 
 def dead_zone(c: Column, step: Column | float) -> Column:

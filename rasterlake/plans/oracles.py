@@ -111,7 +111,9 @@ SQL = {
     **{f"header_{k}": f"SELECT vec_id AS image_id, '{k}' AS format, 5::BIGINT AS width, 9::BIGINT AS height, {d}::BIGINT AS depth FROM embeddings" for k, d in (("png", 8), ("bmp", 24), ("tga", 24), ("qoi", 32))},
     "icon_directory": """SELECT p_partkey, k AS entry, CASE WHEN k = 0 THEN 256 ELSE k END AS width, CASE WHEN k = 0 THEN 256 ELSE 2 * k END AS height, 0::BIGINT AS colors,
       p_partkey % 200 + k AS x, p_partkey % 100 AS y, k + 256 AS size, (p_size % 4 + 1) * 16 + 6 AS "offset" FROM part, range(4) t(k) WHERE k <= p_size % 4""",
-    "tiff_tags": "SELECT p_partkey, tag, CASE tag WHEN 256 THEN 4 ELSE 3 END AS type, 1::BIGINT AS count, CASE tag WHEN 256 THEN p_partkey ELSE p_size END AS value FROM part, (VALUES (256), (257)) t(tag)",
+    "tiff_tags": """SELECT p_partkey, (tag > 257)::INT AS directory, tag::BIGINT AS tag, CASE tag WHEN 256 THEN 4 ELSE 3 END::BIGINT AS type, CASE tag WHEN 258 THEN 3 WHEN 259 THEN 2 ELSE 1 END::BIGINT AS count,
+      CASE tag WHEN 256 THEN p_partkey WHEN 257 THEN p_size WHEN 258 THEN 68 ELSE CASE p_partkey % 2 WHEN 0 THEN p_size + 65536 * (p_partkey % 999) ELSE p_size * 65536 + p_partkey % 999 END END::BIGINT AS value,
+      CASE tag WHEN 256 THEN p_partkey::VARCHAR WHEN 257 THEN p_size::VARCHAR WHEN 258 THEN (p_partkey % 1000) || ',' || p_size || ',7' ELSE p_size || ',' || (p_partkey % 999) END AS values FROM part, (VALUES (256), (257), (258), (259)) t(tag)""",
     "reversible_color": lines("((r + 2 * g + b) // 4)::INT AS y, b - g AS u, r - g AS v"),
     "reversible_round_trip": lines("r, g, b"),
     "wavelet53": f"""WITH {EMB}, h AS (SELECT e.image_id, e.y, e.x, (e.g - floor((l.g + coalesce(r.g, l.g)) / 2.0))::INT AS d FROM emb e JOIN emb l ON l.image_id = e.image_id AND l.y = e.y AND l.x = e.x - 1

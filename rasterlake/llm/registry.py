@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterlake.llm import decontaminate, html_text, itq, langid, line_dedup, packing, simhash, token_counts, tool_calls, toxicity
+from rasterlake.llm import decontaminate, exact_dedup, html_text, itq, langid, line_dedup, packing, periodic, simhash, token_counts, tool_calls, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_itq_multi_index": itq.op8_itq_multi_index,
         "op9_simhash_pigeonring": simhash.op9_simhash_pigeonring,
         "op10_tool_call_linking": tool_calls.op10_tool_call_linking,
+        "op11_progressive_exact_dedup": exact_dedup.op11_progressive_exact_dedup,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
@@ -24,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op10_tool_call_linking": tool_calls.ORACLE_SQL,
+        "op11_progressive_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
     }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions.rgba import pack, pixel_word, unpack
-from rasterlake.operators.resize import resize
+from rasterlake.operators.resize import resize_arrays
 
 FRAME = "struct<width:int,height:int,duration_us:bigint,rgba:binary>"
 
@@ -133,17 +133,18 @@ def has_metadata(metadata: Column, kind: str) -> Column:
 
 
 def resized_images(images: DataFrame, width: int, height: int, mode: str = "bilinear") -> DataFrame:
-    """images (image_id, frames, ...) with all frames in one size. Other columns are carried, and `hotspots`, an array of
-    (x, y), is scaled by the size of the root frame; hotspots at (0, 0) stay there. An image is one file, so its frames are
-    gathered again by image_id, which must tell images apart."""
-    other = [c for c in images.columns if c not in ("image_id", "frames")]
-    root = images.withColumns({"rw": F.col("frames")[0]["width"], "rh": F.col("frames")[0]["height"]}).select("image_id", "rw", "rh", "frames", F.struct(F.lit(1).alias("_"), *other).alias("rest"))
-    new = resize(frames_of(root), width, height, mode)
-    own = F.struct("frame_idx", F.struct("width", "height", "duration_us", "rgba").alias("f"))
-    out = new.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["f"]).alias("frames"), F.first("rest").alias("rest"), F.first("rw").alias("rw"), F.first("rh").alias("rh"))
-    spot = lambda h: F.struct(scale_hotspot(h["x"], F.col("rw"), F.lit(width)).alias("x"), scale_hotspot(h["y"], F.col("rh"), F.lit(height)).alias("y"))
-    new = {"hotspots": F.transform("rest.hotspots", spot)} if "hotspots" in other else {}
-    return out.select(*[c if c in ("image_id", "frames") else new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in images.columns])
+    """images (frames, ...) with all frames in one size. Other columns are carried, and `hotspots`, an array of (x, y), is scaled
+    by the size of the root frame; hotspots at (0, 0) stay there. Narrow: each row is resized by itself, so rows may share
+    an id, and images without frames stay as they are."""
+    own = lambda c: F.transform("frames", lambda f: f[c])
+    root = F.col("__root")  # by a name of its own: within a lambda, `frames` would be the new column
+    new = images.withColumn("__root", F.get(F.col("frames"), F.lit(0))).withColumn("__new", resize_arrays(own("rgba"), own("width"), own("height"), width, height, mode))
+    frame = lambda f, b: F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"), f["duration_us"].alias("duration_us"), b.alias("rgba"))
+    put = {"frames": F.zip_with("frames", "__new", frame)}
+    if "hotspots" in images.columns:
+        spot = lambda h: F.struct(scale_hotspot(h["x"], root["width"], F.lit(width)).alias("x"), scale_hotspot(h["y"], root["height"], F.lit(height)).alias("y"))
+        put["hotspots"] = F.when(root.isNull(), F.col("hotspots")).otherwise(F.transform("hotspots", spot))
+    return new.select(*[put.get(c, F.col(f"`{c}`")).alias(c) for c in images.columns])
 
 
 def patched(pixels: DataFrame, patch: DataFrame) -> DataFrame:

@@ -73,16 +73,17 @@ def packets(pixels: DataFrame, longest: int = 128) -> DataFrame:
 
 
 def qoi_operations(pixels: DataFrame) -> DataFrame:
-    """pixels with op, what QOI sends for each pixel of a frame in scan order: 'run' (as the one before), 'index' (the last one in
-    its slot), 'diff', 'luma', 'rgb' or 'rgba'. The slots' state is a window over the pixels of one slot."""
+    """pixels with op, what QOI sends for each pixel of a frame in scan order: 'run' (as the one before), 'index' (the last one
+    that its slot holds), 'diff', 'luma', 'rgb' or 'rgba'. Differences do not wrap around, and a pixel that is sent as a run does
+    not enter its slot. The slots' state is a window over the pixels of one slot."""
     scan = Window.partitionBy("image_id", "frame_idx").orderBy("y", "x")
-    in_slot = Window.partitionBy("image_id", "frame_idx", "slot").orderBy("y", "x")
+    in_slot = Window.partitionBy("image_id", "frame_idx", "slot").orderBy("y", "x").rowsBetween(Window.unboundedPreceding, -1)
     word = F.struct(*CHANNELS)
     start, empty = F.struct(*[F.lit(v).alias(c) for c, v in zip(CHANNELS, (0, 0, 0, 255), strict=True)]), F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
     known = pixels.withColumn("slot", color_slot(*map(F.col, CHANNELS)))
-    known = known.withColumns({"before": F.coalesce(F.lag(word).over(scan), start), "seen": F.coalesce(F.lag(word).over(in_slot), empty)})
-    signed = lambda c: F.pmod(F.col(c) - F.col(f"before.{c}") + 128, F.lit(256)) - 128
-    dr, dg, db = map(signed, "rgb")
+    known = known.withColumn("before", F.coalesce(F.lag(word).over(scan), start))
+    known = known.withColumn("seen", F.coalesce(F.last(F.when(word != F.col("before"), word), ignorenulls=True).over(in_slot), empty))
+    dr, dg, db = [F.col(c) - F.col(f"before.{c}") for c in "rgb"]
     op = (
         F.when(word == F.col("before"), "run")
         .when(word == F.col("seen"), "index")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,22 +80,44 @@ def resize_array(px: np.ndarray, height: int, width: int, mode: str) -> np.ndarr
     return interpolate(px, height, width, range(-1, 3), lambda k, f: cubic(k - f))
 
 
-def resize(frames: DataFrame, width: int, height: int, mode: str = "bilinear") -> DataFrame:
-    """frames with another size; durations and all other columns stay."""
+def checked(width: int, height: int, mode: str) -> None:
     if width <= 0 or height <= 0 or mode not in MODES:
         raise ValueError("width and height must be positive, mode one of " + ", ".join(MODES))
 
+
+def resized_buffers(rgba: pd.Series, w: pd.Series, h: pd.Series, width: int, height: int, mode: str) -> pd.Series:
+    """RGBA buffers of w x h pixels in another size, those of one size together; null stays null."""
+    out = pd.Series([None] * len(rgba), dtype=object, index=rgba.index)
+    known = rgba.notna()
+    for (ww, hh), at in rgba[known].groupby([w[known], h[known]]).groups.items():
+        step = max(1, (1 << 24) // max(ww * hh, width * height))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            px = np.frombuffer(b"".join(rgba[part]), dtype=np.uint8).reshape(len(part), hh, ww, 4)
+            for k, frame in zip(part, resize_array(px, height, width, mode), strict=True):
+                out[k] = frame.tobytes()
+    return out
+
+
+def resize(frames: DataFrame, width: int, height: int, mode: str = "bilinear") -> DataFrame:
+    """frames with another size; durations and all other columns stay."""
+    checked(width, height, mode)
+
     def run(rgba: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(rgba), dtype=object, index=rgba.index)
-        known = rgba.notna()
-        for (ww, hh), at in rgba[known].groupby([w[known], h[known]]).groups.items():
-            step = max(1, (1 << 24) // max(ww * hh, width * height))
-            for i in range(0, len(at), step):
-                part = at[i : i + step]
-                px = np.frombuffer(b"".join(rgba[part]), dtype=np.uint8).reshape(len(part), hh, ww, 4)
-                for k, frame in zip(part, resize_array(px, height, width, mode), strict=True):
-                    out[k] = frame.tobytes()
-        return out
+        return resized_buffers(rgba, w, h, width, height, mode)
 
     resized = F.pandas_udf(run, T.BinaryType())("rgba", "width", "height")
     return frames.withColumns({"rgba": resized, "width": F.lit(width), "height": F.lit(height)}).select(*frames.columns)
+
+
+def resize_arrays(rgba: Column, w: Column, h: Column, width: int, height: int, mode: str = "bilinear") -> Column:
+    """Arrays of buffers in another size, those of each row in their order; arrays may be empty or null."""
+    checked(width, height, mode)
+
+    def run(rgba: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        flat = lambda s: pd.Series([v for x in s if x is not None for v in x], dtype=object)
+        new = list(resized_buffers(flat(rgba), flat(w), flat(h), width, height, mode))
+        ends = np.cumsum([0 if x is None else len(x) for x in rgba])
+        return pd.Series([None if x is None else new[end - len(x) : end] for x, end in zip(rgba, ends, strict=True)])
+
+    return F.pandas_udf(run, T.ArrayType(T.BinaryType()))(rgba, w, h)

@@ -259,11 +259,18 @@ SQL |= {
     "rle_packets": f"""WITH {ORDER}, n AS (SELECT *, coalesce((a <> lag(a) OVER w)::INT, 1) AS new FROM px WINDOW w AS (PARTITION BY image_id ORDER BY x)), k AS (SELECT *, sum(new) OVER (PARTITION BY image_id ORDER BY x) AS run FROM n),
       r AS (SELECT image_id, min(x) AS x, count(*) AS n FROM k GROUP BY image_id, run), i AS (SELECT *, sum((n > 1)::INT) OVER (PARTITION BY image_id ORDER BY x) AS island FROM r)
       SELECT image_id, min(x) AS x, sum(n)::BIGINT AS n, n = 1 AS raw FROM i GROUP BY image_id, island, i.n = 1""",
-    "qoi_operations": f"""WITH {RGBA}, q AS (SELECT image_id, y, x, r // 64 AS r, g // 64 AS g, b // 64 AS b, a // 64 AS a FROM px), s AS (SELECT *, (3 * r + 5 * g + 7 * b + 11 * a) % 64 AS slot, {{'r': r, 'g': g, 'b': b, 'a': a}} AS w FROM q),
-      p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY image_id ORDER BY y, x), {{'r': 0, 'g': 0, 'b': 0, 'a': 255}}) AS before, coalesce(lag(w) OVER (PARTITION BY image_id, slot ORDER BY y, x), {{'r': 0, 'g': 0, 'b': 0, 'a': 0}}) AS seen FROM s),
-      d AS (SELECT *, (r - before.r + 384) % 256 - 128 AS dr, (g - before.g + 384) % 256 - 128 AS dg, (b - before.b + 384) % 256 - 128 AS db FROM p)
-      SELECT image_id, y, x, CASE WHEN w = before THEN 'run' WHEN w = seen THEN 'index' WHEN a <> before.a THEN 'rgba' WHEN dr BETWEEN -2 AND 1 AND dg BETWEEN -2 AND 1 AND db BETWEEN -2 AND 1 THEN 'diff'
-      WHEN dg BETWEEN -32 AND 31 AND dr - dg BETWEEN -8 AND 7 AND db - dg BETWEEN -8 AND 7 THEN 'luma' ELSE 'rgb' END AS op FROM d""",
+    "qoi_operations": f"""WITH RECURSIVE {RGBA}, v AS (SELECT image_id, y * 8 + x AS k, CASE image_id % 3 WHEN 0 THEN r WHEN 1 THEN r // 64 ELSE (r // 32 + 252) % 256 END AS r,
+      CASE image_id % 3 WHEN 0 THEN g WHEN 1 THEN g // 64 ELSE (g // 32 + 252) % 256 END AS g, CASE image_id % 3 WHEN 0 THEN b WHEN 1 THEN b // 64 ELSE (b // 32 + 252) % 256 END AS b,
+      CASE image_id % 3 WHEN 2 THEN 255 ELSE a // 128 * 255 END AS a FROM px),
+      w AS (SELECT image_id, list(CASE WHEN k IN (0, 9, 20) THEN [0, 0, 0, 255]::BIGINT[] ELSE [r, g, b, a]::BIGINT[] END ORDER BY k) AS p FROM v GROUP BY image_id),
+      s AS (SELECT image_id, p, -1::BIGINT AS k, ''::VARCHAR AS op, [0, 0, 0, 255]::BIGINT[] AS prev, [[0, 0, 0, 0]::BIGINT[] for i in range(64)] AS seen FROM w
+        UNION ALL SELECT image_id, p, k + 1,
+        CASE WHEN p[k + 2] = prev THEN 'run' WHEN seen[(p[k + 2][1] * 3 + p[k + 2][2] * 5 + p[k + 2][3] * 7 + p[k + 2][4] * 11) % 64 + 1] = p[k + 2] THEN 'index' WHEN p[k + 2][4] <> prev[4] THEN 'rgba'
+          WHEN p[k + 2][1] - prev[1] BETWEEN -2 AND 1 AND p[k + 2][2] - prev[2] BETWEEN -2 AND 1 AND p[k + 2][3] - prev[3] BETWEEN -2 AND 1 THEN 'diff'
+          WHEN p[k + 2][2] - prev[2] BETWEEN -32 AND 31 AND p[k + 2][1] - prev[1] - p[k + 2][2] + prev[2] BETWEEN -8 AND 7 AND p[k + 2][3] - prev[3] - p[k + 2][2] + prev[2] BETWEEN -8 AND 7 THEN 'luma' ELSE 'rgb' END,
+        p[k + 2], CASE WHEN p[k + 2] = prev THEN seen ELSE seen[:(p[k + 2][1] * 3 + p[k + 2][2] * 5 + p[k + 2][3] * 7 + p[k + 2][4] * 11) % 64] || [p[k + 2]] || seen[(p[k + 2][1] * 3 + p[k + 2][2] * 5 + p[k + 2][3] * 7 + p[k + 2][4] * 11) % 64 + 2:] END
+        FROM s WHERE k < 63)
+      SELECT image_id, (k // 8)::INT AS y, (k % 8)::INT AS x, op FROM s WHERE k >= 0""",
     "gif_canvas": f"""WITH RECURSIVE {GIF}, num AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY frame_idx) AS n FROM fr),
       place AS (SELECT num.*, cy.cy, cx.cx, d.word, (cy = num.top AND cx BETWEEN num.lft AND num.lft + num.w - 1) AS inside FROM num CROSS JOIN range(2) cy(cy) CROSS JOIN range(4) cx(cx)
         LEFT JOIN drawn d ON d.image_id = num.image_id AND d.frame_idx = num.frame_idx AND d.fx = cx.cx - num.lft AND cy.cy = num.top AND d.a > 0),

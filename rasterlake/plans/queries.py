@@ -247,6 +247,17 @@ def upsampled(fancy: bool):
     return over_pixels(run)
 
 
+def qoi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of full bytes, of few colours, and of colours at both ends of a byte, by the image's number; opaque black first and
+    at two other places."""
+    px = frames.pixels_of(emb_rgba(spark, sf_dir))
+    kind, black = F.col("image_id") % 3, (F.col("y") * 8 + F.col("x")).isin(0, 9, 20)
+    value = lambda c: F.when(kind == 0, F.col(c)).when(kind == 1, F.floor(F.col(c) / 64)).otherwise((F.floor(F.col(c) / 32) + 252) % 256)
+    alpha = F.when(kind == 2, 255).otherwise(F.floor(F.col("a") / 128) * 255)
+    own = {c: F.when(black, 255 if c == "a" else 0).otherwise(alpha if c == "a" else value(c)).cast("int") for c in "rgba"}
+    return prediction.qoi_operations(px.withColumns(own)).select("image_id", "y", "x", "op")
+
+
 def gif_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as animations on a canvas of 4 x 2: a frame for each line, with its place, size and disposal from its colour."""
     px = order_pixels(spark, sf_dir).select("image_id", F.col("x").alias("frame_idx"), *"rgba")
@@ -504,7 +515,7 @@ QUERIES = {
     **{f"filter_{k}": over_pixels(lambda px, k=k: prediction.filtered(px, k).drop("frame_idx")) for k in ("up", "average", "paeth")},
     "filter_up_round_trip": over_pixels(lambda px: prediction.unfiltered_up(prediction.filtered(px, "up")).drop("frame_idx")),
     "rle_packets": lambda s, d: prediction.packets(order_pixels(s, d).withColumns({c: F.lit(0) for c in "rgb"})).select("image_id", "x", "n", "raw"),
-    "qoi_operations": over_pixels(lambda px: prediction.qoi_operations(px.withColumns({c: F.floor(F.col(c) / 64).cast("int") for c in "rgba"})).select("image_id", "y", "x", "op")),
+    "qoi_operations": qoi_operations,
     "gif_canvas": gif_canvas,
     "webp_canvas": webp_canvas,
     "palette_apply": palette_apply,

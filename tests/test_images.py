@@ -186,3 +186,26 @@ def test_files_sink_source_and_stream(spark, tmp_path):
 def test_unknown_formats(spark):
     d = spark.createDataFrame([(b"",), (b"P6",), (b"MM\0+\0\0\0\0",), (None,)], "b binary")
     assert [r[0] for r in d.select(formats.format_of_bytes(F.col("b"))).collect()] == [None] * 4
+
+
+def test_resized_images_keep_every_row(spark):
+    frame = lambda w, h: (w, h, 5, bytes(range(w * h * 4)))
+    rows = [(1, [], [(1, 2)]), (2, [frame(2, 2), frame(1, 1)], [(2, 0)]), (2, [frame(2, 1)], None), (None, None, []), (3, [(1, 1, None, None)], [(0, 0)])]
+    df = spark.createDataFrame(rows, f"image_id long, frames array<{frames.FRAME}>, hotspots array<struct<x:int,y:int>>")
+    out = frames.resized_images(df, 4, 2, "nearest").collect()
+    assert [(r.image_id, None if r.frames is None else [(f.width, f.height, f.duration_us) for f in r.frames]) for r in out] == [(1, []), (2, [(4, 2, 5)] * 2), (2, [(4, 2, 5)]), (None, None), (3, [(4, 2, None)])]
+    assert [r.hotspots and [tuple(h) for h in r.hotspots] for r in out] == [[(1, 2)], [(4, 0)], None, [], [(0, 0)]]
+    assert out[2].frames[0].rgba == bytes([*range(4)] * 2 + [*range(4, 8)] * 2) * 2 and out[4].frames[0].rgba is None
+
+
+def test_qoi_operations_at_both_ends_of_a_byte(spark):
+    def ops(*words):
+        rows = [(1, 0, 0, x, *w) for x, w in enumerate(words)]
+        df = spark.createDataFrame(rows, "image_id long, frame_idx int, y int, x int, r int, g int, b int, a int")
+        return [r.op for r in prediction.qoi_operations(df).orderBy("x").collect()]
+
+    black, other = (0, 0, 0, 255), (90, 80, 70, 255)
+    assert ops((255, 10, 9, 255), (0, 10, 9, 255)) == ["rgb", "rgb"]  # no difference wraps around
+    assert ops(black, other, black) == ["run", "rgb", "rgb"]  # a run does not enter its slot
+    assert ops(other, black, other, other, black) == ["rgb", "rgb", "index", "run", "index"]
+    assert ops((0, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 1)) == ["index", "diff", "rgba"]

@@ -62,7 +62,7 @@ def check(rows, pieces, length):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "some words here"), (3, "some words here"), (3, "other words for the same id"), (None, "no id"), (4, "long " * 3000), (5, "an end <|endoftext|> in it " * 30), *[(10 + i, "one and the same text") for i in range(40)]]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, start int").withColumn("DOC_ID", F.lit("x")).withColumn("Row", F.lit(1))
+    df = spark.createDataFrame([(*r, 5, "x", 1) for r in rows], "doc_id long, text string, start int, other string, Row int").toDF("doc_id", "text", "start", "DOC_ID", "Row")
     check(rows, packing.pack(df, 64).collect(), 64)
     assert packing.pack(df.limit(0)).count() == 0
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlake.functions.chunks import chunks_of
 from rasterlake.functions.formats import format_of_bytes
 from rasterlake.functions.rgba import unsigned
 
 
-#: The GIF extension and the WebP chunk that hold the loop count, in hexadecimal digits up to their data.
-NETSCAPE, ANIM = "21FF0B4E45545343415045322E300301", "414E494D06000000"
+#: Fixed value: the blocks of the GIF extension that holds the loop count, in hexadecimal digits up to it.
+NETSCAPE = "0B4E45545343415045322E300301"
 
 
 def big(b: Column, at: int | Column, size: int) -> Column:
@@ -62,10 +63,11 @@ def pnm_header(content: Column) -> Column:
 
 
 def loop_count(content: Column) -> Column:
-    """How often an animated GIF or WebP is to be shown, 0 for ever: from the block that says so; null if there is none."""
-    kind = format_of_bytes(content)
-    low = F.when(kind == "gif", F.regexp_extract(F.hex(content), f"{NETSCAPE}(....)", 1)).when(kind == "webp", F.regexp_extract(F.hex(content), f"{ANIM}.{{8}}(....)", 1))
-    return F.when(F.length(low) == 4, F.conv(F.concat(F.substring(low, 3, 2), F.substring(low, 1, 2)), 16, 10).cast("long"))
+    """How often an animated GIF or WebP is to be shown, 0 for ever: from the first block that says so; null if there is none."""
+    head = lambda c: F.hex(F.substring(content, (c["start"] + 1).cast("int"), F.lit(14)))
+    says = lambda c: c["error"].isNull() & ((c["kind"] == "ANIM") & (c["size"] >= 6) | (c["kind"] == "ext/FF") & (head(c) == NETSCAPE))
+    first = F.get(F.filter(chunks_of(content), says), F.lit(0))
+    return little(content, first["start"] + F.when(first["kind"] == "ANIM", 4).otherwise(14), 2)
 
 
 def _choose(f: Column, by: dict[str, Column]) -> Column:
@@ -89,52 +91,3 @@ def icon_entries(files: DataFrame) -> DataFrame:
     side = lambda k: F.when(big(F.col("content"), at + k, 1) == 0, 256).otherwise(big(F.col("content"), at + k, 1))
     word = lambda k, n: little(F.col("content"), at + k, n)
     return each.withColumns({"width": side(0), "height": side(1), "colors": word(2, 1), "x": word(4, 2), "y": word(6, 2), "size": word(8, 4), "offset": word(12, 4)})
-
-
-def tiff_directories(files: DataFrame, most: int = 1000) -> DataFrame:
-    """One row for each directory of classic TIFF files in files (…, content): directory (from 0) and start, its place. A chain
-    that comes back to an earlier directory ends there; one of more than `most` is an error."""
-    c = F.col("content")
-
-    def let(value: Column, body) -> Column:  # the value is computed once, however often body names it
-        return F.transform(F.array(value), body)[0]
-
-    def after(at: Column) -> Column:
-        return let(at + 2 + _tiff_number(c, at, 2) * 12, lambda end: _tiff_number(c, end, 4))
-
-    def longer(chain: Column, new: Column) -> Column:
-        return F.array_append(chain, F.when((new == 0) | F.array_contains(chain, new), F.lit(0)).otherwise(F.coalesce(new, F.lit(0))).cast("long"))
-
-    def step(chain: Column, _: Column) -> Column:
-        return F.when(F.element_at(chain, -1) == 0, chain).otherwise(let(F.element_at(chain, -1), lambda at: let(after(at), lambda new: longer(chain, new))))
-
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(_tiff_number(c, F.lit(4), 4)), step)
-    whole = F.when(F.element_at(chain, -1) == 0, F.slice(chain, F.lit(1), F.size(chain) - 1)).otherwise(F.raise_error(F.lit(f"over {most} directories")).cast("array<bigint>"))
-    return files.select("*", F.posexplode(F.when(format_of_bytes(c) == "tiff", whole).otherwise(F.array().cast("array<bigint>"))).alias("directory", "start"))
-
-
-def _tiff_number(c: Column, at: Column, size: int) -> Column:
-    """A number of a TIFF file in the byte order that its head says."""
-    return F.when(F.hex(F.substring(c, 1, 2)) == "4949", little(c, at, size)).otherwise(big(c, at, size))
-
-
-def tiff_entries(files: DataFrame) -> DataFrame:
-    """One row for each tag of the directories of classic TIFF files in files (…, content): directory, tag, type, count, value and
-    values. value is the number in the entry: the tag's value if it is one short or long, else where its values begin; values
-    holds all numbers of a tag of bytes, shorts or longs, and is null for other types."""
-    c = F.col("content")
-    number = lambda at, n: _tiff_number(c, at, n)
-    start = F.col("start")
-    each = tiff_directories(files).withColumn("__n", number(start, 2))
-    each = each.withColumn("__k", F.explode(F.when(F.col("__n") > 0, F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).otherwise(F.array().cast("array<bigint>"))))
-    at = start + 2 + F.col("__k") * 12
-    each = each.withColumns({"tag": number(at, 2), "type": number(at + 2, 2), "count": number(at + 4, 4)})
-    size = F.when(F.col("type") == 1, 1).when(F.col("type") == 3, 2).when(F.col("type") == 4, 4)
-    inside = F.col("count") * size <= 4
-    each = each.withColumn("__at", F.when(inside, at + 8).otherwise(number(at + 8, 4)))
-    short = (F.col("type") == 3) & (F.col("count") == 1)
-    value = F.when(short, number(at + 8, 2)).otherwise(number(at + 8, 4))
-    places = F.when(F.col("count") > 0, F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).otherwise(F.array().cast("array<bigint>"))
-    one = lambda n: F.transform(places, lambda i: number(F.col("__at") + i * n, n))
-    values = F.when(F.col("type") == 1, one(1)).when(F.col("type") == 3, one(2)).when(F.col("type") == 4, one(4))
-    return each.withColumns({"value": value, "values": values}).drop("__k", "__n", "__at", "start")

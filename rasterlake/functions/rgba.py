@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def made(**columns: Column) -> Column:
+    """Columns that are computed once a row, and not again wherever what follows names them."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def unsigned(b: Column) -> Column:
     """A short big-endian binary as a number."""
     return F.conv(F.hex(b), 16, 10).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rasterlake.functions.samples import CHROMINANCE, LUMINANCE
+from rasterlake.plans import containers
 from rasterlake.plans.queries import HEADERS, NAMES, PALETTE, WIDE
 
 EMB = """emb AS (SELECT vec_id AS image_id, (p - 1) // 8 AS y, (p - 1) % 8 AS x,
@@ -113,7 +114,7 @@ SQL = {
       p_partkey % 200 + k AS x, p_partkey % 100 AS y, k + 256 AS size, (p_size % 4 + 1) * 16 + 6 AS "offset" FROM part, range(4) t(k) WHERE k <= p_size % 4""",
     "tiff_tags": """SELECT p_partkey, (tag > 257)::INT AS directory, tag::BIGINT AS tag, CASE tag WHEN 256 THEN 4 ELSE 3 END::BIGINT AS type, CASE tag WHEN 258 THEN 3 WHEN 259 THEN 2 ELSE 1 END::BIGINT AS count,
       CASE tag WHEN 256 THEN p_partkey WHEN 257 THEN p_size WHEN 258 THEN 68 ELSE CASE p_partkey % 2 WHEN 0 THEN p_size + 65536 * (p_partkey % 999) ELSE p_size * 65536 + p_partkey % 999 END END::BIGINT AS value,
-      CASE tag WHEN 256 THEN p_partkey::VARCHAR WHEN 257 THEN p_size::VARCHAR WHEN 258 THEN (p_partkey % 1000) || ',' || p_size || ',7' ELSE p_size || ',' || (p_partkey % 999) END AS values FROM part, (VALUES (256), (257), (258), (259)) t(tag)""",
+      CASE tag WHEN 256 THEN p_partkey::VARCHAR WHEN 257 THEN p_size::VARCHAR WHEN 258 THEN (p_partkey % 1000) || ',' || p_size || ',7' ELSE p_size || ',' || (p_partkey % 999) END AS values, NULL::VARCHAR AS error FROM part, (VALUES (256), (257), (258), (259)) t(tag)""",
     "reversible_color": lines("((r + 2 * g + b) // 4)::INT AS y, b - g AS u, r - g AS v"),
     "reversible_round_trip": lines("r, g, b"),
     "wavelet53": f"""WITH {EMB}, h AS (SELECT e.image_id, e.y, e.x, (e.g - floor((l.g + coalesce(r.g, l.g)) / 2.0))::INT AS d FROM emb e JOIN emb l ON l.image_id = e.image_id AND l.y = e.y AND l.x = e.x - 1
@@ -327,3 +328,6 @@ SQL |= {
     **{f"rgba_{k}": EXPLODED.replace(EMB, EMB4) for k in ("png", "bmp", "tga", "qoi")},
 }
 SQL["tiff_luma"] = f"SELECT image_id, x, trunc(r0)::INT AS r, trunc(g0)::INT AS g, trunc(b0)::INT AS b FROM ({SQL['tiff_luma']})"
+SQL |= containers.SQL
+SQL["tiff_pixels"] = f"""WITH {RGBA} SELECT image_id, 0 AS directory, y, x, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE r END::INT AS r, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE g END::INT AS g,
+  CASE image_id % 7 WHEN 4 THEN 255 - r ELSE b END::INT AS b, CASE image_id % 7 WHEN 4 THEN 255 ELSE a END::INT AS a FROM px WHERE image_id % 7 <> 5"""

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions import color, formats, headers, rgba, samples, sql
-from rasterlake.operators import animation, frames, palette, prediction, transforms
+from rasterlake.functions.rgba import made
+from rasterlake.operators import animation, frames, palette, prediction, tiff, transforms
 from rasterlake.operators.resize import resize
+from rasterlake.plans import containers
 from rasterlake.plans.tables import emb_frames, emb_rgba, event_pixels, line_pixels, order_pixels, table
 from rasterlake.sources.files import decode_frames, encode_frames, read_files, write_files
 from rasterlake.streaming.images import stream_frames
@@ -160,11 +162,6 @@ def icon_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.icon_entries(files).drop("content")
 
 
-def made(**columns) -> Column:
-    """Columns that are computed once, and not again wherever what follows names them."""
-    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-
-
 def tiff_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two TIFF directories, in either byte order by the part's key: of width from its key and height from its size, and of three
     shorts that stand behind it, and two that fit in the entry."""
@@ -173,7 +170,7 @@ def tiff_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     le = lambda v, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(be(v, n), i * 2 + 1, F.lit(2)))), "")
     body = lambda w: F.concat(w(F.lit(8), 4), w(F.lit(2), 2), w(F.lit(256), 2), w(F.lit(4), 2), w(F.lit(1), 4), w(key, 4), w(F.lit(257), 2), w(F.lit(3), 2), w(F.lit(1), 4), w(size, 2), F.lit("0000"), w(F.lit(38), 4), w(F.lit(2), 2), w(F.lit(258), 2), w(F.lit(3), 2), w(F.lit(3), 4), w(F.lit(68), 4), w(F.lit(259), 2), w(F.lit(3), 2), w(F.lit(2), 4), w(size, 2), w(key % 999, 2), w(F.lit(0), 4), w(key % 1000, 2), w(size, 2), w(F.lit(7), 2))
     hexed = F.when(key % 2 == 0, F.concat(F.lit("49492A00"), body(le))).otherwise(F.concat(F.lit("4D4D002A"), body(be)))
-    return headers.tiff_entries(table(spark, sf_dir, "part").select("p_partkey", made(content=F.unhex(hexed)))).drop("content").withColumn("values", F.array_join(F.transform("values", lambda v: v.cast("string")), ","))
+    return tiff.tiff_entries(table(spark, sf_dir, "part").select("p_partkey", made(content=F.unhex(hexed)))).withColumn("values", F.array_join(F.transform("values", lambda v: v.cast("string")), ","))
 
 
 def reversible_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,8 +340,8 @@ def more_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     low = lambda v, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.lpad(F.hex(v.cast("long")), 2 * n, "0"), i * 2 + 1, F.lit(2)))), "")
     bmp = F.concat(F.lit("424D00000000000000000000" + "0000" + "0C000000"), low(key, 2), low(size, 2), F.lit("01001800"))
-    webp = F.concat(F.lit("5249464600000000574542505650385800000000" + "00000000"), low(key, 3), low(size - 1, 3), F.lit("414E494D06000000FFFFFFFF"), low(key % 1000, 2))
-    gif = F.concat(F.lit("474946383961"), low(key, 2), low(size, 2), F.lit("000000" + headers.NETSCAPE), low(key % 777, 2), F.lit("00"))
+    webp = F.concat(F.lit("52494646240000005745425056503858" + "0A00000000000000"), low(key, 3), low(size - 1, 3), F.lit("414E494D06000000FFFFFFFF"), low(key % 1000, 2))
+    gif = F.concat(F.lit("474946383961"), low(key, 2), low(size, 2), F.lit("00000021FF" + headers.NETSCAPE), low(key % 777, 2), F.lit("00"))
     pnm = F.concat(F.lit("P5 # it is "), F.col("p_name"), F.lit("\n"), key.cast("string"), F.lit(" #\n "), size.cast("string"), F.lit("\n255\n"))
     t = table(spark, sf_dir, "part").select("p_partkey", made(bmp=F.unhex(bmp), webp=F.unhex(webp), gif=F.unhex(gif), pnm=F.encode(pnm, "utf-8")))
     t = t.select("p_partkey", headers.header(F.col("bmp")).alias("b"), headers.header(F.col("webp")).alias("w"), headers.pnm_header(F.col("pnm")).alias("n"), headers.loop_count(F.col("gif")).alias("gif_loops"), headers.loop_count(F.col("webp")).alias("webp_loops"), headers.loop_count(F.col("bmp")).alias("no_loops"))
@@ -549,4 +546,5 @@ QUERIES = {
     **{f"rgba_{n}": resized_rgba(*size, mode) for n, *size, mode in (("nearest", 5, 3, "nearest"), ("area", 5, 3, "bilinear"), ("bilinear", 11, 13, "bilinear"), ("bicubic", 11, 13, "bicubic"))},
     **{f"rgba_{k}": rgba_round_trip(k) for k in ("png", "bmp", "tga", "qoi")},
     **{f"codec_{k}": codec_round_trip(k) for k in ("png", "bmp", "tga", "qoi", "pgm", "ppm")},
+    **containers.QUERIES,
 }

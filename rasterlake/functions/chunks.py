@@ -1,4 +1,4 @@
-"""The chunks of PNG, WebP, animated cursor and GIF files, and the chain of TIFF directories: what points from place to place.
+"""The chunks of PNG, WebP, animated cursor, GIF and JPEG 2000 files, and the chain of TIFF directories: what points from place to place.
 
 A file is walked in Arrow batches, from one header to the next; of what lies between, only the PNG chunks' checks are read.
 Columns and joins take it from there. A walk always moves ahead and ends, whatever the file says: a chunk that reaches beyond
@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 CHUNK = "struct<depth: int, parent: int, kind: string, start: bigint, size: bigint, crc_ok: boolean, error: string>"
 TAG = "struct<tag: int, type: int, count: bigint, value: bigint, values: array<bigint>, error: string>"
 DIRECTORY = f"struct<start: bigint, tags: array<{TAG}>, error: string>"
-#: A PNG file's first bytes, and the chunks of RIFF files that hold others, with the bytes before these.
-PNG, HOLDERS = b"\x89PNG\r\n\x1a\n", {b"RIFF": 4, b"LIST": 4, b"ANMF": 16}
+#: A PNG file's first bytes; the chunks of RIFF files that hold others, with the bytes before these; the boxes of
+#: JPEG 2000 files that do.
+PNG, HOLDERS, SUPERBOXES = b"\x89PNG\r\n\x1a\n", {b"RIFF": 4, b"LIST": 4, b"ANMF": 16}, (b"jp2h", b"res ", b"uinf")
+
+
+#: Numbers of a long's size or more are null.
+LONG = 1 << 63
 
 
 def png_chunks(data: bytes) -> list[tuple]:
@@ -68,6 +73,38 @@ def riff_chunks(data: bytes) -> list[tuple]:
     return out
 
 
+def boxes(data: bytes | None) -> list[tuple]:
+    """Boxes of JPEG 2000 files in their order, those in a box after it. A length of 0 reaches to the container's end, and after one
+    of 1 stands a length of eight bytes."""
+    out: list[tuple] = []
+    data = data or b""
+    holders, at = [(len(data), None)], 0
+    while holders:
+        stop, parent = holders[-1]
+        if stop - at < 8:
+            if stop > at:
+                out.append((len(holders) - 1, parent, None, at, stop - at, None, "cut header"))
+            holders.pop()
+            at = stop
+            continue
+        length, kind, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if length == 1:
+            length, head = int.from_bytes(data[at + 8 : min(at + 16, stop)], "big"), 16
+        elif length == 0:
+            length = stop - at
+        error = "short" if length < head or head == 16 and at + 16 > stop else "cut" if at + length > stop else None
+        out.append((len(holders) - 1, parent, kind.decode("latin-1"), min(at + head, stop), min(max(length - head, 0), LONG - 1), None, error))
+        if error:
+            holders.pop()
+            at = stop
+        elif kind in SUPERBOXES:
+            holders.append((at + length, len(out) - 1))
+            at += head
+        else:
+            at += length
+    return out
+
+
 def gif_chunks(data: bytes) -> list[tuple]:
     """Images, and extensions by their label (ext/F9), from what follows the label to the last block's end."""
     table = lambda flags: 3 << (flags & 7) + 1 if flags & 128 else 0
@@ -100,16 +137,14 @@ def chunks(data: bytes | None) -> list[tuple]:
         return png_chunks(data)
     if data[:4] == b"RIFF" and data[8:12] in (b"WEBP", b"ACON"):
         return riff_chunks(data)
+    if data[4:8] == b"jP  ":
+        return boxes(data)
     return gif_chunks(data) if data[:6] in (b"GIF87a", b"GIF89a") else []
 
 
 #: Bytes of a TIFF value by its type, and the letters that struct has for whole numbers without a sign.
 SIZES = {**dict.fromkeys((1, 2, 6, 7), 1), **dict.fromkeys((3, 8), 2), **dict.fromkeys((4, 9, 11, 13), 4), **dict.fromkeys((5, 10, 12, 16, 17, 18), 8)}
 WHOLE = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q"}
-#: Numbers of a long's size or more are null.
-LONG = 1 << 63
-
-
 def tags(data: bytes, order: str, big: bool, at: int, n: int) -> list[dict]:
     """The entries of a directory that begin at a place within the file."""
     out = []
@@ -184,6 +219,11 @@ def chunks_of(content: Column) -> Column:
     return walked(chunks, CHUNK, ARROW_CHUNK)(content)
 
 
+def boxes_of(content: Column) -> Column:
+    """Like chunks_of, of any content taken as the boxes of a JPEG 2000 file."""
+    return walked(boxes, CHUNK, ARROW_CHUNK)(content)
+
+
 def directories_of(content: Column) -> Column:
     """An array of a TIFF file's directories: start, tags (an array of tag, type, count, value, values and error) and error ('bad
     header', 'cut', 'loop', 'no directory'). Null and other files: empty."""

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.functions.chunks import chunks_of
-from rasterlake.functions.headers import little
+from rasterlake.functions.chunks import boxes_of, chunks_of
+from rasterlake.functions.headers import big, little
 from rasterlake.functions.rgba import made
 from rasterlake.operators.frames import step_frame, step_rate
 
@@ -79,3 +79,78 @@ def cursor_steps(files: DataFrame) -> DataFrame:
     each = each.withColumns({"frame": frame.cast("long"), "jiffies": rate})
     icon = F.when(F.col("frame") < F.size("__icons"), F.get(F.col("__icons"), F.col("frame").cast("int")))
     return each.select(*other, "step", "frame", "jiffies", icon["start"].alias("start"), icon["size"].alias("size"))
+
+
+#: The boxes of a header that count for its order, and those that should not stand before it; the brand.
+HEADER_BOXES, AFTER_HEADER, BRAND = ("ihdr", "colr", "bpcc", "res ", "cdef", "pclr", "cmap"), ("jp2i", "xml ", "uuid"), "6A703220"
+#: The order in which the four boxes that a file must have stand.
+ORDER = ("jP  ", "ftyp", "jp2h", "jp2c")
+
+
+def jp2_findings(files: DataFrame) -> DataFrame:
+    """files without content, with findings: an array of (severity, rule) that JPEG 2000 files break, 'error' before 'warning', each in
+    the order of the rules below. Contents that are no such files break the rules of what is missing; null has null.
+
+    A box that is cut is no box here. Of several boxes of one kind the first one counts.
+    """
+    c, other = F.col("content"), [n for n in files.columns if n != "content"]
+    known = files.withColumn("__all", boxes_of(c))
+    placed = known.select("*", made(__top=F.filter("__all", lambda b: b["parent"].isNull() & b["error"].isNull())))
+    first = lambda boxes, kind: F.get(F.filter(boxes, lambda b: b["kind"] == kind), F.lit(0))
+    names = {"signature": "jP  ", "type": "ftyp", "header": "jp2h", "stream": "jp2c"}
+    placed = placed.select("*", made(**{f"__{n}": first("__top", kind) for n, kind in names.items()}, __at=F.array_position(F.transform("__all", lambda b: F.when(b["error"].isNull() & b["parent"].isNull(), b["kind"]).otherwise("")), F.lit("jp2h")) - 1))
+    inner = F.filter("__all", lambda b: (b["parent"] == F.col("__at")) & b["error"].isNull() & b["kind"].isin(*HEADER_BOXES))
+    placed = placed.select("*", made(__in=inner))
+    kinds = F.transform("__in", lambda b: b["kind"])
+    color = first("__in", "colr")
+    of = lambda name: F.col(f"__{name}")
+    digits = lambda at, n: F.hex(F.substring(c, (at + 1).cast("int"), n if isinstance(n, Column) else F.lit(n)))
+    brands = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((of("type")["size"] - 8) / 4), F.lit(0).cast("long"))), lambda k: k * 4 + 12 <= of("type")["size"]), lambda k: digits(of("type")["start"] + 8 + k * 4, 4))
+    image = first("__in", "ihdr")
+    profile = F.when(big(c, color["start"], 1) == 2, color["start"] + 3)
+    facts = {
+        "__kinds": kinds, "__brands": brands, "__depth": F.when(image["size"] >= 11, big(c, image["start"] + 10, 1)), "__profile": profile, "__length": F.when(profile.isNotNull(), color["size"] - 3),
+        "__order": F.filter(F.transform("__top", lambda b: b["kind"]), lambda k: k.isin(*ORDER)), "__early": F.exists("__top", lambda b: b["kind"].isin(*AFTER_HEADER) & ((b["start"] < of("header")["start"]) | of("header").isNull())),
+        "__headers": F.size(F.filter("__top", lambda b: b["kind"] == "jp2h")), "__brand": digits(of("type")["start"], 4), "__minor": big(c, of("type")["start"] + 4, 4),
+    }
+    placed = placed.select("*", made(**facts))
+    has = lambda kind: F.array_contains("__kinds", kind)
+    position = lambda name: of(name)["start"] - 8
+    in_header, stream = of("header").isNotNull(), of("stream")
+    varies = of("depth") == 255
+    expected = F.transform(F.slice(F.array(*map(F.lit, ORDER)), F.lit(1), F.size("__order")), lambda k: k)
+    marked = stream.isNotNull() & (stream["size"] >= 2)
+    rules = [
+        ("error", "no signature box", of("signature").isNull()),
+        ("error", "signature box is not first", position("signature") != 0),
+        ("error", "signature box is not of 12 bytes", of("signature")["size"] != 4),
+        ("error", "no file type box", of("type").isNull()),
+        ("error", "brand is not jp2", of("brand") != BRAND),
+        ("error", "jp2 is not in the compatibility list", of("type").isNotNull() & ~F.array_contains("__brands", BRAND)),
+        ("error", "file type box is under 20 bytes", of("type")["size"] < 12),
+        ("error", "minor version is negative", of("minor") >= 1 << 31),
+        ("error", "no header box", ~in_header),
+        ("error", "no image header box", in_header & ~has("ihdr")),
+        ("error", "image header box is not first", in_header & has("ihdr") & (F.get(of("kinds"), F.lit(0)) != "ihdr")),
+        ("error", "no colour box", in_header & ~has("colr")),
+        ("error", "palette box is after the component mapping box", has("pclr") & (F.array_position("__kinds", F.lit("pclr")) > F.array_position("__kinds", F.lit("cmap"))) & has("cmap")),
+        ("error", "no bits per component box", in_header & varies & ~has("bpcc")),
+        ("error", "several header boxes", of("headers") > 1),
+        ("error", "no codestream box", stream.isNull()),
+        ("error", "codestream box is before the header box", position("stream") < of("header")["start"] + of("header")["size"]),
+        ("error", "codestream is too short", stream["size"] < 2),
+        ("error", "codestream does not begin with SOC", marked & (digits(stream["start"], 2) != "FF4F")),
+        ("warning", "file type box does not follow the signature box", of("signature").isNotNull() & (position("type") != 12)),
+        ("warning", "component mapping box without a palette box", has("cmap") & ~has("pclr")),
+        ("warning", "bit depth is not known", in_header & (of("depth").isNull() | varies) & ~has("bpcc")),
+        ("warning", "boxes are not in order", of("order") != expected),
+        ("warning", "metadata is before the header box", of("early")),
+        ("warning", "codestream does not end with EOC", marked & (digits(stream["start"], 2) == "FF4F") & (digits(stream["start"] + stream["size"] - 2, 2) != "FFD9")),
+        ("warning", "SIZ does not follow SOC", marked & (stream["size"] >= 4) & (digits(stream["start"], 2) == "FF4F") & (digits(stream["start"] + 2, 2) != "FF51")),
+        ("warning", "profile is under 128 bytes", of("length") < 128),
+        ("warning", "profile has another size than it says", (of("length") >= 128) & (big(c, of("profile"), 4) != of("length"))),
+        ("warning", "profile has no signature", (of("length") >= 128) & (big(c, of("profile"), 4) == of("length")) & (digits(of("profile") + 36, 4) != "61637370")),
+    ]
+    broken = F.filter(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"), F.coalesce(on, F.lit(False)).alias("on")) for s, r, on in rules]), lambda r: r["on"])
+    found = F.transform(broken, lambda r: F.struct(r["severity"], r["rule"]))
+    return placed.select(*other, F.when(c.isNotNull(), found).alias("findings"))

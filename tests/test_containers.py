@@ -217,3 +217,72 @@ def test_two_directories(spark):
     for directory, want in ((0, px), (1, other)):
         got = {(r.y, r.x): r.r for r in rows if r.directory == directory}
         assert got == {(y, x): int(want[y, x, 0]) for y in range(want.shape[0]) for x in range(want.shape[1])}
+
+
+def box(kind, data=b"", length=None):
+    return struct.pack(">I", 8 + len(data) if length is None else length) + kind + data
+
+
+def jp2(**parts):
+    """A sound file, but for the parts that are given; None leaves one out."""
+    profile = struct.pack(">I", 132) + bytes(32) + b"acsp" + bytes(92)
+    own = {"signature": box(b"jP  ", b"\r\n\x87\n"), "type": box(b"ftyp", b"jp2 " + bytes(4) + b"jp2 "), "early": b""}
+    own |= {"ihdr": box(b"ihdr", bytes(10) + b"\x07" + bytes(3)), "colr": box(b"colr", b"\x02\0\0" + profile), "more": b"", "stream": box(b"jp2c", b"\xff\x4f\xff\x51 data \xff\xd9")}
+    own = {k: v or b"" for k, v in (own | parts).items()}
+    header = box(b"jp2h", own["ihdr"] + own["colr"] + own["more"]) if parts.get("header", True) else b""
+    return own["signature"] + own["type"] + own["early"] + header + own["stream"]
+
+
+def test_jp2_findings(spark):
+    sound = jp2()
+    header = box(b"jp2h", box(b"ihdr", bytes(14)) + box(b"colr", b"\1"))
+    cases = {
+        "": [sound, jp2(more=box(b"pclr") + box(b"cmap")), sound + box(b"xml ", b"<a/>"), jp2(stream=struct.pack(">I4sQ", 1, b"jp2c", 22) + b"\xff\x4f\xff\x51\xff\xd9"), jp2(stream=box(b"jp2c", b"\xff\x4f\xff\x51\xff\xd9", 0))],
+        "no signature box": [sound[12:]],
+        "signature box is not first": [box(b"free") + sound],
+        "signature box is not of 12 bytes": [jp2(signature=box(b"jP  ", b"12345"))],
+        "no file type box": [jp2(type=None)],
+        "brand is not jp2": [jp2(type=box(b"ftyp", b"jpx " + bytes(4) + b"jp2 "))],
+        "jp2 is not in the compatibility list": [jp2(type=box(b"ftyp", b"jp2 " + bytes(4) + b"jpx abc"))],
+        "file type box is under 20 bytes": [jp2(type=box(b"ftyp", b"jp2 " + bytes(4)))],
+        "minor version is negative": [jp2(type=box(b"ftyp", b"jp2 \xff\xff\xff\xffjp2 "))],
+        "no header box": [jp2(header=False)],
+        "no image header box": [jp2(ihdr=None)],
+        "image header box is not first": [jp2(ihdr=None, more=box(b"ihdr", bytes(14)))],
+        "no colour box": [jp2(colr=None)],
+        "palette box is after the component mapping box": [jp2(more=box(b"cmap") + box(b"pclr"))],
+        "no bits per component box": [jp2(ihdr=box(b"ihdr", bytes(10) + b"\xff" + bytes(3)))],
+        "several header boxes": [jp2(early=header)],
+        "no codestream box": [jp2(stream=None), sound[:-3]],
+        "codestream box is before the header box": [jp2(early=box(b"jp2c", b"\xff\x4f\xff\x51\xff\xd9"))],
+        "codestream is too short": [jp2(stream=box(b"jp2c", b"\xff"))],
+        "codestream does not begin with SOC": [jp2(stream=box(b"jp2c", b"data\xff\xd9"))],
+        "file type box does not follow the signature box": [jp2(signature=box(b"jP  ", b"\r\n\x87\n") + box(b"free"))],
+        "component mapping box without a palette box": [jp2(more=box(b"cmap"))],
+        "bit depth is not known": [jp2(ihdr=box(b"ihdr", bytes(4)))],
+        "boxes are not in order": [jp2(type=None, early=b"", stream=box(b"ftyp", b"jp2 " + bytes(4) + b"jp2 ") + box(b"jp2c", b"\xff\x4f\xff\x51\xff\xd9"))],
+        "metadata is before the header box": [jp2(early=box(b"uuid"))],
+        "codestream does not end with EOC": [jp2(stream=box(b"jp2c", b"\xff\x4f\xff\x51 data"))],
+        "SIZ does not follow SOC": [jp2(stream=box(b"jp2c", b"\xff\x4f\xff\x52\xff\xd9"))],
+        "profile is under 128 bytes": [jp2(colr=box(b"colr", b"\2\0\0" + bytes(100)))],
+        "profile has another size than it says": [jp2(colr=box(b"colr", b"\2\0\0" + bytes(130)))],
+        "profile has no signature": [jp2(colr=box(b"colr", b"\2\0\0" + struct.pack(">I", 130) + bytes(126)))],
+    }
+    more = {
+        "signature box is not first": ["file type box does not follow the signature box"], "signature box is not of 12 bytes": ["file type box does not follow the signature box"],
+        "no file type box": ["boxes are not in order"], "no signature box": ["boxes are not in order"], "several header boxes": ["boxes are not in order"],
+        "file type box is under 20 bytes": ["jp2 is not in the compatibility list"], "no header box": ["boxes are not in order"], "no image header box": ["bit depth is not known"],
+        "no bits per component box": ["bit depth is not known"], "codestream box is before the header box": ["boxes are not in order"], "boxes are not in order": ["file type box does not follow the signature box"],
+    }
+    rows = [(f"{rule}|{k}", data) for rule, files in cases.items() for k, data in enumerate(files)]
+    df = spark.createDataFrame([*rows, ("null", None), ("empty", b""), ("other", b"no such file at all")], "id string, content binary")
+    found = {r.id: r.findings for r in containers.jp2_findings(df).collect()}
+    assert found["null"] is None and [f.rule for f in found["empty"]] == [f.rule for f in found["other"]] == ["no signature box", "no file type box", "no header box", "no codestream box"]
+    for rule, files in cases.items():
+        for k in range(len(files)):
+            own = found[f"{rule}|{k}"]
+            assert sorted(f.rule for f in own) == sorted([rule, *more.get(rule, [])] if rule else []), (rule, k)
+            assert [f.severity for f in own] == sorted(f.severity for f in own)
+    rng = np.random.default_rng(0)
+    noisy = [(str(k), sound[:k] + bytes([int(rng.integers(256))]) + sound[k + 1 :]) for k in range(len(sound))] + [(str(k), sound[:k]) for k in range(len(sound))]
+    assert containers.jp2_findings(spark.createDataFrame(noisy, "id string, content binary")).select(F.explode("findings")).count() > 0

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.rgba import made
-from rasterlake.operators import containers, frames, progression, rate
+from rasterlake.operators import containers, frames, icc, progression, rate, regions
 from rasterlake.plans.containers import big_hex
-from rasterlake.plans.tables import emb_frames, table
+from rasterlake.plans.tables import emb_frames, line_pixels, table
 
 BUDGETS = [500, 20_000, 300_000, 1_000_000_000]
 
@@ -86,6 +86,62 @@ def jp2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.array_join(F.transform("findings", lambda f: F.concat(f["severity"], F.lit(": "), f["rule"])), "; ").alias("findings"))
 
 
+def frame_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grey frames' samples, less 128: a quarter of a frame stands for each band of one level."""
+    px = frames.pixels_of(emb_frames(spark, sf_dir))
+    band = F.concat(F.when(F.col("x") < 4, "L").otherwise("H"), F.when(F.col("y") < 4, "L").otherwise("H"))
+    return px.select("image_id", "frame_idx", F.lit(1).alias("level"), band.alias("band"), (F.col("y") % 4).alias("y"), (F.col("x") % 4).alias("x"), (F.col("r") - 128).alias("v"))
+
+
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One or two rectangles of an image, some of them empty, or over its edge."""
+    i = F.col("image_id").cast("int")
+    rect = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    each = F.explode(F.array(rect(i % 7, i % 5, i % 4, i % 3 + 1), rect(5 - i % 2 * 20, F.lit(6), F.lit(9), F.lit(9))))
+    return emb_frames(spark, sf_dir).select("image_id", "frame_idx", "width", "height", each.alias("r")).select("image_id", "frame_idx", "width", "height", "r.*")
+
+
+def region_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = regions.band_regions(rectangles(spark, sf_dir), 1)
+    return regions.scaled_up(frame_bands(spark, sf_dir), area).drop("frame_idx", "level")
+
+
+def region_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = regions.band_regions(rectangles(spark, sf_dir), 1, "9/7")
+    return regions.scaled_down(regions.scaled_up(frame_bands(spark, sf_dir), area)).select("image_id", "band", "y", "x", F.col("v").cast("long").alias("v"))
+
+
+#: Red's, green's and blue's colorant of the profiles, in 1/65,536, before a nation's key is added.
+COLORANTS = ((28578, 14581, 912), (25241, 46981, 6361), (9376, 3973, 46799))
+
+
+def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of nations: one curve, of as many points as a nation's key modulo 4, the first of which is its power if it is the only
+    one, and colorants from its key; every fifth has no signature."""
+    key, start = F.col("n_nationkey").cast("int"), 132 + 12 * 6
+    points = [big_hex(v, 2) for v in (key * 20 + 100, key + 20_000, key + 40_000)]
+    many = key % 4
+    curve = F.concat(F.lit(b"curv".hex() + "00000000"), big_hex(many, 4), *[F.when(many > k, p).otherwise(F.lit("")) for k, p in enumerate(points)])
+    xyz = [F.concat(F.lit(b"XYZ ".hex() + "00000000"), *[big_hex(key + v, 4) for v in c]) for c in COLORANTS]
+    size = many * 2 + 12
+    entry = lambda name, at, length: F.concat(F.lit(name.encode().hex()), big_hex(at, 4), big_hex(length, 4))
+    entries = [entry(f"{n}TRC", F.lit(start), size) for n in "rgb"] + [entry(f"{n}XYZ", size + start + 20 * k, F.lit(20)) for k, n in enumerate("rgb")]
+    signature = F.when(key % 5 == 0, F.lit("00" * 4)).otherwise(F.lit(b"acsp".hex()))
+    whole = F.concat(F.lit("00" * 36), signature, F.lit("00" * 88), big_hex(F.lit(6), 4), *entries, curve, *xyz)
+    return table(spark, sf_dir, "nation").select(key.alias("profile_id"), made(content=F.unhex(whole)))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.array_join(F.flatten(c).cast("array<string>"), ",")
+    return icc.icc_profiles(profile_files(spark, sf_dir)).select("profile_id", shown("curves").alias("curves"), shown("colorants").alias("colorants"), "error")
+
+
+def profiled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines' pixels, of the profile that an order's key picks."""
+    px = line_pixels(spark, sf_dir).select((F.col("image_id") % 25).cast("int").alias("profile_id"), "image_id", "x", "r", "g", "b")
+    return icc.profiled_to_srgb(px, icc.icc_profiles(profile_files(spark, sf_dir))).drop("profile_id")
+
+
 QUERIES = {
     "tag_trees": lambda s, d: rate.tag_tree(tree_leaves(s, d), ["image_id"]),
     "tag_tree_round_trip": lambda s, d: rate.tag_tree_leaves(rate.tag_tree(tree_leaves(s, d), ["image_id"]), ["image_id"]),
@@ -94,6 +150,10 @@ QUERIES = {
     "layer_cuts": layer_cuts,
     "packet_orders": packet_orders,
     "jp2_findings": jp2_findings,
+    "region_shifts": region_shifts,
+    "region_round_trip": region_round_trip,
+    "icc_profiles": profiles,
+    "icc_pixels": profiled_pixels,
 }
 
 _HULL = """b AS (SELECT l_orderkey, list(rate ORDER BY n) AS rates, list(dist ORDER BY n) AS dists FROM (SELECT l_orderkey, n, (sum(q) OVER w * CASE WHEN n % 5 = 0 THEN -1 ELSE 1 END)::BIGINT AS rate, (sum(s % 11 - 2) OVER w)::DOUBLE AS dist
@@ -105,11 +165,30 @@ _HULL = """b AS (SELECT l_orderkey, list(rate ORDER BY n) AS rates, list(dist OR
   p AS (SELECT l_orderkey, unnest(kept) AS p FROM h WHERE k > len(rates)), points AS (SELECT l_orderkey, p.idx::INT AS idx, p.rate AS rate, p.dist AS dist, p.slope AS slope FROM p)"""
 
 
+_BANDS = """{}, b AS (SELECT image_id, CASE WHEN x < 4 THEN 'L' ELSE 'H' END || CASE WHEN y < 4 THEN 'L' ELSE 'H' END AS band, (y % 4)::INT AS y, (x % 4)::INT AS x, g - 128 AS v FROM emb),
+  raw AS (SELECT vec_id AS image_id, vec_id % 7 AS x, vec_id % 5 AS y, vec_id % 4 AS w, vec_id % 3 + 1 AS h FROM embeddings UNION ALL SELECT vec_id, 5 - vec_id % 2 * 20, 6, 9, 9 FROM embeddings),
+  rect AS (SELECT image_id, greatest(x, 0) AS x0, greatest(y, 0) AS y0, least(x + w, 8) - 1 AS x1, least(y + h, 8) - 1 AS y1 FROM raw WHERE w > 0 AND h > 0 AND x < 8 AND y < 8 AND x + w > 0 AND y + h > 0)"""
+
+
 def _ranks() -> str:
     return " UNION ALL ".join(f"SELECT tile, {k} AS progression, row_number() OVER (PARTITION BY tile ORDER BY {', '.join(o)}) - 1 AS place, layer, resolution, component, precinct FROM q" for k, o in progression.ORDERS.items())
 
 
-def sql(emb: str) -> dict[str, str]:
+def _profiled(line: str) -> str:
+    most = "255.0::DOUBLE"
+    light = lambda c: f"""(CASE n WHEN 0 THEN {c} / {most} WHEN 1 THEN pow({c} / {most}, c0 / 256.0::DOUBLE) ELSE
+      (SELECT CASE WHEN floor(t) = ceil(t) THEN points[floor(t)::INT + 1] / 65535.0::DOUBLE ELSE points[floor(t)::INT + 1] / 65535.0::DOUBLE + (points[ceil(t)::INT + 1] / 65535.0::DOUBLE - points[floor(t)::INT + 1] / 65535.0::DOUBLE) * (t - floor(t)) END
+        FROM (SELECT {c} * ((n - 1) / {most}) AS t)) END)::FLOAT::DOUBLE"""
+    factor = lambda row, k: f"({most} * ({' + '.join(f'({v}::DOUBLE) * ((key + {COLORANTS[k][a]}) / 65536.0::DOUBLE)' for a, v in enumerate(row))}))"
+    mixed = ", ".join(f"greatest(0, least(255, trunc({factor(row, 0)} * lr + {factor(row, 1)} * lg + {factor(row, 2)} * lb + 0.5::DOUBLE)::BIGINT)) AS m{c}" for c, row in zip("rgb", icc.SRGB, strict=True))
+    share = "(m{0} * (1.0::DOUBLE / 255))"
+    out = ", ".join(f"(CASE WHEN m{c} <= 0 THEN floor((12.92::DOUBLE * 255) * {share.format(c)} + 0.5::DOUBLE) ELSE floor((1.055::DOUBLE * 255) * pow({share.format(c)}, 1.0::DOUBLE / 2.4::DOUBLE) - (0.055::DOUBLE * 255) + 0.5::DOUBLE) END)::INT AS {c}" for c in "rgb")
+    return f"""WITH {line}, p AS (SELECT n_nationkey AS key, n_nationkey % 4 AS n, n_nationkey * 20 + 100 AS c0, [n_nationkey * 20 + 100, n_nationkey + 20000, n_nationkey + 40000] AS points FROM nation WHERE n_nationkey % 5 <> 0),
+      l AS (SELECT image_id, x, key, {light("r")} AS lr, {light("g")} AS lg, {light("b")} AS lb FROM px JOIN p ON p.key = px.image_id % 25), m AS (SELECT image_id, x, {mixed} FROM l)
+      SELECT image_id, x, {out} FROM m"""
+
+
+def sql(emb: str, line: str) -> dict[str, str]:
     leaves = f"{emb}, l AS (SELECT image_id, (image_id % 7 + 2)::INT AS height, (image_id % 5 + 3)::INT AS width, y::INT AS y, x::INT AS x, g // 16 AS value FROM emb WHERE y < image_id % 7 + 2 AND x < image_id % 5 + 3)"
     tree = f"""{leaves}, n AS (SELECT image_id, height, width, k::INT AS level, (y // (1 << k))::INT AS y, (x // (1 << k))::INT AS x, min(value) AS value FROM l, range(4) t(k) WHERE k = 0 OR (1 << (k - 1)) < greatest(height, width) GROUP BY ALL),
       tree AS (SELECT n.*, n.value - coalesce(u.value, 0) AS extra FROM n LEFT JOIN n u ON u.image_id = n.image_id AND u.level = n.level + 1 AND u.y = n.y // 2 AND u.x = n.x // 2)"""
@@ -134,4 +213,13 @@ def sql(emb: str) -> dict[str, str]:
           {_ranks()}""",
         "jp2_findings": """SELECT p_partkey, ['', 'error: no signature box; warning: boxes are not in order', 'error: brand is not jp2', 'error: no colour box', 'warning: component mapping box without a palette box', 'warning: metadata is before the header box',
           'warning: codestream does not end with EOC', 'error: no codestream box'][p_partkey % 8 + 1] AS findings FROM part""",
+        "region_shifts": f"""WITH {_BANDS.format(emb)}, r AS (SELECT image_id, band, greatest(0, floor((y0 + CASE WHEN band[2] = 'L' THEN 0 ELSE -2 END) / 2.0)) AS ya, floor((y1 + 1) / 2.0) AS yb, greatest(0, floor((x0 + CASE WHEN band[1] = 'L' THEN 0 ELSE -2 END) / 2.0)) AS xa, floor((x1 + 1) / 2.0) AS xb
+            FROM rect, (VALUES ('LL'), ('HL'), ('LH'), ('HH')) b(band)),
+          s AS (SELECT image_id, length(bin(max(abs(v)))) * (max(abs(v)) > 0)::INT AS shift FROM b GROUP BY image_id)
+          SELECT image_id, band, y, x, (CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.image_id = b.image_id AND r.band = b.band AND b.y BETWEEN ya AND yb AND b.x BETWEEN xa AND xb) THEN v * (1 << shift) ELSE v END)::BIGINT AS v, shift::INT AS shift FROM b JOIN s USING (image_id)""",
+        "region_round_trip": f"WITH {_BANDS.format(emb)} SELECT image_id, band, y, x, v::BIGINT AS v FROM b",
+        "icc_profiles": """WITH p AS (SELECT n_nationkey::INT AS profile_id, n_nationkey % 5 = 0 AS bad, [n_nationkey * 20 + 100, n_nationkey + 20000, n_nationkey + 40000][:n_nationkey % 4] AS points FROM nation)
+          SELECT profile_id, CASE WHEN NOT bad THEN array_to_string(points || points || points, ',') END AS curves, CASE WHEN NOT bad THEN array_to_string([v + profile_id for v in [28578, 14581, 912, 25241, 46981, 6361, 9376, 3973, 46799]], ',') END AS colorants,
+            CASE WHEN bad THEN 'no profile' END AS error FROM p""",
+        "icc_pixels": _profiled(line),
     }

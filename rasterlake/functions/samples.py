@@ -29,12 +29,14 @@ def png_is_legal(depth: Column, color_type: Column) -> Column:
     return out
 
 
-def packed_rows(samples: DataFrame, bits: int) -> DataFrame:
+def packed_rows(samples: DataFrame, bits: int, width: Column | None = None) -> DataFrame:
     """Rows of bytes (image_id, frame_idx, y, content) of samples (image_id, frame_idx, y, x, v) of 1, 2 or 4 bits: the first one
-    in the highest bits, places without a sample are zeros. A group is one row of one image, and its bytes are summed first."""
+    in the highest bits, places without a sample are zeros. A row has as many bytes as its width needs, and samples beyond it are left
+    out; without a width it ends at its last sample. A group is one row of one image, and its bytes are summed first."""
     per = 8 // bits
-    bytes_ = samples.groupBy("image_id", "frame_idx", "y", F.floor(F.col("x") / per).cast("int").alias("k")).agg(F.sum(F.expr(f"shiftleft(cast(v as int), {8 - bits} - x % {per} * {bits})")).alias("byte"))
-    rows = bytes_.groupBy("image_id", "frame_idx", "y").agg(F.map_from_entries(F.collect_list(F.struct("k", F.lpad(F.hex(F.col("byte").cast("long")), 2, "0")))).alias("m"), F.max("k").alias("last"))
+    known = samples.withColumn("__w", F.lit(None).cast("int") if width is None else width.cast("int")).where("__w is null or x < __w")
+    bytes_ = known.groupBy("image_id", "frame_idx", "y", F.floor(F.col("x") / per).cast("int").alias("k")).agg(F.sum(F.expr(f"shiftleft(cast(v as int), {8 - bits} - x % {per} * {bits})")).alias("byte"), F.max("__w").alias("__w"))
+    rows = bytes_.groupBy("image_id", "frame_idx", "y").agg(F.map_from_entries(F.collect_list(F.struct("k", F.lpad(F.hex(F.col("byte").cast("long")), 2, "0")))).alias("m"), F.coalesce(F.floor((F.max("__w") - 1) / per), F.max("k")).cast("int").alias("last"))
     dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("00")))
     return rows.select("image_id", "frame_idx", "y", F.unhex(F.array_join(dense, "")).alias("content"))
 

@@ -88,8 +88,17 @@ def webp_canvases(images: DataFrame) -> DataFrame:
     return images.withColumn("frames", drawn)
 
 
-def durations(frames: DataFrame) -> DataFrame:
+def durations(frames: DataFrame, page: int = 4096) -> DataFrame:
     """Frames (image_id, frame_idx, at_us) with duration_us: the time to the next frame, 0 for the last, in whole
-    hundredths of a second as GIF keeps it."""
-    gap = F.lead("at_us").over(Window.partitionBy("image_id").orderBy("frame_idx")) - F.col("at_us")
-    return frames.withColumn("duration_us", (F.floor(F.coalesce(gap, F.lit(0)) / 10_000) * 10_000).cast("long"))
+    hundredths of a second as GIF keeps it.
+
+    Numbers are cut into pages: windows are over one page, whose last frame looks to the first one of the next page that has
+    any. So an image of any number of frames is dealt over many tasks; one row a page meets in an image's window.
+    """
+    paged = frames.withColumn("__page", F.floor(F.col("frame_idx") / page))
+    first = paged.groupBy("image_id", "__page").agg(F.min_by("at_us", "frame_idx").alias("__first"))
+    ahead = first.select("image_id", "__page", F.lead("__first").over(Window.partitionBy("image_id").orderBy("__page")).alias("__ahead"))
+    met = paged.join(ahead, paged["__page"].eqNullSafe(ahead["__page"]) & paged["image_id"].eqNullSafe(ahead["image_id"]), "left").select(paged["*"], "__ahead")
+    after = F.lead("at_us").over(Window.partitionBy("image_id", "__page").orderBy("frame_idx"))
+    gap = F.coalesce(after, F.col("__ahead")) - F.col("at_us")
+    return met.withColumn("duration_us", (F.floor(F.coalesce(gap, F.lit(0)) / 10_000) * 10_000).cast("long")).drop("__page", "__ahead")

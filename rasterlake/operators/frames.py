@@ -37,15 +37,21 @@ def pixels_of(frames: DataFrame) -> DataFrame:
 
 
 def frames_from_pixels(pixels: DataFrame, width: Column, height: Column) -> DataFrame:
-    """Frames of a known size; pixels that are missing are transparent black, and of several at one place the one with the
-    largest word (0xRRGGBBAA) is taken. A group is one frame."""
-    sized = pixels.withColumns({"width": width, "height": height})
-    place = (F.col("y") * F.col("width") + F.col("x")).alias("k")
-    one = sized.groupBy("image_id", "frame_idx", "width", "height", place).agg(F.max(pack(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).alias("word"))
-    own = F.struct("k", F.lpad(F.hex("word"), 8, "0").alias("h"))
-    known = one.groupBy("image_id", "frame_idx").agg(F.map_from_entries(F.collect_list(own)).alias("m"), F.first("width").alias("width"), F.first("height").alias("height"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit("00000000")))
-    return known.select("image_id", "frame_idx", "width", "height", F.lit(0).cast("long").alias("duration_us"), F.unhex(F.array_join(dense, "")).alias("rgba"))
+    """Frames of a known size; pixels that are missing are transparent black, those beyond it are left out, and of several at one
+    place the one with the largest word (0xRRGGBBAA) is taken. Rows are gathered first, then a frame's rows: a group is one row's pixels, or one
+    frame's rows."""
+    own = ["image_id", "frame_idx", "width", "height"]
+    sized = pixels.withColumns({"width": width.cast("int"), "height": height.cast("int")})
+    one = sized.groupBy(*own, "y", "x").agg(F.max(pack(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).alias("word"))
+    inside = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
+    pixel = F.when(inside, F.struct("x", F.lpad(F.hex("word"), 8, "0").alias("h")))
+    rows = one.groupBy(*own, "y").agg(F.map_from_entries(F.collect_list(pixel)).alias("m"))
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.coalesce(F.try_element_at("m", x), F.lit("00000000"))), "")
+    filled = rows.select(*own, F.when(F.col("y").between(0, F.col("height") - 1), F.struct("y", F.unhex(row).alias("b"))).alias("row"))
+    known = filled.groupBy(*own).agg(F.map_from_entries(F.collect_list("row")).alias("m"))
+    blank_row = F.unhex(F.repeat(F.lit("00000000"), F.col("width")))
+    dense = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.hex(F.coalesce(F.try_element_at("m", y), blank_row)))
+    return known.select(*own, F.lit(0).cast("long").alias("duration_us"), F.unhex(F.array_join(dense, "")).alias("rgba"))
 
 
 def add_frame(frames: Column, frame: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rasterlake.operators.resize import by_size
+
 CHANNELS = ("r", "g", "b", "a")
 
 
@@ -61,6 +65,56 @@ def unfiltered_up(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "frame_idx", "y", "x", *[F.pmod(total(c), F.lit(256)).cast("int").alias(c) for c in CHANNELS])
 
 
+def foretold(kind: str, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What PNG's filter foretells of samples from their neighbours, all signed."""
+    if kind == "sub":
+        return left
+    if kind == "up":
+        return up
+    if kind == "average":
+        return (left + up) >> 1
+    if kind != "paeth":
+        raise ValueError("kind must be sub, up, average or paeth")
+    p = left + up - corner
+    a, b, far = abs(p - left), abs(p - up), abs(p - corner)
+    return np.where((a <= b) & (a <= far), left, np.where(b <= far, up, corner))
+
+
+def _over_frames(frames: DataFrame, work) -> DataFrame:
+    def run(rgba: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return by_size(rgba, w, h, work)
+
+    return frames.withColumn("rgba", F.pandas_udf(run, "binary")("rgba", "width", "height"))
+
+
+def filtered_frames(frames: DataFrame, kind: str) -> DataFrame:
+    """frames with the samples of rgba filtered as `filtered` does, or by 'sub': narrow, as a frame has its rows at hand."""
+
+    def work(px: np.ndarray) -> np.ndarray:
+        wide = np.pad(px, ((0, 0), (1, 0), (1, 0), (0, 0))).astype(np.int16)
+        return (px.astype(np.int16) - foretold(kind, wide[:, 1:, :-1], wide[:, :-1, 1:], wide[:, :-1, :-1])).astype(np.uint8)
+
+    return _over_frames(frames, work)
+
+
+def unfiltered_frames(frames: DataFrame, kind: str) -> DataFrame:
+    """The inverse of filtered_frames. 'average' and 'paeth' need the sample to the left and the one above; so the places of one
+    falling diagonal are made together, for all frames of a size."""
+
+    def work(px: np.ndarray) -> np.ndarray:
+        if kind in ("sub", "up"):
+            return np.cumsum(px, axis=2 if kind == "sub" else 1, dtype=np.uint8)
+        n, h, w, _ = px.shape
+        wide = np.zeros((n, h + 1, w + 1, 4), dtype=np.int16)
+        for d in range(h + w - 1):
+            y = np.arange(max(0, d - w + 1), min(h, d + 1))
+            x = d - y
+            wide[:, y + 1, x + 1] = (px[:, y, x] + foretold(kind, wide[:, y + 1, x], wide[:, y, x + 1], wide[:, y, x])) & 255
+        return wide[:, 1:, 1:].astype(np.uint8)
+
+    return _over_frames(frames, work)
+
+
 def packets(pixels: DataFrame, longest: int = 128) -> DataFrame:
     """Run-length packets of a row as Targa has them: image_id, frame_idx, y, x (start), n, raw. Runs of two or more equal pixels
     are packets of one pixel; single pixels in a row share a raw packet; none is longer than `longest`."""

@@ -85,20 +85,26 @@ def checked(width: int, height: int, mode: str) -> None:
         raise ValueError("width and height must be positive, mode one of " + ", ".join(MODES))
 
 
-def resized_buffers(rgba: pd.Series, w: pd.Series, h: pd.Series, width: int, height: int, mode: str) -> pd.Series:
-    """RGBA buffers of w x h pixels in another size, those of one size together; null stays null."""
+def by_size(rgba: pd.Series, w: pd.Series, h: pd.Series, work, most: int = 1) -> pd.Series:
+    """work((n, h, w, 4) bytes) for the RGBA buffers of each size together, some 16 Mpixel (of a frame's, or of `most`) at a time;
+    null stays null."""
     out = pd.Series([None] * len(rgba), dtype=object, index=rgba.index)
     known = rgba.notna()
     for (ww, hh), at in rgba[known].groupby([w[known], h[known]]).groups.items():
-        step = max(1, (1 << 24) // max(ww * hh, width * height))
+        step = max(1, (1 << 24) // max(ww * hh, most))
         for i in range(0, len(at), step):
             part = at[i : i + step]
             px = np.frombuffer(b"".join(rgba[part]), dtype=np.uint8).reshape(len(part), hh, ww, 4)
-            for k, frame in zip(part, resize_array(px, height, width, mode), strict=True):
+            for k, frame in zip(part, work(px), strict=True):
                 out[k] = frame.tobytes()
     return out
 
 
+def resized_buffers(rgba: pd.Series, w: pd.Series, h: pd.Series, width: int, height: int, mode: str) -> pd.Series:
+    """RGBA buffers of w x h pixels in another size; null stays null."""
+    return by_size(rgba, w, h, lambda px: resize_array(px, height, width, mode), width * height)
+
+
 def resize(frames: DataFrame, width: int, height: int, mode: str = "bilinear") -> DataFrame:
     """frames with another size; durations and all other columns stay."""
     checked(width, height, mode)

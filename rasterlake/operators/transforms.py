@@ -102,6 +102,23 @@ def wavelet97(pixels: DataFrame, value: str, out: str = "coefficient", along: st
     return lifted.withColumn(out, F.col("__v") * gain).drop("__v", "__n")
 
 
+def inverse_wavelet97(coefficients: DataFrame, value: str, out: str, along: str = "x") -> DataFrame:
+    """The samples that wavelet97 made `value` of, but for rounding in single precision: its steps backwards."""
+    row = lifting_row(along)
+    odd = F.col(along) % 2 == 1
+    single = lambda v: F.lit(v).cast("float")
+    n = F.count(F.lit(1)).over(row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lifted = coefficients.withColumn("__n", n)
+    gain = F.when(F.col("__n") == 1, single(1.0)).when(odd, single(HIGH97)).otherwise(single(LOW97))
+    lifted = lifted.withColumn("__v", (F.col(value).cast("float") / gain).cast("float"))
+    for k, step in reversed([*enumerate(STEPS97)]):
+        before, after = F.lag("__v").over(row), F.lead("__v").over(row)
+        both = F.coalesce(before, after) + F.coalesce(after, before)
+        moved = odd if k % 2 == 0 else ~odd
+        lifted = lifted.withColumn("__v", F.when(moved & (F.col("__n") > 1), F.col("__v") - single(step) * both).otherwise(F.col("__v")))
+    return lifted.withColumn(out, F.col("__v")).drop("__v", "__n")
+
+
 def decompose53(pixels: DataFrame, value: str, levels: int) -> DataFrame:
     """Several levels of the 5/3 wavelet in two dimensions, columns before rows: image_id, frame_idx, level, band ('LL', 'HL',
     'LH', 'HH'; 'LL' only of the last level), y, x, v. Each level works on a quarter of the one before."""

@@ -331,3 +331,5 @@ SQL["tiff_luma"] = f"SELECT image_id, x, trunc(r0)::INT AS r, trunc(g0)::INT AS
 SQL |= containers.SQL | coding.sql(EMB) | jpeg2000.sql(EMB, LINE)
 SQL["tiff_pixels"] = f"""WITH {RGBA} SELECT image_id, 0 AS directory, y, x, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE r END::INT AS r, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE g END::INT AS g,
   CASE image_id % 7 WHEN 4 THEN 255 - r ELSE b END::INT AS b, CASE image_id % 7 WHEN 4 THEN 255 ELSE a END::INT AS a FROM px WHERE image_id % 7 <> 5"""
+SQL |= {f"filter_frames_{k}": SQL[f"filter_{k}"] for k in ("up", "average", "paeth")} | {f"filter_{k}_frames_round_trip": SQL["filter_up_round_trip"] for k in ("sub", "average", "paeth")}
+SQL["wavelet97_round_trip"] = f"WITH {RGBA} SELECT image_id, y, x, g::INT AS g FROM px"

@@ -244,6 +244,16 @@ def upsampled(fancy: bool):
     return over_pixels(run)
 
 
+def filter_frames(kind: str, back: bool = False):
+    """A filter over whole frames, or it and its inverse."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        there = prediction.filtered_frames(emb_rgba(spark, sf_dir), kind)
+        return frames.pixels_of(prediction.unfiltered_frames(there, kind) if back else there).drop("frame_idx")
+
+    return run
+
+
 def qoi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of full bytes, of few colours, and of colours at both ends of a byte, by the image's number; opaque black first and
     at two other places."""
@@ -410,7 +420,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder that the driver and the executors share; a local one only where none is set and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base or tempfile.mkdtemp(prefix='rasterlake-')}/files-{uuid.uuid4().hex}"
 
@@ -510,6 +520,9 @@ QUERIES = {
     "add_green": over_lines(lambda r, g, b, a: [c.cast("int").alias(n) for n, c in zip("rgb", color.add_green(r, g, b), strict=True)]),
     "color_transform": over_lines(lambda r, g, b, a: color.add_color_transform(r, g, b, F.lit(200), F.lit(17), F.lit(130))),
     **{f"filter_{k}": over_pixels(lambda px, k=k: prediction.filtered(px, k).drop("frame_idx")) for k in ("up", "average", "paeth")},
+    **{f"filter_frames_{k}": filter_frames(k) for k in ("up", "average", "paeth")},
+    **{f"filter_{k}_frames_round_trip": filter_frames(k, True) for k in ("sub", "average", "paeth")},
+    "wavelet97_round_trip": over_pixels(lambda px: transforms.inverse_wavelet97(transforms.wavelet97(px, "g"), "coefficient", "back").select("image_id", "y", "x", F.floor(F.col("back") + 0.5).cast("int").alias("g"))),
     "filter_up_round_trip": over_pixels(lambda px: prediction.unfiltered_up(prediction.filtered(px, "up")).drop("frame_idx")),
     "rle_packets": lambda s, d: prediction.packets(order_pixels(s, d).withColumns({c: F.lit(0) for c in "rgb"})).select("image_id", "x", "n", "raw"),
     "qoi_operations": qoi_operations,

@@ -90,24 +90,35 @@ class ImageFileWriter(DataSourceWriter):
             out.append((staged, name))
         return Written(out)
 
-    def commit(self, messages: list[Written | None]) -> None:
+    def clear(self) -> None:
+        """Removes what is in the folder if it is to be overwritten."""
+        from pyarrow import fs
+
+        system, folder = self.place()
+        for old in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if self.overwrite else []:
+            if old.base_name != self.staging:
+                (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
+
+    def move(self, files: list[tuple[str, str]]) -> None:
+        """Staged files to their names; what is gone has been moved by another task of the same work."""
+        from pyarrow import fs
+
         system, folder = self.place()
+        for parent in {name.rsplit("/", 1)[0] for _, name in files if "/" in name} | {""}:
+            system.create_dir(f"{folder}/{parent}".rstrip("/"), recursive=True)
+        for staged, name in files:
+            if system.get_file_info(staged).type != fs.FileType.NotFound:
+                system.move(staged, f"{folder}/{name}")
+            elif system.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
+                raise FileNotFoundError(f"neither staged nor in place: {name}")
+
+    def commit(self, messages: list[Written | None]) -> None:
         files = [f for m in messages if m for f in m.files]
         if len({name for _, name in files}) < len(files):
             self.abort(messages)
             raise ValueError("several rows have the same name")
-        if self.overwrite:
-            from pyarrow import fs
-
-            known = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-            for old in known:
-                if old.base_name != self.staging:
-                    (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
-        system.create_dir(folder, recursive=True)
-        for parent in {name.rsplit("/", 1)[0] for _, name in files if "/" in name}:
-            system.create_dir(f"{folder}/{parent}", recursive=True)
-        for staged, name in files:
-            system.move(staged, f"{folder}/{name}")
+        self.clear()
+        self.move(files)
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -119,7 +130,8 @@ class ImageFileWriter(DataSourceWriter):
 
 
 class ImageFileSource(DataSource):
-    """df (name, content).write.format('image_files').mode('append').save(folder): a file for each row.
+    """df (name, content).write.format('image_files').mode('append').save(folder): a file for each row, which the driver moves into
+    place. write_files moves them by tasks.
 
     Names may hold folders, and must differ; mode 'overwrite' removes what is in the folder. The folder must be one that all
     executors share."""
@@ -136,5 +148,36 @@ class ImageFileSource(DataSource):
 
 
 def write_files(encoded: DataFrame, folder: str, mode: str = "append") -> None:
-    encoded.sparkSession.dataSource.register(ImageFileSource)
-    encoded.select("name", "content").write.format("image_files").mode(mode).save(folder)
+    """A file for each row (name, content) of encoded under folder, which all executors share; the driver moves none.
+
+    Tasks stage files under names of their own and tell them in a table, which only tasks that count reach; a second job moves
+    these files into place, and may move one twice. Names may hold folders; several rows of one name are an error, as is a
+    name that leaves the folder, and nothing is in place then. mode 'overwrite' removes what is in the folder before.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be append or overwrite")
+    spark, writer = encoded.sparkSession, ImageFileWriter({"path": folder}, mode == "overwrite")
+
+    def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            done = writer.write(rows.to_dict("records"))
+            yield pd.DataFrame(done.files, columns=["staged", "name"])
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            writer.move(list(rows.itertuples(index=False, name=None)))
+            yield rows[["name"]]
+
+    system, place = writer.place()
+    try:
+        system.create_dir(f"{place}/{writer.staging}", recursive=True)
+        told = f"{folder.rstrip('/')}/{writer.staging}/told"
+        told = told if "://" in told or told.startswith("file:") else f"file://{told}"
+        encoded.select("name", "content").mapInPandas(stage, "staged string, name string").write.parquet(told)
+        files = spark.read.schema("staged string, name string").parquet(told)
+        if files.groupBy("name").count().where("count > 1").limit(1).count():
+            raise ValueError("several rows have the same name")
+        writer.clear()
+        files.mapInPandas(move, "name string").write.format("noop").mode("overwrite").save()
+    finally:
+        writer.abort([])

@@ -209,3 +209,96 @@ def test_qoi_operations_at_both_ends_of_a_byte(spark):
     assert ops(black, other, black) == ["run", "rgb", "rgb"]  # a run does not enter its slot
     assert ops(other, black, other, other, black) == ["rgb", "rgb", "index", "run", "index"]
     assert ops((0, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 1)) == ["index", "diff", "rgba"]
+
+
+@pytest.mark.parametrize("kind", ["sub", "up", "average", "paeth"])
+def test_filters_of_frames(spark, kind):
+    px = [picture(h, w, seed=h) for h, w in ((1, 1), (1, 9), (9, 1), (5, 7), (6, 7), (40, 33))]
+    df = spark.createDataFrame([(i, 0, p.shape[1], p.shape[0], 0, p.tobytes()) for i, p in enumerate(px)] + [(9, 0, 1, 1, 0, None)], "image_id long, frame_idx int, width int, height int, duration_us long, rgba binary")
+    there = prediction.filtered_frames(df, kind)
+    back = {r.image_id: r.rgba for r in prediction.unfiltered_frames(there, kind).collect()}
+    assert back == {**{i: p.tobytes() for i, p in enumerate(px)}, 9: None}
+    one = frames.pixels_of(df.where("image_id < 9"))
+    rows = prediction.predicted(one) if kind == "sub" else prediction.filtered(one, kind)
+    key = ["image_id", "y", "x", "r", "g", "b", "a"]
+    assert sorted(map(tuple, rows.select(*key).collect())) == sorted(map(tuple, frames.pixels_of(there.where("image_id < 9")).select(*key).collect()))
+
+
+def test_irreversible_wavelet_back(spark):
+    rows = [(1, 0, y, x, (x * 37 + y * 11) % 256) for y in range(4) for x in range(1 + y * 3)]
+    df = spark.createDataFrame(rows, "image_id int, frame_idx int, y int, x int, v int")
+    for along in "xy":
+        out = transforms.inverse_wavelet97(transforms.wavelet97(df, "v", along=along), "coefficient", "back", along)
+        assert all(abs(r.v - r.back) < 1e-3 for r in out.collect())
+
+
+def test_rows_of_a_width(spark):
+    from rasterlake.functions import samples
+
+    df = spark.createDataFrame([(1, 0, 0, 0, 1, 20), (1, 0, 0, 9, 1, 20), (1, 0, 0, 25, 1, 20), (1, 0, 1, 3, 1, 8), (1, 0, 2, 0, 0, 1)], "image_id int, frame_idx int, y int, x int, v int, w int")
+    assert {r.y: r.content.hex() for r in samples.packed_rows(df, 1, F.col("w")).collect()} == {0: "804000", 1: "10", 2: "00"}
+    assert {r.y: r.content.hex() for r in samples.packed_rows(df, 1).collect()} == {0: "80400040", 1: "10", 2: "00"}
+
+
+def test_frames_of_few_pixels(spark):
+    rows = [(1, 0, 1, 2, 1, 2, 3, 4), (1, 0, 1, 2, 1, 2, 3, 3), (1, 0, 5, 0, 9, 9, 9, 9), (1, 0, -1, 0, 9, 9, 9, 9), (1, 0, 0, 3, 9, 9, 9, 9), (2, 1, 0, 0, 7, 7, 7, 7), (3, 0, 9, 9, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "image_id int, frame_idx int, y int, x int, r int, g int, b int, a int")
+    got = {r.image_id: (r.width, r.height, r.rgba.hex()) for r in frames.frames_from_pixels(df, F.lit(3), F.lit(2)).collect()}
+    assert got == {1: (3, 2, "00" * 20 + "01020304"), 2: (3, 2, "07070707" + "00" * 20), 3: (3, 2, "00" * 24)}
+
+
+def test_durations_over_pages(spark):
+    rng = np.random.default_rng(0)
+    rows, want = [], {}
+    for i in (1, 2, None):
+        idx = np.sort(rng.choice(200, 60, replace=False)).tolist()
+        at = np.cumsum(rng.integers(0, 50_000, 60)).tolist()
+        rows += [(i, k, t) for k, t in zip(idx, at, strict=True)]
+        want |= {(i, k): (b - a) // 10_000 * 10_000 for k, a, b in zip(idx, at, [*at[1:], at[-1]], strict=True)}
+    df = spark.createDataFrame(rows, "image_id int, frame_idx int, at_us long").repartition(3)
+    for page in (1, 7, 4096):
+        out = animation.durations(df, page)
+        assert out.columns == ["image_id", "frame_idx", "at_us", "duration_us"]
+        assert {(r.image_id, r.frame_idx): r.duration_us for r in out.collect()} == want
+
+
+def test_files_are_moved_by_tasks(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    df = spark.createDataFrame([("a/1.bin", b"one"), ("2.bin", b"two"), ("a/b/3.bin", b"")], "name string, content binary").repartition(3)
+    files.write_files(df, folder)
+    files.write_files(df.where("name = '2.bin'").withColumn("name", F.lit("4.bin")), folder)
+    found = {str(p.relative_to(folder)): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"a/1.bin": b"one", "2.bin": b"two", "a/b/3.bin": b"", "4.bin": b"two"}
+    for bad in (df.union(df), df.withColumn("name", F.lit("../x"))):
+        with pytest.raises(Exception, match="same name|within the folder"):
+            files.write_files(bad, folder)
+    files.write_files(df.limit(0), folder, "overwrite")
+    assert not any(p.is_file() for p in (tmp_path / "out").rglob("*")) and [p.name for p in (tmp_path / "out").iterdir()] == []
+
+
+def test_late_files_are_left_out(spark, tmp_path):
+    import os
+
+    folder, out = tmp_path / "in", tmp_path / "counts"
+    folder.mkdir()
+
+    def arrive(name, minute, size):
+        (folder / name).write_bytes(b"\x89PNG\r\n\x1a\n" + bytes(size))
+        os.utime(folder / name, (1_700_000_000 + 60 * minute,) * 2)
+
+    def run():
+        seen = stream.arrivals(stream.stream_files(spark, str(folder), "content"), "10 minutes", "30 minutes").select("window.start", "format", "n_files", "n_bytes")
+        query = seen.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        schema = "start timestamp, format string, n_files long, n_bytes long"
+        return sorted((r.n_files, r.n_bytes) for r in spark.read.schema(schema).parquet(str(out)).collect())
+
+    arrive("a.png", 0, 2)
+    arrive("b.png", 1, 2)
+    run()
+    arrive("c.png", 100, 5)  # closes the first window
+    assert run() == [(2, 20)]
+    arrive("late.png", 2, 50)  # of a window that is closed
+    arrive("d.png", 101, 5)
+    arrive("e.png", 300, 1)
+    assert run() == [(2, 20), (2, 26)]

@@ -7,7 +7,9 @@ independent of each other, so this is one pass over their rows.
 
 from __future__ import annotations
 
+import bisect
 import html
+import math
 import re
 import unicodedata
 
@@ -46,6 +48,8 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: The standard's limits of how many columns and rows a cell may span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: How many times its text, and how many characters, a table may take before it is laid out without columns.
+LOOSE, LEAST_LOOSE = 64, 1 << 20
 #: Columns that lists and quotes are indented by, at most; what is nested deeper stands there too.
 MOST_INDENT = 80
 DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.IGNORECASE)
@@ -375,11 +379,34 @@ def number(cell: Node, name: str, most: int) -> int:
     return min(int(text[:9]), most) if text.isdecimal() and text.isascii() else 1
 
 
+def without(spans: list[tuple[int, int, float]], start: int, stop: int) -> list[tuple[int, int, float]]:
+    """Spans of columns (start, stop, the row that is free again), without those from start to stop."""
+    out = []
+    for a, b, free in spans:
+        out += [(x, y, free) for x, y in ((a, min(b, start)), (max(a, stop), b)) if x < y]
+    return out
+
+
+def merged(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """In order, neighbours that are free again together as one."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, free in sorted(spans):
+        if out and out[-1][1] == a and out[-1][2] == free:
+            out[-1] = (out[-1][0], b, free)
+        else:
+            out.append((a, b, free))
+    return out
+
+
 def table_lines(node: Node, sheet: Sheet, seen: bool):
     """A table's caption, then its rows with cells aligned in columns. A cell may have several lines, span columns, and span
-    rows to the end of its group; a place that it spans is left empty."""
+    rows to the end of its group; a place that it spans is left empty, and a column in which no cell begins takes no place.
+
+    What is spanned is kept as intervals of columns. Where blanks would make a table over LOOSE times as long as its text
+    with one mark a cell, and over LEAST_LOOSE characters, its cells stand one after the other instead, empty ones left out."""
     caption, grid, todo = [], [], [(node, seen, 0)]
-    busy, group = {}, 0  # rows that the cells above still fill, by column
+    busy: list[tuple[int, int, float]] = []  # columns that the cells above still fill
+    own_group, group, wide = 0, 0, {}
     while todo:
         n, seen, inside = todo.pop()
         if n.tag == "caption":
@@ -399,26 +426,36 @@ def table_lines(node: Node, sheet: Sheet, seen: bool):
                 cells.append((cell, lines or [""]))
         if n.tag != "tr" and not cells:
             continue
-        if any(g != inside for g, _ in busy.values()):
-            busy = {}
-        line, at, after = {}, 0, {c: (g, k - 1) for c, (g, k) in busy.items() if k > 1}
+        row = len(grid)
+        busy = [x for x in busy if x[2] > row] if own_group == inside else []
+        own_group = inside
+        line, at, after, k = {}, 0, busy, 0
         for cell, lines in cells:
-            while at in busy:
-                at += 1
-            line[at] = lines
-            rows = number(cell, "rowspan", MOST_ROWS)
-            for c in range(at, at := at + max(1, number(cell, "colspan", MOST_COLUMNS))):
-                line.setdefault(c, [""])
-                if rows != 1:
-                    after[c] = (inside, rows - 1 if rows else MOST_ROWS)
-        busy = after
-        grid.append([line.get(c, [""]) for c in range(max(line, default=-1) + 1)])
-    wide = [max(width(x) for line in grid if c < len(line) for x in line[c]) for c in range(max(map(len, grid), default=0))]
+            while k < len(busy) and busy[k][0] <= at:
+                at, k = max(at, busy[k][1]), k + 1
+            wide[at] = max(wide.get(at, 0), *map(width, lines))
+            if any(lines):
+                line[at] = lines
+            rows, stop = number(cell, "rowspan", MOST_ROWS), at + max(1, number(cell, "colspan", MOST_COLUMNS))
+            if rows != 1:
+                after = [*without(after, at, stop), (at, stop, row + rows if rows else math.inf)]
+            at = stop
+        if after is not busy:
+            busy = merged(after)
+        grid.append((line, at if cells else 0))
+    columns = sorted(wide)
+    ends = [0]
+    for c in columns:
+        ends.append(ends[-1] + wide[c] + 3)
+    shown = [(line, bisect.bisect_left(columns, end), max(map(len, line.values()), default=min(end, 1))) for line, end in grid]
+    text = sum(len(x) + 3 for line, _, _ in shown for lines in line.values() for x in lines) + len(grid)
+    loose = sum(ends[n] * high for _, n, high in shown) > max(LEAST_LOOSE, LOOSE * text)
     out = caption
-    for line in grid:
-        for k in range(max((len(c) for c in line), default=0)):
-            cells = [c[k] if k < len(c) else "" for c in line]
-            out.append(" | ".join(x + " " * (wide[i] - width(x)) for i, x in enumerate(cells)).rstrip())
+    for line, n, high in shown:
+        places = sorted(line) if loose else columns[:n]
+        for k in range(high):
+            cells = [lines[k] if k < len(lines := line.get(c, [""])) else "" for c in places]
+            out.append(" | ".join(x for x in cells if x) if loose else " | ".join(x + " " * (wide[c] - width(x)) for c, x in zip(places, cells, strict=True)).rstrip())
     return out
 
 

@@ -35,6 +35,8 @@ MOST, MEAN, SMOOTH = 2, 8, 20
 #: Characters of texts that are taken apart together, and words whose features are computed together.
 SLICE, CHUNK = 1 << 20, 8_192
 START = 1
+#: Subsequences that the landmarks' letters may make, of which a table is made; beyond that they are searched.
+DENSE = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -129,8 +131,10 @@ class Landmarks:
         self.keys, at = np.unique(key, return_inverse=True)
         self.weight = np.zeros((len(self.keys) + 1, len(marks)), dtype=np.float32)
         np.add.at(self.weight, (at, place), weight)
-        self.table = np.full((len(self.letters) + 1) ** 3, len(self.keys), dtype=np.int32)
-        self.table[self.keys] = np.arange(len(self.keys))
+        self.table = None
+        if (len(self.letters) + 1) ** 3 <= DENSE:
+            self.table = np.full((len(self.letters) + 1) ** 3, len(self.keys), dtype=np.int32)
+            self.table[self.keys] = np.arange(len(self.keys))
         norm = np.sqrt(np.where(self.own > 0, self.own, 1))
         self.gram = self.sums(codes) / norm[:, None] / norm[None, :]
 
@@ -162,10 +166,17 @@ class Landmarks:
             weights.append(np.full(len(row), DECAY ** (a + b + 1), dtype=np.float32))
         return tuple(np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((rows, np.int64), (keys, np.int64), (weights, np.float32)))
 
+    def placed(self, key: np.ndarray) -> np.ndarray:
+        """Where the keys stand among the landmarks', or their number: by a table, or by search where that would be large."""
+        if self.table is not None:
+            return self.table[key]
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == key, at, len(self.keys)) if len(self.keys) else at
+
     def sums(self, codes: np.ndarray) -> np.ndarray:
         """(word, landmark): kernels."""
         row, key, weight = self.triples(codes)
-        found = self.table[key]
+        found = self.placed(key)
         hit = np.flatnonzero(found < len(self.keys))
         hit = hit[np.argsort(row[hit], kind="stable")]
         row = row[hit]

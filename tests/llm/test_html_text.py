@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from rasterlake.llm.html_text import extract_text, op3_layout_html, visible_text
+from rasterlake.llm.html_text import extract_text, merged, op3_layout_html, visible_text, without
 
 CASES = [
     (None, None),
@@ -140,3 +140,31 @@ def test_query_keeps_every_visible_word(spark, sf_dir):
         w = Words()
         w.feed(pages[r.page_id])
         assert re.sub(r"(?m)^ *- ", "", r.text).split() == w.words
+
+
+def test_many_spans():
+    import time
+    import tracemalloc
+
+    spanned = "<table><tr><td colspan=1000 rowspan=0>top<td rowspan=0>x" + "<tr><td>y" * 65_534 + "</table>"
+    tracemalloc.start()
+    began = time.perf_counter()
+    text = visible_text(spanned)
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 600e6  # both are far less without tracing
+    tracemalloc.stop()
+    lines = text.split("\n")
+    assert len(lines) == 65_535 and lines[0] == "top | x" and set(lines[1:]) == {"    |   | y"}
+    stairs = "".join(f"<tr><td rowspan=0>c{k}" for k in range(3000))
+    assert visible_text(f"<table>{stairs}</table>").split("\n") == [f"c{k}" for k in range(3000)]
+
+
+def test_columns_without_text():
+    page = "<table><tr><td>a<td><td>b<tr><td colspan=3>c<td>d<tr><td><td rowspan=2><td>e<td>f<tr><td>g<td>h</table>"
+    assert visible_text(page) == "a |  | b\nc |  |   | d\n  |  | e | f\ng |  | h"
+    assert visible_text("<table><tr><td colspan=3>a<td>b<tr><td colspan=3>c<td>d</table>") == "a | b\nc | d"
+
+
+def test_spans_of_spans():
+    spans = merged(without([(0, 5, 3.0), (7, 9, 4.0)], 2, 8) + [(2, 8, 9.0)])
+    assert spans == [(0, 2, 3.0), (2, 8, 9.0), (8, 9, 4.0)]
+    assert merged([(4, 5, 2.0), (0, 4, 2.0), (6, 7, 2.0)]) == [(0, 5, 2.0), (6, 7, 2.0)]

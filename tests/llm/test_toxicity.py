@@ -137,3 +137,21 @@ def test_held_out_texts(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert out.count() == docs.count() and out.where("held_out").count() == docs.where(fold(5) == 0).count()
     assert all(r.predicted == (r.score >= 0.5) for r in out.collect())
+
+
+def test_landmarks_of_many_letters(monkeypatch):
+    import tracemalloc
+
+    marks = ["".join(chr(0x4E00 + 12 * k + i) for i in range(12)) for k in range(64)]
+    tracemalloc.start()
+    wide = toxicity.Landmarks(marks)
+    codes, own = toxicity.Landmarks.codes(marks)
+    k = wide.kernels(codes)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    assert np.allclose(np.diag(k), 1) and wide.table is None
+    few = toxicity.Landmarks(["grible", "snurf", "plonker"])
+    words, _ = toxicity.Landmarks.codes(["gribbble", "snorf", "xyz", "^plonk"])
+    by_table = few.kernels(words)
+    monkeypatch.setattr(toxicity, "DENSE", 0)
+    assert np.array_equal(toxicity.Landmarks(["grible", "snurf", "plonker"]).kernels(words), by_table)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: A key held by more than one in HOT of all rows is hot; so there are at most HOT hot keys, however large the table is.
 HOT = 10_000
+#: Bits a hash in a sieve, while it has fewer than MOST_BITS (16 MB); bits of one of bitmap_construct_agg's bitmaps.
+BITS_A_KEY, MOST_BITS, BITMAP = 16, 1 << 27, 32768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +34,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_scopes: list[list[str]] = []
+class Scopes(threading.local):
+    """The blocks of scratch() that the thread is in, with what each is to delete."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = Scopes()
 
 
 def stored(df: DataFrame, name: str, kept: int = 0) -> DataFrame:
@@ -42,19 +52,19 @@ def stored(df: DataFrame, name: str, kept: int = 0) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if len(_scopes) > kept:
-        _scopes[-1 - kept].append(path)
+    if len(_scopes.open) > kept:
+        _scopes.open[-1 - kept].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes what is stored within the block, at its end, but for what is stored to outlive it."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -110,14 +120,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     return at_once.unionByName(marked.where("_g is null").drop("_g").join(groups.where(~hot), keys, how).select(*rows.columns, *others))
 
 
-def slot(c: str | Column) -> Column:
-    """One of a million places of a hash: a set of them is small enough to broadcast, however many hashes there are."""
-    return F.pmod(F.col(c) if isinstance(c, str) else c, F.lit(1 << 20))
-
-
-def slots_of(hashes: DataFrame, name: str) -> DataFrame:
-    """The slots that the hashes in a column take, for a broadcast semi-join or anti-join on `_slot`."""
-    return F.broadcast(hashes.select(slot(name).alias("_slot")).distinct())
+def sieve(hashes: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(bitmaps of the hashes in a column, to be broadcast; bits of all of them together): BITS_A_KEY for each hash, up to
+    MOST_BITS. hashes is read twice, so it should be a stored table."""
+    bits = BITMAP
+    while bits < min(MOST_BITS, BITS_A_KEY * hashes.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(name), F.lit(bits))
+    maps = hashes.groupBy(F.floor(place / BITMAP).alias("_map")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP))).alias("_bits"))
+    return F.broadcast(maps), bits
+
+
+def marked(rows: DataFrame, name: str, maps: DataFrame, bits: int) -> DataFrame:
+    """rows with `_may`: false only if the hash in a column is none of the sieve's. Bits that other hashes have set let some
+    through for nothing, few until a sieve has MOST_BITS."""
+    rows = rows.withColumn("_place", F.pmod(F.xxhash64(name), F.lit(bits))).withColumn("_map", F.floor(F.col("_place") / BITMAP))
+    byte = F.conv(F.hex(F.substring("_bits", F.pmod("_place", F.lit(BITMAP)).cast("int").bitwiseAND(F.lit(BITMAP - 8)) / 8 + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int"))
+    return rows.join(maps, "_map", "left").withColumn("_may", F.coalesce(bit == 1, F.lit(False))).drop("_place", "_map", "_bits")
 
 
 def let(value: Column, body) -> Column:

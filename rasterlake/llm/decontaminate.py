@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterlake.llm.common import Carried, bounded_batches, join_groups, slot, slots_of, stored, table
+from rasterlake.llm.common import Carried, bounded_batches, join_groups, marked, sieve, stored, table
 
 WORDS, SHARE, RUN = 5, 0.8, 13
 #: Benchmark windows up to which they are broadcast; more are joined by shuffle.
@@ -240,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run:
     held = full.select("_h", "_ih", "_enough", F.explode("_keys").alias("_key")).join(hits, ["_h", "_key"]).groupBy("_h", "_ih", "_enough").count()
     likely = stored(held.where("count >= _enough").select("_h", "_ih"), "likely")
 
-    some = rows.join(slots_of(likely, "_h"), slot("_h") == F.col("_slot"), "left_semi")
+    some = marked(rows, "_h", *sieve(likely.select("_h").distinct(), "_h")).where("_may").drop("_may")
     pairs = some.join(likely, "_h").dropDuplicates(["_h", "_ih"])
     known = item.select("_ih", "_item", "_item_text", "n_items").join(likely.groupBy("_ih").agg(F.count(F.lit(1)).alias("_n")), "_ih")
     pairs = join_groups(pairs, known, ["_ih"], likely.count())
@@ -253,9 +253,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     leaks = stored(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("_h").distinct().withColumnRenamed("_h", "leak"), "leaks")
     own = Carried(docs, id=id_col, text=text_col)
     rows = own.df.select("row", F.xxhash64("id", "text").alias("h"))
-    slots = slots_of(leaks, "leak")
-    sure = rows.join(slots, slot("h") == F.col("_slot"), "left_anti")
-    judged = rows.join(slots, slot("h") == F.col("_slot"), "left_semi").join(leaks, F.col("h") == F.col("leak"), "left_anti")
+    rows = marked(rows, "h", *sieve(leaks.withColumnRenamed("leak", "h"), "h"))
+    sure = rows.where("not _may")
+    judged = rows.where("_may").join(leaks, F.col("h") == F.col("leak"), "left_anti")
     return sure.unionByName(judged).select(*own.columns())
 
 

@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import ASCII_SPACE, Carried, join_groups, stored, table
+from rasterlake.llm.common import ASCII_SPACE, Carried, join_groups, marked, sieve, stored, table
 
-#: Characters of the prefix; bits a key in a bitmap, while it has fewer than MOST_BITS (16 MB).
-PREFIX, BITS_A_KEY, MOST_BITS = 64, 16, 1 << 27
-#: Bits of one of bitmap_construct_agg's bitmaps.
-BITMAP = 32768
+#: Characters of the prefix.
+PREFIX = 64
 
 
 def squeezed(text: Column) -> Column:
@@ -24,32 +22,18 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")
 
 
-def shared(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, int]:
-    """(bitmaps of the keys that more than one of the rows has, bits of all bitmaps together)."""
-    held = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.xxhash64(*keys).alias("_key")), name)
-    bits = BITMAP
-    while bits < min(MOST_BITS, BITS_A_KEY * held.count()):
-        bits *= 2
-    place = F.pmod("_key", F.lit(bits))
-    maps = held.groupBy(F.floor(place / BITMAP).alias("_map")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP))).alias("_bits"))
-    return F.broadcast(maps), bits
-
-
-def marked(rows: DataFrame, keys: list[str], maps: DataFrame, bits: int) -> DataFrame:
-    """rows with `_may`: false only if no bitmap has the row's keys."""
-    rows = rows.withColumn("_place", F.pmod(F.xxhash64(*keys), F.lit(bits))).withColumn("_map", F.floor(F.col("_place") / BITMAP))
-    byte = F.conv(F.hex(F.substring("_bits", F.pmod("_place", F.lit(BITMAP)).cast("int").bitwiseAND(F.lit(BITMAP - 8)) / 8 + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int"))
-    return rows.join(maps, "_map", "left").withColumn("_may", F.coalesce(bit == 1, F.lit(False))).drop("_place", "_map", "_bits")
+def shared(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """The sieve of the hashes in a column that more than one of the rows has."""
+    return sieve(stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key), name), key)
 
 
 def refined(own: DataFrame) -> DataFrame:
     """own (which has `_text`) with `_squeezed` and `_may`: whether its length and prefix may be another row's, too."""
     own = own.withColumn("_squeezed", squeezed(F.col("_text")))
-    own = own.withColumns({"_size": F.length("_squeezed"), "_head": F.xxhash64(F.substring("_squeezed", 1, PREFIX))})
+    own = own.withColumn("_size", F.length("_squeezed")).withColumn("_head", F.xxhash64("_size", F.substring("_squeezed", 1, PREFIX)))
     sizes = stored(own.select("_size", "_head"), "sizes")
-    some = marked(sizes, ["_size"], *shared(sizes, ["_size"], "lengths")).where("_may")
-    return marked(own, ["_size", "_head"], *shared(some, ["_size", "_head"], "prefixes")).drop("_size", "_head")
+    some = marked(sizes, "_size", *shared(sizes, "_size", "lengths")).where("_may").drop("_may")
+    return marked(own, "_head", *shared(some, "_head", "prefixes")).drop("_size", "_head")
 
 
 def full_hash() -> Column:

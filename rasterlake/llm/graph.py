@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from rasterlake.llm.common import join_groups, stored
 
 
-def bucket_blocks(members: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
+def bucket_blocks(members: DataFrame, keys: list[str], item: str, size: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """Rows (*keys, p, q, left, right): every two items of a bucket meet in just one row, as members of left and right,
     which are its blocks p and q.
 
     right is null where left is compared with itself. A bucket of up to `size` items is one row; a larger one is
     dealt by hash into blocks of about `size`, and each two blocks make a row. Items of a hot bucket are dealt where
     they are, before any shuffle (see join_groups), so no task gets a whole large bucket.
-    members must not repeat an item within a bucket; it is read twice. Buckets of one item are left out.
+    members must not repeat an item within a bucket; it is read twice. Buckets of one item are left out. If items differ in
+    weight, a column of that name tells it, and blocks are of about `most` at most.
     """
-    counts = stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
+    heavy = F.sum(weight) if weight else F.lit(None).cast("long")
+    counts = stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), heavy.alias("_w")).where("_n > 1"), "buckets")
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    sizes = counts.withColumn("_parts", F.ceil(F.col("_n") / F.lit(size)).cast("int"))
+    parts = F.greatest(F.ceil(F.col("_n") / F.lit(size)), F.coalesce(F.least(F.ceil(F.col("_w") / F.lit(max(most, 1))), F.col("_n")), F.lit(1)))
+    sizes = counts.withColumn("_parts", parts.cast("int")).drop("_w")
     dealt = join_groups(members, sizes, keys, total).withColumn("_part", F.pmod(F.xxhash64(F.col(item), F.lit(7)), F.col("_parts")).cast("int"))
     block = dealt.groupBy(*keys, "_part").agg(F.collect_list(item).alias("left"), F.first("_parts").alias("_parts"))
     kind = block.schema["left"].dataType

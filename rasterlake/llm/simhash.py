@@ -8,6 +8,7 @@ the longer chains, and then checked over all 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import Carried, bounded_batches, join_groups, slot, slots_of, stored, table
+from rasterlake.llm.common import Carried, bounded_batches, join_groups, marked, sieve, stored, table
 from rasterlake.llm.graph import bucket_blocks, components, flat, forest
 
 BLOCK = 512
 #: Bits of a segment from which it is a key of its own.
 SELECTIVE = 16
-#: For links by Jaccard similarity: keys, bits of each, and how many of 128 other bits may differ.
-KEYS, KEY_BITS, CHECK_BITS = 29, 13, 28
+#: For links by Jaccard similarity: the least bits of a key, documents that should share one by chance, the share of the bits that
+#: differ and the share of pairs to be found at a similarity of 0.8, and how many of 128 other bits may differ.
+LEAST_BITS, BY_CHANCE, FLIPPED, FOUND, CHECK_BITS = 13, 32, 0.15, 0.976, 28
+#: Bytes of the sets in a block, at most about.
+BLOCK_BYTES = 16 << 20
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -181,30 +185,40 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2, words: int = 3, id_col: s
     return join_groups(fps, known, ["fp"], fps.count()).select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def wide_print(h: np.ndarray) -> np.ndarray:
-    """512 bits of SimHash of a set of hashes, each of which is mixed anew for each 64 bits."""
-    z = h[:, None] + np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def key_plan(docs: int) -> tuple[int, int]:
+    """(keys, bits of each) for so many documents: keys long enough that about BY_CHANCE unlike documents share one, and as many
+    as find FOUND of the pairs whose bits differ in FLIPPED of all places. Keys and their comparisons grow as the 0.23th
+    power of the documents."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, docs / BY_CHANCE))))
+    return math.ceil(math.log(1 - FOUND) / math.log1p(-((1 - FLIPPED) ** bits))), bits
+
+
+def wide_print(h: np.ndarray, words: int = 8) -> np.ndarray:
+    """64 * words bits of SimHash of a set of hashes, each of which is mixed anew for each 64 bits."""
+    z = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
-    ones = np.zeros(512, dtype=np.int64)
+    ones = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(z), 255):  # as many as a byte counts
         ones += np.add.reduce(np.unpackbits(z[at : at + 255].view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return ones * 2 > len(h)
 
 
-def shingle_sets(words: int):
-    """text -> node (a hash of its set of shingles), 128 bits of its wide print, and the keys that the rest of it gives."""
+def shingle_sets(words: int, n: int, width: int):
+    """text -> node (a hash of its set of shingles), 128 bits of its wide print, and the n keys that the rest of it gives."""
+    small = n << width < 1 << 31
+    kind, wide = (np.int32, "int") if small else (np.int64, "bigint")
 
-    @F.pandas_udf("node long, c0 long, c1 long, keys array<int>")
+    @F.pandas_udf(f"node long, c0 long, c1 long, keys array<{wide}>")
     def run(texts: pd.Series) -> pd.DataFrame:
         nodes, checks, keys = [], [], []
         for t in texts:
             h = np.unique(shingle_hashes(t, words))
-            bits = wide_print(h)
+            bits = wide_print(h, -(-(128 + n * width) // 64))
             nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
             checks.append(np.packbits(bits[:128]).view("<i8"))
-            keys.append((bits[128 : 128 + KEYS * KEY_BITS].reshape(KEYS, KEY_BITS) @ (1 << np.arange(KEY_BITS)) + (np.arange(KEYS) << KEY_BITS)).astype(np.int32))
+            keys.append((bits[128 : 128 + n * width].reshape(n, width) @ (1 << np.arange(width)) + (np.arange(n) << width)).astype(kind))
         c = np.array(checks, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "c0": c[:, 0], "c1": c[:, 1], "keys": keys})
 
@@ -278,9 +292,9 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     """docs without the rows that a row of smaller id in their group stands for.
 
     Groups are what links of a Jaccard similarity of at least `least` between the sets of `words`-word shingles join.
-    Every link is confirmed on the whole sets. Candidates are found by SimHash: documents with one of KEYS keys of KEY_BITS
-    bits in common that differ in at most CHECK_BITS of 128 other bits; then all pairs of a group of candidates are checked.
-    Of pairs at just 0.8 (15 % of the bits differ) about 96 % become candidates, above that more.
+    Every link is confirmed on the whole sets. Candidates are found by SimHash: documents with a key of key_plan in common
+    that differ in at most CHECK_BITS of 128 other bits; then all pairs of a group of candidates are checked, in blocks of
+    bounded bytes. Of pairs at just 0.8 (15 % of the bits differ) about 96 % become candidates, above that more.
 
     - rows with a null id stay, and stand for none; null, empty and blank texts are copies of each other.
     - texts under `words` words: one shingle. Repeated rows, and copies that share an id, stay once.
@@ -288,7 +302,7 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     """
     bounded_batches(docs.sparkSession)
     own = Carried(docs, id=id_col, text=text_col)
-    coded = own.df.withColumn("h", F.xxhash64("text")).withColumn("s", shingle_sets(words)("text"))
+    coded = own.df.withColumn("h", F.xxhash64("text")).withColumn("s", shingle_sets(words, *key_plan(docs.count()))("text"))
     # The rows' order and number hold from here on, as they are in the stored table.
     coded = stored(coded.select("row", "id", "h", "s.*"), "shingles")
     text = F.col(f"row.c{own.place(text_col)}")
@@ -299,11 +313,11 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     likely = stored(likely, "likely")
 
     hashes = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingle_hashes(t, words)).tobytes()), "binary")
-    some = coded.join(slots_of(likely, "node"), slot("node") == F.col("_slot"), "left_semi")
+    some = marked(coded, "node", *sieve(likely, "node")).where("_may")
     # One text of a node will do: all have the same set.
     one = some.select("node", hashes(text).alias("hashes")).dropDuplicates(["node"]).join(likely, "node")
-    checked = stored(one.select("component", F.struct("node", "hashes").alias("item")), "sets")
-    sure = components(bucket_blocks(checked, ["component"], "item", BLOCK // 4).select("left", "right").mapInArrow(exact_links(least), "a long, b long"))
+    checked = stored(one.select("component", F.struct("node", "hashes").alias("item"), F.length("hashes").alias("bytes")), "sets")
+    sure = components(bucket_blocks(checked, ["component"], "item", BLOCK // 4, "bytes", BLOCK_BYTES).select("left", "right").mapInArrow(exact_links(least), "a long, b long"))
 
     # Copies share a node: what follows joins a row for each node, and not the rows themselves, which may be mostly copies.
     stand = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("first")
@@ -312,9 +326,9 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     groups = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("ids").alias("ids"), F.count(F.lit(1)).alias("_n")).where("ids > 1")
     fate = join_groups(placed.select("node", "component", "rows"), groups, ["component"], nodes.count())
     fate = stored(fate.select("node", "first", F.col("rows").alias("_n")), "groups")
-    slots = slots_of(fate, "node")
-    alone = coded.join(slots, slot("node") == F.col("_slot"), "left_anti")
-    judged = join_groups(coded.join(slots, slot("node") == F.col("_slot"), "left_semi"), fate, ["node"], coded.count(), "left")
+    told = marked(coded, "node", *sieve(fate, "node"))
+    alone = told.where("not _may")
+    judged = join_groups(told.where("_may").drop("_may"), fate, ["node"], coded.count(), "left")
     free = judged.where(F.col("first").isNull() | F.col("id").isNull())
     firsts = judged.where((F.col("id") == F.col("first.id")) & (F.col("h").eqNullSafe(F.col("first.h")))).dropDuplicates(["id", "h"])
     return alone.select("row").unionByName(free.select("row")).unionByName(firsts.select("row")).select(*own.columns())

@@ -52,14 +52,14 @@ def test_names_that_differ_in_case(spark):
     assert [tuple(r) for r in exact_dedup.without_copies(df).collect()] == [(2, "a ", "c")]
 
 
-@pytest.mark.parametrize("bits", [exact_dedup.BITMAP, exact_dedup.MOST_BITS])
-def test_bitmaps_lose_no_row(spark, monkeypatch, bits):
-    monkeypatch.setattr(exact_dedup, "MOST_BITS", bits)
+@pytest.mark.parametrize("bits", [common.BITMAP, common.MOST_BITS])
+def test_sieves_lose_no_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     rows = spark.range(20_000).selectExpr("id div 2 as k").union(spark.range(50_000, 90_000).selectExpr("id as k"))
-    out = exact_dedup.marked(rows, ["k"], *exact_dedup.shared(rows, ["k"], "keys"))
+    out = common.marked(rows, "k", *exact_dedup.shared(rows, "k", "keys"))
     assert out.where("k < 10000 and not _may").count() == 0
     through = out.where("k >= 50000 and _may").count()
-    assert through < 6_000 if bits > exact_dedup.BITMAP else through > 0
+    assert through < 6_000 if bits > common.BITMAP else through > 0
 
 
 def test_query(spark, sf_dir, duck):

@@ -112,7 +112,20 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_groups_are_those_of_jaccard(spark):
+def test_key_plan():
+    assert simhash.key_plan(0) == simhash.key_plan(200_000) == (29, 13)
+    for docs in (10**6, 10**8, 10**10):
+        n, bits = simhash.key_plan(docs)
+        assert docs / 2**bits <= simhash.BY_CHANCE and (1 - 0.85**bits) ** n <= 1 - simhash.FOUND + 1e-9
+        assert n * docs / 2**bits <= 60 * docs**0.24
+    h = np.arange(1, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert np.array_equal(simhash.wide_print(h, 30)[:512], simhash.wide_print(h))
+
+
+@pytest.mark.parametrize("by_chance", [32, 1e-3])
+def test_groups_are_those_of_jaccard(spark, monkeypatch, by_chance):
+    monkeypatch.setattr(simhash, "BY_CHANCE", by_chance)  # the second one: as many keys as for millions of documents
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 16 << 20 if by_chance == 32 else 4_000)
     rnd, texts, likeness = random.Random(8), [], []
     for k in range(160):
         w = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(150, 400))]

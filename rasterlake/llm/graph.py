@@ -21,10 +21,12 @@ def bucket_blocks(members: DataFrame, keys: list[str], item: str, size: int, wei
     members must not repeat an item within a bucket; it is read twice. Buckets of one item are left out. If items differ in
     weight, a column of that name tells it, and blocks are of about `most` at most.
     """
-    heavy = F.sum(weight) if weight else F.lit(None).cast("long")
-    counts = stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), heavy.alias("_w")).where("_n > 1"), "buckets")
+    heavy = [F.sum(weight).alias("_w")] if weight else []
+    counts = stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *heavy).where("_n > 1"), "buckets")
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    parts = F.greatest(F.ceil(F.col("_n") / F.lit(size)), F.coalesce(F.least(F.ceil(F.col("_w") / F.lit(max(most, 1))), F.col("_n")), F.lit(1)))
+    parts = F.ceil(F.col("_n") / F.lit(size))
+    if weight:
+        parts = F.greatest(parts, F.least(F.ceil(F.col("_w") / F.lit(most)), F.col("_n")))
     sizes = counts.withColumn("_parts", parts.cast("int")).drop("_w")
     dealt = join_groups(members, sizes, keys, total).withColumn("_part", F.pmod(F.xxhash64(F.col(item), F.lit(7)), F.col("_parts")).cast("int"))
     block = dealt.groupBy(*keys, "_part").agg(F.collect_list(item).alias("left"), F.first("_parts").alias("_parts"))

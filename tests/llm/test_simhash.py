@@ -143,6 +143,23 @@ def test_groups_are_those_of_jaccard(spark, monkeypatch, by_chance):
     assert sum(0.8 <= x < 0.88 for x in likeness) > 20
 
 
+def test_blocks_by_number_and_weight(spark):
+    rows = [(k, i, 10 if i else 1000) for k in range(3) for i in range(40 * k + 2)]
+    df = spark.createDataFrame(rows, "k int, item int, w long")
+    plain = graph.bucket_blocks(df, ["k"], "item", 50).collect()
+    assert {k: max(r.p for r in plain if r.k == k) + 1 for k in range(3)} == {0: 1, 1: 1, 2: 2}
+    heavy = graph.bucket_blocks(df, ["k"], "item", 50, "w", 300).collect()
+    assert all(2 <= max(r.p for r in heavy if r.k == k) + 1 <= 7 for k in (1, 2))
+    for out in (plain, heavy):
+        met = {}
+        for r in out:
+            for a in r.left:
+                for b in r.left if r.right is None else r.right:
+                    met[r.k, min(a, b), max(a, b)] = met.get((r.k, min(a, b), max(a, b)), 0) + (a != b or r.right is not None)
+        pairs = {key: n for key, n in met.items() if key[1] != key[2]}
+        assert set(pairs) == {(k, a, b) for k in range(3) for b in range(40 * k + 2) for a in range(b)} and set(pairs.values()) <= {1, 2}
+
+
 @pytest.mark.parametrize("hot", [10_000, 3])
 def test_components(spark, monkeypatch, hot):
     monkeypatch.setattr("rasterlake.llm.common.HOT", hot)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rasterlake.functions.samples import CHROMINANCE, LUMINANCE
-from rasterlake.plans import coding, containers, jpeg2000
+from rasterlake.plans import bitmaps, coding, containers, jpeg2000
 from rasterlake.plans.queries import HEADERS, NAMES, PALETTE, WIDE
 
 EMB = """emb AS (SELECT vec_id AS image_id, (p - 1) // 8 AS y, (p - 1) % 8 AS x,
@@ -328,7 +328,7 @@ SQL |= {
     **{f"rgba_{k}": EXPLODED.replace(EMB, EMB4) for k in ("png", "bmp", "tga", "qoi")},
 }
 SQL["tiff_luma"] = f"SELECT image_id, x, trunc(r0)::INT AS r, trunc(g0)::INT AS g, trunc(b0)::INT AS b FROM ({SQL['tiff_luma']})"
-SQL |= containers.SQL | coding.sql(EMB) | jpeg2000.sql(EMB, LINE)
+SQL |= containers.SQL | bitmaps.sql(EMB) | coding.sql(EMB) | jpeg2000.sql(EMB, LINE)
 SQL["tiff_pixels"] = f"""WITH {RGBA} SELECT image_id, 0 AS directory, y, x, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE r END::INT AS r, CASE image_id % 7 WHEN 4 THEN 255 - r ELSE g END::INT AS g,
   CASE image_id % 7 WHEN 4 THEN 255 - r ELSE b END::INT AS b, CASE image_id % 7 WHEN 4 THEN 255 ELSE a END::INT AS a FROM px WHERE image_id % 7 <> 5"""
 SQL |= {f"filter_frames_{k}": SQL[f"filter_{k}"] for k in ("up", "average", "paeth")} | {f"filter_{k}_frames_round_trip": SQL["filter_up_round_trip"] for k in ("sub", "average", "paeth")}

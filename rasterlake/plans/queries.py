@@ -12,7 +12,7 @@ from rasterlake.functions import color, formats, headers, rgba, samples, sql
 from rasterlake.functions.rgba import made
 from rasterlake.operators import animation, frames, palette, prediction, tiff, transforms
 from rasterlake.operators.resize import resize
-from rasterlake.plans import coding, containers, jpeg2000
+from rasterlake.plans import bitmaps, coding, containers, jpeg2000
 from rasterlake.plans.tables import emb_frames, emb_rgba, event_pixels, line_pixels, order_pixels, table
 from rasterlake.sources.files import decode_frames, encode_frames, read_files, write_files
 from rasterlake.streaming.images import stream_frames
@@ -560,6 +560,7 @@ QUERIES = {
     **{f"rgba_{k}": rgba_round_trip(k) for k in ("png", "bmp", "tga", "qoi")},
     **{f"codec_{k}": codec_round_trip(k) for k in ("png", "bmp", "tga", "qoi", "pgm", "ppm")},
     **containers.QUERIES,
+    **bitmaps.QUERIES,
     **coding.QUERIES,
     **jpeg2000.QUERIES,
 }

@@ -129,8 +129,11 @@ class Landmarks:
         self.letters = np.unique(codes)[1:]
         place, key, weight = self.triples(codes)
         self.keys, at = np.unique(key, return_inverse=True)
-        self.weight = np.zeros((len(self.keys) + 1, len(marks)), dtype=np.float32)
-        np.add.at(self.weight, (at, place), weight)
+        # Of each key the landmarks that have it, next to each other, and its weight in them.
+        held, which = np.unique(at * len(marks) + place, return_inverse=True)
+        self.mark, self.weight = held % max(len(marks), 1), np.bincount(which, weight, len(held))
+        self.first = np.searchsorted(held, np.arange(len(self.keys) + 1) * len(marks))
+        self.marks = len(marks)
         self.table = None
         if (len(self.letters) + 1) ** 3 <= DENSE:
             self.table = np.full((len(self.letters) + 1) ** 3, len(self.keys), dtype=np.int32)
@@ -178,13 +181,11 @@ class Landmarks:
         row, key, weight = self.triples(codes)
         found = self.placed(key)
         hit = np.flatnonzero(found < len(self.keys))
-        hit = hit[np.argsort(row[hit], kind="stable")]
-        row = row[hit]
-        out = np.zeros((len(codes), self.weight.shape[1]), dtype=np.float32)
-        if len(row):
-            new = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
-            out[row[new]] = np.add.reduceat(self.weight[found[hit]] * weight[hit, None], new, axis=0)
-        return out
+        found, row, weight = found[hit], row[hit], weight[hit]
+        many = self.first[found + 1] - self.first[found]
+        at = np.arange(many.sum()) + np.repeat(self.first[found] - (np.cumsum(many) - many), many)
+        pair = np.repeat(row * self.marks, many) + self.mark[at]
+        return np.bincount(pair, self.weight[at] * np.repeat(weight, many), len(codes) * self.marks).astype(np.float32).reshape(len(codes), self.marks)
 
     def kernels(self, codes: np.ndarray) -> np.ndarray:
         """(word, landmark): how much of the landmark the word holds, the kernel in terms of the landmark's own; 1 at most."""
@@ -197,7 +198,7 @@ class Landmarks:
 
     def likeness(self, texts: list[str | None]) -> np.ndarray:
         """(text, twice the landmarks): the words' largest kernels, and the logarithms of how many in a hundred are alike."""
-        n = self.weight.shape[1]
+        n = self.marks
         most, total, words = np.zeros((len(texts), n), dtype=np.float32), np.zeros((len(texts), n)), np.zeros(len(texts))
         at, chars = 0, 0
         for end, t in enumerate(texts, 1):
@@ -207,15 +208,17 @@ class Landmarks:
             parts = parts_of(texts[at:end])
             one, which = parts.different()
             k = np.concatenate([self.kernels(parts.codes(one[i : i + CHUNK])) for i in range(0, len(one), CHUNK)] or [np.zeros((0, n), dtype=np.float32)])
-            power = k**MEAN
+            power = k.astype(np.float64) ** MEAN
             order = np.argsort(parts.text, kind="stable")
             for i in range(0, len(order), 8 * CHUNK):
                 some = order[i : i + 8 * CHUNK]
                 text = at + parts.text[some]
-                new = np.flatnonzero(np.concatenate([[True], np.diff(text) > 0]))
-                most[text[new]] = np.maximum(most[text[new]], np.maximum.reduceat(k[which[some]], new, axis=0))
-                total[text[new]] += np.add.reduceat(power[which[some]], new, axis=0, dtype=np.float64)
-                words[text[new]] += np.diff(new, append=len(some))
+                cuts = [0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(some)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    own, t = which[some[a:b]], text[a]
+                    most[t] = np.maximum(most[t], k[own].max(axis=0))
+                    total[t] += power[own].sum(axis=0)
+                    words[t] += b - a
             at, chars = end, 0
         return np.hstack([most**MOST, np.log1p(100 * total / (words + SMOOTH)[:, None]).astype(np.float32)])
 

@@ -46,7 +46,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links of five-word Jaccard similarity 0.8 join; SimHash finds the candidates.
+    """Keeps one document of each group that links of five-word Jaccard similarity 0.8 join; SimHash and the chains of its
+    rings (pigeonring) find the candidates.
 
     - null, empty and blank texts are copies of each other; rows with a null id stay and stand for none.
     - texts of any length are read whole; the smallest id stays, of ties on it the smaller text hash; repeated rows stay

@@ -3,7 +3,10 @@
 A fingerprint is cut into max_bits + 1 segments on a ring. If two fingerprints differ in at most max_bits bits, some
 segment starts a chain whose every prefix stays within its share of the budget: l segments in a row differ in at most
 l * max_bits / (max_bits + 1) bits. Links are therefore looked for among fingerprints with an equal segment, pruned by
-the longer chains, and then checked over all 64 bits.
+the longer chains, and then checked over all bits.
+
+simhash_groups does so with one ring of 64 bits. Links by Jaccard similarity are looser: their candidates are found on many
+short rings of a wide SimHash, in the same way, and are then confirmed on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ BLOCK = 512
 #: Bits of a segment from which it is a key of its own.
 SELECTIVE = 16
 #: For links by Jaccard similarity: the least bits of a key, documents that should share one by chance, the share of the bits that
-#: differ and the share of pairs to be found at a similarity of 0.8, and how many of 128 other bits may differ.
+#: differ and the share of pairs to be found at a similarity of 0.8, and how many of 128 bits may differ.
 LEAST_BITS, BY_CHANCE, FLIPPED, FOUND, CHECK_BITS = 13, 32, 0.15, 0.976, 28
+#: For their rings: in how many bits candidates may differ on one, the share of pairs to be found at a similarity of 0.8, and by how
+#: many bits the chains' keys are shorter than those of key_plan, as all prints of a bucket are compared at once.
+RING_BITS, ON_RINGS, SHORTER = 2, 0.99, 5
 #: Bytes of the sets in a block, at most about.
 BLOCK_BYTES = 16 << 20
 
@@ -48,57 +54,56 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def segments(max_bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of max_bits + 1 segments of about the same size."""
-    cuts = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+def segments(max_bits: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of max_bits + 1 segments of about the same size, on a ring of so many bits."""
+    cuts = [bits * i // (max_bits + 1) for i in range(max_bits + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def chained(x: np.ndarray, start: int, max_bits: int) -> np.ndarray:
+def chained(x: np.ndarray, start: int, max_bits: int, bits: int = 64) -> np.ndarray:
     """Whether in the differences x each chain from segment `start` on stays within its budget."""
-    seg = segments(max_bits)
+    seg = segments(max_bits, bits)
     ok, total = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=np.int64)
     for length in range(1, len(seg) + 1):
-        low, bits = seg[(start + length - 1) % len(seg)]
-        total += np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << bits) - 1))
+        low, own = seg[(start + length - 1) % len(seg)]
+        total += np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << own) - 1))
         ok &= total * len(seg) <= length * max_bits
     return ok
 
 
-def links_of(start: int, left: np.ndarray, right: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs that link between two blocks of a bucket: the shortest chains prune first."""
-    near = near_masks(max_bits)[start]
+def links_of(start: int, left: np.ndarray, right: np.ndarray, max_bits: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that link between two blocks of a bucket, on a ring of their lowest bits: the shortest chains prune first."""
+    near = near_masks(max_bits, bits)[start]
     x = left[:, None] ^ right[None, :]
     i, j = np.nonzero(np.bitwise_count(x & near) * (max_bits + 1) <= 2 * max_bits)
     x = x[i, j]
-    ok = chained(x, start, max_bits)
-    ok &= np.bitwise_count(x) <= max_bits
+    ok = chained(x, start, max_bits, bits)
+    ok &= np.bitwise_count(x & np.uint64((1 << bits) - 1)) <= max_bits
     return i[ok], j[ok]
 
 
-def chain_keys(max_bits: int) -> list[Column]:
+def chain_keys(max_bits: int, bits: int = 64) -> list[Column]:
     """Structs (start, half, value): fingerprints that link have one of them in common.
 
     A chain begins with an equal segment. Where segments are short, a part of the next one is in the key too: a chain of
     two differs in at most one bit, so that one half of its second segment is equal as well.
     """
-    part = lambda low, bits: F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1)
-    seg, out = segments(max_bits), []
-    for k, (low, bits) in enumerate(seg):
+    part = lambda low, own: F.shiftrightunsigned("fp", low).bitwiseAND((1 << own) - 1)
+    seg, out = segments(max_bits, bits), []
+    for k, (low, own) in enumerate(seg):
         low2, bits2 = seg[(k + 1) % len(seg)]
-        if bits >= SELECTIVE:
-            out.append(F.struct(F.lit(k).alias("start"), F.lit(0).alias("half"), part(low, bits).alias("value")))
+        if own >= SELECTIVE:
+            out.append(F.struct(F.lit(k).alias("start"), F.lit(0).alias("half"), part(low, own).alias("value")))
             continue
         cut = bits2 // 2
         for half, (l2, b2) in enumerate(((low2, cut), (low2 + cut, bits2 - cut))):
-            out.append(F.struct(F.lit(k).alias("start"), F.lit(half).alias("half"), (part(low, bits) * (1 << b2) + part(l2, b2)).alias("value")))
+            out.append(F.struct(F.lit(k).alias("start"), F.lit(half).alias("half"), (part(low, own) * (1 << b2) + part(l2, b2)).alias("value")))
     return out
 
 
-def near_masks(max_bits: int) -> np.ndarray:
+def near_masks(max_bits: int, bits: int = 64) -> np.ndarray:
     """For each start, the bits of its first two segments."""
-    seg = segments(max_bits)
-    ones = np.array([((1 << bits) - 1) << low for low, bits in seg], dtype=np.uint64)
+    ones = np.array([((1 << own) - 1) << low for low, own in segments(max_bits, bits)], dtype=np.uint64)
     return ones | np.roll(ones, -1)
 
 
@@ -193,6 +198,15 @@ def key_plan(docs: int) -> tuple[int, int]:
     return math.ceil(math.log(1 - FOUND) / math.log1p(-((1 - FLIPPED) ** bits))), bits
 
 
+def ring_plan(docs: int) -> tuple[int, int]:
+    """(rings, bits of each) for so many documents: bits for keys of the chains, of one and a half segments, that are SHORTER than those of
+    key_plan; and as many rings as find ON_RINGS of the pairs whose bits differ in FLIPPED of all places. Rings, and
+    with them keys and comparisons of a document, grow as about the cube root of the documents."""
+    bits = 2 * (RING_BITS + 1) * (key_plan(docs)[1] - SHORTER) // 3
+    near = sum(math.comb(bits, k) * FLIPPED**k * (1 - FLIPPED) ** (bits - k) for k in range(RING_BITS + 1))
+    return math.ceil(math.log(1 - ON_RINGS) / math.log1p(-near)), bits
+
+
 def wide_print(h: np.ndarray, words: int = 8) -> np.ndarray:
     """64 * words bits of SimHash of a set of hashes, each of which is mixed anew for each 64 bits."""
     z = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -205,22 +219,23 @@ def wide_print(h: np.ndarray, words: int = 8) -> np.ndarray:
     return ones * 2 > len(h)
 
 
-def shingle_sets(words: int, n: int, width: int):
-    """text -> node (a hash of its set of shingles), 128 bits of its wide print, and the n keys that the rest of it gives."""
-    small = n << width < 1 << 31
-    kind, wide = (np.int32, "int") if small else (np.int64, "bigint")
+def shingle_sets(words: int, rings: int, width: int):
+    """text -> node (a hash of its set of shingles), 64 bits of its wide print, and a print for each ring: the ring's own bits below, and
+    above them bits that are the same for all rings, so that the two prints tell 128 bits apart."""
 
-    @F.pandas_udf(f"node long, c0 long, c1 long, keys array<{wide}>")
+    @F.pandas_udf("node long, c long, rings array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        nodes, checks, keys = [], [], []
+        nodes, checks, prints = [], [], []
         for t in texts:
             h = np.unique(shingle_hashes(t, words))
-            bits = wide_print(h, -(-(128 + n * width) // 64))
+            bits = wide_print(h, -(-(128 + rings * width) // 64))
+            own = bits[128 : 128 + rings * width].reshape(rings, width).astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+            c, above = np.packbits(bits[:128]).view("<u8")
             nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
-            checks.append(np.packbits(bits[:128]).view("<i8"))
-            keys.append((bits[128 : 128 + n * width].reshape(n, width) @ (1 << np.arange(width)) + (np.arange(n) << width)).astype(kind))
-        c = np.array(checks, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "c0": c[:, 0], "c1": c[:, 1], "keys": keys})
+            checks.append(c)
+            prints.append((own | above >> np.uint64(width) << np.uint64(width)).view(np.int64))
+        nodes, checks = (np.array(x, dtype=np.uint64).view(np.int64) for x in (nodes, checks))
+        return pd.DataFrame({"node": nodes, "c": checks, "rings": prints})
 
     return run
 
@@ -236,28 +251,47 @@ def trees(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the pairs in the rows (left, right) whose 128 bits differ in at most CHECK_BITS."""
-    for batch in batches:
-        sides = []
-        for name in ("left", "right"):
-            at, items = flat(batch.column(name))
-            sides.append((at, [items.field(k).to_numpy() for k in ("node", "c0", "c1")]))
-        found = []
-        (la, left), (ra, right) = sides
-        for row in range(batch.num_rows):
-            u = [x[la[row] : la[row + 1]] for x in left]
-            alone = ra[row] == ra[row + 1]
-            v = u if alone else [x[ra[row] : ra[row + 1]] for x in right]
-            for low in range(0, len(u[0]), 256):
-                part = slice(low, low + 256)
-                off = np.bitwise_count((u[1][part, None] ^ v[1]).view(np.uint64)) + np.bitwise_count((u[2][part, None] ^ v[2]).view(np.uint64))
-                i, j = np.nonzero(off <= CHECK_BITS)
-                if alone:
-                    i, j = i[i + low < j], j[i + low < j]
-                if len(i):
-                    found.append((u[0], i + low, j) if alone else (np.concatenate([u[0], v[0]]), i + low, j + len(u[0])))
-        yield trees(found)
+def likely_links(width: int):
+    """Forests of the pairs in the rows (start, left, right) that chains from segment `start` of a ring on link, and whose 128 bits
+    differ in at most CHECK_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, sides = batch.column("start").to_numpy(), []
+            for name in ("left", "right"):
+                at, items = flat(batch.column(name))
+                node, *prints = (items.field(k).to_numpy() for k in ("node", "c", "fp"))
+                sides.append((at, [node, *(x.view(np.uint64) for x in prints)]))
+            found = []
+            (la, left), (ra, right) = sides
+            for row in range(batch.num_rows):
+                u = [x[la[row] : la[row + 1]] for x in left]
+                alone = ra[row] == ra[row + 1]
+                v = u if alone else [x[ra[row] : ra[row + 1]] for x in right]
+                for low in range(0, len(u[0]), 256):
+                    first = low if alone else 0  # pairs within a block once
+                    i, j = links_of(int(start[row]), u[2][low : low + 256], v[2][first:], RING_BITS, width)
+                    i, j = i + low, j + first
+                    near = np.bitwise_count(u[1][i] ^ v[1][j]) + np.bitwise_count(u[2][i] ^ v[2][j]) <= CHECK_BITS
+                    if alone:
+                        near &= i < j
+                    if near.any():
+                        found.append((u[0], i[near], j[near]) if alone else (np.concatenate([u[0], v[0]]), i[near], j[near] + len(u[0])))
+            yield trees(found)
+
+    return run
+
+
+def likely_groups(prints: DataFrame, width: int) -> DataFrame:
+    """(node, component) of the candidates among the rows (node, c, rings), one for each node: on some ring they differ in at most
+    RING_BITS bits, and in at most CHECK_BITS of 128. All of them are found, by the chains of the rings; rows that link with none are left out."""
+    rings = prints.select("node", "c", F.posexplode("rings").alias("ring", "fp"))
+    members = rings.select("ring", F.struct("node", "c", "fp").alias("item"), F.explode(F.array(*chain_keys(RING_BITS, width))).alias("_s"))
+    # One number for a bucket: its ring, the start of its chains, the half and the value.
+    at = (F.col("ring") * (RING_BITS + 1) + F.col("_s.start")) * 2 + F.col("_s.half")
+    members = members.select(F.shiftleft(at.cast("long"), 32).bitwiseOR(F.col("_s.value")).alias("key"), "item")
+    start = F.pmod(F.shiftright("key", 33), F.lit(RING_BITS + 1)).cast("int").alias("start")
+    return components(bucket_blocks(members, ["key"], "item", 4 * BLOCK).select(start, "left", "right").mapInArrow(likely_links(width), "a long, b long"))
 
 
 def exact_links(least: float):
@@ -292,9 +326,10 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     """docs without the rows that a row of smaller id in their group stands for.
 
     Groups are what links of a Jaccard similarity of at least `least` between the sets of `words`-word shingles join.
-    Every link is confirmed on the whole sets. Candidates are found by SimHash: documents with a key of key_plan in common
-    that differ in at most CHECK_BITS of 128 other bits; then all pairs of a group of candidates are checked, in blocks of
-    bounded bytes. Of pairs at just 0.8 (15 % of the bits differ) about 96 % become candidates, above that more.
+    Every link is confirmed on the whole sets. Candidates are found by SimHash and pigeonring: documents that differ in at most
+    RING_BITS bits on one of the rings of ring_plan, and in at most CHECK_BITS of 128 bits; the rings' chains lose none of them.
+    Then all pairs of a group of candidates are checked, in blocks of bounded bytes. Of pairs at just 0.8 (15 % of the bits
+    differ) about 99 % become candidates, above that more.
 
     - rows with a null id stay, and stand for none; null, empty and blank texts are copies of each other.
     - texts under `words` words: one shingle. Repeated rows, and copies that share an id, stay once.
@@ -302,15 +337,13 @@ def one_of_each_group(docs: DataFrame, least: float = 0.8, words: int = 5, id_co
     """
     bounded_batches(docs.sparkSession)
     own = Carried(docs, id=id_col, text=text_col)
-    coded = own.df.withColumn("h", F.xxhash64("text")).withColumn("s", shingle_sets(words, *key_plan(docs.count()))("text"))
+    rings, width = ring_plan(docs.count())
+    coded = own.df.withColumn("h", F.xxhash64("text")).withColumn("s", shingle_sets(words, rings, width)("text"))
     # The rows' order and number hold from here on, as they are in the stored table.
     coded = stored(coded.select("row", "id", "h", "s.*"), "shingles")
     text = F.col(f"row.c{own.place(text_col)}")
 
-    spread = coded.select("node", "c0", "c1", "keys").dropDuplicates(["node"])
-    members = spread.select(F.explode("keys").alias("key"), F.struct("node", "c0", "c1").alias("item"))
-    likely = components(bucket_blocks(members, ["key"], "item", 4 * BLOCK).select("left", "right").mapInArrow(likely_links, "a long, b long"))
-    likely = stored(likely, "likely")
+    likely = stored(likely_groups(coded.select("node", "c", "rings").dropDuplicates(["node"]), width), "likely")
 
     hashes = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingle_hashes(t, words)).tobytes()), "binary")
     some = marked(coded, "node", *sieve(likely, "node")).where("_may")

@@ -167,3 +167,47 @@ def test_components(spark, monkeypatch, hot):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [12, 16, 26, 48, 64])
+def test_no_link_is_lost_on_short_rings(bits):
+    rnd, ring, got = random.Random(bits), (1 << bits) - 1, set()
+    for _ in range(1500):
+        x = sum(1 << b for b in rnd.sample(range(bits), rnd.randint(0, 5)))
+        above = rnd.getrandbits(64) & ~ring & (1 << 64) - 1  # bits above the ring count for nothing
+        a, b = np.array([x | above], dtype=np.uint64), np.zeros(1, dtype=np.uint64)
+        found = [len(simhash.links_of(k, a, b, 2, bits)[0]) == 1 for k in range(3)]
+        assert any(found) == (x.bit_count() <= 2)
+        got.add(any(found))
+    assert got == {True, False}
+
+
+def test_ring_plan():
+    assert simhash.ring_plan(0) == simhash.ring_plan(200_000) == (6, 16)
+    for docs in (10**6, 10**7, 10**9):
+        rings, bits = simhash.ring_plan(docs)
+        within = sum(simhash.math.comb(bits, k) * 0.15**k * 0.85 ** (bits - k) for k in range(3))
+        assert 1 - (1 - within) ** rings >= simhash.ON_RINGS and docs / 2 ** (bits // 2) <= simhash.BY_CHANCE << simhash.SHORTER
+
+
+def test_candidates_are_all_those_of_the_rings(spark, monkeypatch):
+    """By brute force: within 2 bits on some ring, and within 28 of 128."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)  # many blocks
+    rnd, width, rows = random.Random(3), 16, []
+    flip = lambda x, low, high, n: x ^ sum(1 << b for b in rnd.sample(range(low, high), n))
+    for _ in range(40):
+        c, above, rings = rnd.getrandbits(64), rnd.getrandbits(48) << width, [rnd.getrandbits(width) for _ in range(3)]
+        for _ in range(5):
+            high = flip(above, width, 64, rnd.randint(0, 9))
+            rows.append((len(rows) - 90, flip(c, 0, 64, rnd.randint(0, 12)), [high | flip(r, 0, width, rnd.randint(0, 4)) for r in rings]))
+    off = lambda a, b: [(a[1] ^ b[1]).bit_count() + (x ^ y).bit_count() for x, y in zip(a[2], b[2], strict=True)]
+    on = lambda a, b: [((x ^ y) & (1 << width) - 1).bit_count() for x, y in zip(a[2], b[2], strict=True)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if any(x <= 28 and y <= 2 for x, y in zip(off(rows[i], rows[j]), on(rows[i], rows[j]), strict=True))]
+    root = graph.forest(len(rows), *(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    linked = {k for p in pairs for k in p}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(n, signed(c), [signed(r) for r in rings]) for n, c, rings in rows], "node long, c long, rings array<long>")
+    got = {r.node: r.component for r in simhash.likely_groups(df, width).collect()}
+    assert got == {rows[k][0]: rows[root[k]][0] for k in linked}
+    assert 60 < len(linked) < len(rows)
+    assert any(min(on(rows[i], rows[j])) == 2 for i, j in pairs)

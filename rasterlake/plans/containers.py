@@ -10,22 +10,40 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions.rgba import made
 from rasterlake.operators import containers, tiff
-from rasterlake.plans.tables import SIDE, emb_rgba, table
+from rasterlake.plans.tables import SIDE, emb_rgba, parts, table
 
 
 def big_hex(v: Column, size: int) -> Column:
     return F.lpad(F.hex(v.cast("long")), 2 * size, "0")
 
 
-def little_hex(v: Column, size: int) -> Column:
-    digits = big_hex(v, size)
-    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+def once(v: Column, use) -> Column:
+    """What use makes of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
+
+
+def little_hex(v: Column | int, size: int) -> Column:
+    if isinstance(v, int):
+        return F.lit(v.to_bytes(size, "little").hex().upper())
+    return once(big_hex(v, size), lambda digits: F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+
+
+def riff_chunk(kind: str, data: Column) -> Column:
+    """A RIFF chunk of data in hexadecimal digits. The data is computed once: named four times in each of some chunks that hold one
+    another, it would be computed as often as the power of four by their depth."""
+    head, pad = F.lit(kind.encode().hex().upper()), lambda d: F.when(F.length(d) % 4 == 2, F.lit("00")).otherwise(F.lit(""))
+    return once(data, lambda d: F.concat(head, little_hex(F.length(d) / 2, 4), d, pad(d)))
 
 
 def joined(count: Column, piece) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), count.cast("int")), piece), "")
 
 
+def up_to_four(count: Column, piece) -> Column:
+    """The pieces of 1, 2, ... up to a count of at most four."""
+    return F.concat(*[F.when(count >= k, piece(k)).otherwise(F.lit("")) for k in range(1, 5)])
+
+
 def png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG files of a part: a header, its name, its brand as data, an end. The data of every fifth has a wrong check, every seventh
     file is cut within its end, and every eleventh within its data's check."""
@@ -62,15 +80,13 @@ def cursor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Animated cursors of a part: a header, icons in a list, for odd keys the rates of the first two steps, and for every third key
     a sequence that begins with a frame that is not there."""
     key, n = F.col("p_partkey"), F.col("p_size") % 4 + 1
-    chunk = lambda kind, data: F.concat(F.lit(kind.encode().hex().upper()), little_hex(F.length(data) / 2, 4), data, F.when(F.length(data) % 4 == 2, F.lit("00")).otherwise(F.lit("")))
     word = lambda v: little_hex(v, 4)
-    head = chunk("anih", F.concat(*[word(v) for v in (F.lit(36), n, n, F.lit(0), F.lit(0), F.lit(0), F.lit(0), key % 60 + 1, F.lit(1))]))
-    icons = chunk("LIST", F.concat(F.lit(b"fram".hex().upper()), joined(n, lambda k: chunk("icon", F.repeat(F.lit("EF"), (k + key % 3).cast("int"))))))
-    rate = F.when(key % 2 == 1, chunk("rate", F.concat(word(F.lit(7)), word(F.lit(8))))).otherwise(F.lit(""))
-    order = F.when(key % 3 == 0, chunk("seq ", F.concat(word(F.lit(9)), word(n - 1), word(F.lit(0))))).otherwise(F.lit(""))
+    head = riff_chunk("anih", F.concat(*[word(v) for v in (36, n, n, 0, 0, 0, 0, key % 60 + 1, 1)]))
+    icons = riff_chunk("LIST", F.concat(F.lit(b"fram".hex().upper()), up_to_four(n, lambda k: riff_chunk("icon", F.repeat(F.lit("EF"), (key % 3 + k).cast("int"))))))
+    rate = F.when(key % 2 == 1, riff_chunk("rate", F.concat(word(7), word(8)))).otherwise(F.lit(""))
+    order = F.when(key % 3 == 0, riff_chunk("seq ", F.concat(word(9), word(n - 1), word(0)))).otherwise(F.lit(""))
     body = F.concat(F.lit(b"ACON".hex().upper()), head, rate, order, icons)
-    whole = F.concat(F.lit(b"RIFF".hex().upper()), little_hex(F.length(body) / 2, 4), body)
-    return table(spark, sf_dir, "part").select("p_partkey", made(content=F.unhex(whole)))
+    return parts(spark, sf_dir, "p_size").select("p_partkey", made(content=F.unhex(riff_chunk("RIFF", body))))
 
 
 def tiff_frame(order: str, big: bool, size: int, tags: dict[int, tuple[str, list[int]]]) -> tuple[bytes, bytes]:

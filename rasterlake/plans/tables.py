@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of parts, dealt by key over as many tasks as a shuffle has: their table is small on disk and so read by one task or
+    a few, while the files made of its rows are work for all."""
+    return table(spark, sf_dir, "part").select("p_partkey", *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def emb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame for each vector; a component v is grey clamp((v + 0.5) * 255), opaque."""
     grey = F.transform("embedding", lambda v: clamp_byte((v.cast("double") + F.lit(0.5)) * 255))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import chunks, headers
 from rasterlake.operators import containers, tiff
-from rasterlake.plans.containers import tiff_frame, tiled_places
+from rasterlake.plans.containers import cursor_files, tiff_frame, tiled_places
 
 
 def png(*parts):
@@ -73,6 +73,16 @@ def test_frames_steps_and_loops(spark):
     assert {r.id: r.n for r in loops if r.n is not None} == {1: 5, 2: 263, 7: 5, 9: 5}
 
 
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_cursor_files_are_made_once_and_by_all_tasks(spark, sf_dir):
+    files = cursor_files(spark, sf_dir)
+    assert plan(files).count("repeat(EF") == 4  # once for each of up to four icons
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def picture(h, w, samples, bits, seed=0):
     return np.random.default_rng(seed).integers(0, 1 << bits, (h, w, samples), dtype=np.uint64)
 

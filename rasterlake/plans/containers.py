@@ -35,10 +35,6 @@ def riff_chunk(kind: str, data: Column) -> Column:
     return once(data, lambda d: F.concat(head, little_hex(F.length(d) / 2, 4), d, pad(d)))
 
 
-def joined(count: Column, piece) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(1), count.cast("int")), piece), "")
-
-
 def up_to_four(count: Column, piece) -> Column:
     """The pieces of 1, 2, ... up to a count of at most four."""
     return F.concat(*[F.when(count >= k, piece(k)).otherwise(F.lit("")) for k in range(1, 5)])
@@ -63,16 +59,14 @@ def webp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Animated WebP files of a part: 1 to 4 frames, of which the odd ones have an alpha plane before their data; the last frame of
     every fifth is cut, and every seventh file does not say that it is animated."""
     key, n = F.col("p_partkey"), F.col("p_size") % 4 + 1
-    chunk = lambda kind, data: F.concat(F.lit(kind.encode().hex().upper()), little_hex(F.length(data) / 2, 4), data, F.when(F.length(data) % 4 == 2, F.lit("00")).otherwise(F.lit("")))
-    data = lambda k: F.repeat(F.lit("AB"), (key % 7 + k).cast("int"))
-    alpha = lambda k: F.when(k % 2 == 1, chunk("ALPH", F.repeat(F.lit("CD"), k))).otherwise(F.lit(""))
-    image = lambda k: F.when(k % 4 == 0, chunk("VP8L", data(k))).otherwise(chunk("VP8 ", data(k)))
-    fields = lambda k: F.concat(little_hex(k, 3), little_hex(key % 50, 3), little_hex(key, 3), little_hex(k * 3, 3), little_hex(k * 10, 3), little_hex(k % 4, 1))
-    frame = lambda k: chunk("ANMF", F.concat(fields(k), alpha(k), image(k)))
-    head = chunk("VP8X", F.concat(little_hex(F.when(key % 7 == 0, 16).otherwise(18), 1), F.lit("000000"), little_hex(key, 3), little_hex(F.col("p_size"), 3)))
-    body = F.concat(F.lit(b"WEBP".hex().upper()), head, chunk("ANIM", F.concat(F.lit("11223344"), little_hex(key % 1000, 2))), joined(n, frame))
-    whole = F.concat(F.lit(b"RIFF".hex().upper()), little_hex(F.length(body) / 2, 4), body)
-    files = table(spark, sf_dir, "part").select("p_partkey", "p_size", made(whole=F.unhex(whole)))
+    place = F.concat(little_hex(key % 50, 3), little_hex(key, 3))  # a frame's row and its width
+    alpha = lambda k: riff_chunk("ALPH", F.lit("CD" * k)) if k % 2 else F.lit("")
+    image = lambda k: riff_chunk("VP8 " if k % 4 else "VP8L", F.repeat(F.lit("AB"), (key % 7 + k).cast("int")))
+    fields = lambda k: F.concat(little_hex(k, 3), F.col("place"), little_hex(k * 3, 3), little_hex(k * 10, 3), little_hex(k % 4, 1))
+    frame = lambda k: riff_chunk("ANMF", F.concat(fields(k), alpha(k), image(k)))
+    head = riff_chunk("VP8X", F.concat(F.when(key % 7 == 0, little_hex(16, 1)).otherwise(little_hex(18, 1)), F.lit("000000"), little_hex(key, 3), little_hex(F.col("p_size"), 3)))
+    body = F.concat(F.lit(b"WEBP".hex().upper()), head, riff_chunk("ANIM", F.concat(F.lit("11223344"), little_hex(key % 1000, 2))), up_to_four(n, frame))
+    files = parts(spark, sf_dir, "p_size").select("*", made(place=place)).select("p_partkey", "p_size", made(whole=F.unhex(riff_chunk("RIFF", body))))
     return files.select("p_partkey", "p_size", F.substring("whole", F.lit(1), F.length("whole") - F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).alias("content"))
 
 

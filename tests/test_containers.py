@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions import chunks, headers
 from rasterlake.operators import containers, tiff
-from rasterlake.plans.containers import cursor_files, tiff_frame, tiled_places
+from rasterlake.plans.containers import cursor_files, tiff_frame, tiled_places, webp_files
 
 
 def png(*parts):
@@ -83,6 +83,12 @@ def test_cursor_files_are_made_once_and_by_all_tasks(spark, sf_dir):
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_webp_files_are_made_once_and_by_all_tasks(spark, sf_dir):
+    files = webp_files(spark, sf_dir)
+    assert plan(files).count("repeat(AB") == 4  # once for each of up to four frames
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def picture(h, w, samples, bits, seed=0):
     return np.random.default_rng(seed).integers(0, 1 << bits, (h, w, samples), dtype=np.uint64)
 

@@ -39,9 +39,10 @@ def webp_frames(files: DataFrame) -> DataFrame:
     other, c = [n for n in files.columns if n != "content"], F.col("content")
     known = files.withColumn("__all", chunks_of(c))
     head = F.get(F.filter("__all", lambda x: (x["kind"] == "VP8X") & (x["size"] >= 10) & x["error"].isNull()), F.lit(0))
-    known = known.withColumn("__on", F.coalesce(little(c, head["start"], 1).bitwiseAND(2) > 0, F.lit(False)))
-    known = known.withColumn("__places", F.filter(F.transform("__all", lambda x, i: F.when((x["kind"] == "ANMF") & x["error"].isNull(), i)), lambda i: i.isNotNull()))
-    each = known.where("__on").withColumn("__at", F.explode("__places"))
+    moves = little(c, head["start"], 1).bitwiseAND(2) > 0
+    places = F.filter(F.transform("__all", lambda x, i: F.when((x["kind"] == "ANMF") & x["error"].isNull(), i)), lambda i: i.isNotNull())
+    # Not a filter or a column of its own: Spark would put that below the walk, and walk all files twice.
+    each = known.select("*", F.posexplode(F.when(moves, places)).alias("__idx", "__at"))
     frame, one, two = (F.get(F.col("__all"), F.col("__at") + k) for k in range(3))
     own = lambda x: (x["parent"] == F.col("__at")) & x["error"].isNull()
     alpha = own(one) & (one["kind"] == "ALPH")
@@ -51,12 +52,11 @@ def webp_frames(files: DataFrame) -> DataFrame:
     at = lambda k, n: little(c, F.col("__f") + k, n)
     flags, d = at(15, 1), F.col("__data")
     named = {
-        "at": F.col("__at"), "x": at(0, 3) * 2, "y": at(3, 3) * 2, "width": at(6, 3) + 1, "height": at(9, 3) + 1, "duration_ms": at(12, 3),
+        "x": at(0, 3) * 2, "y": at(3, 3) * 2, "width": at(6, 3) + 1, "height": at(9, 3) + 1, "duration_ms": at(12, 3),
         "blend": flags.bitwiseAND(2) == 0, "dispose": flags.bitwiseAND(1) != 0, "lossy": F.col("__alpha").isNotNull() | (d["kind"] == "VP8 "),
         "start": d["start"], "size": d["size"], "alpha_start": F.col("__alpha.start"), "alpha_size": F.col("__alpha.size"),
     }
-    before = F.size(F.filter("__places", lambda i: i < F.col("__at")))
-    return each.select(*other, before.alias("frame_idx"), *[v.alias(k) for k, v in named.items() if k != "at"])
+    return each.select(*other, F.col("__idx").alias("frame_idx"), *[v.alias(k) for k, v in named.items()])
 
 
 def cursor_steps(files: DataFrame) -> DataFrame:

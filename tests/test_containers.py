@@ -89,6 +89,13 @@ def test_webp_files_are_made_once_and_by_all_tasks(spark, sf_dir):
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_webp_frames_walks_files_once(spark):
+    files = spark.createDataFrame([(1, WEBP), (2, WEBP.replace(b"VP8X\x0a\0\0\0\2", b"VP8X\x0a\0\0\0\0")), (3, None)], "id long, content binary")
+    frames = containers.webp_frames(files)
+    assert plan(frames).count("ArrowEvalPython") == 1
+    assert [(r.id, r.frame_idx) for r in frames.orderBy("id", "frame_idx").collect()] == [(1, 0), (1, 1)]
+
+
 def picture(h, w, samples, bits, seed=0):
     return np.random.default_rng(seed).integers(0, 1 << bits, (h, w, samples), dtype=np.uint64)
 

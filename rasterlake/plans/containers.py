@@ -14,7 +14,8 @@ from rasterlake.plans.tables import SIDE, emb_rgba, parts, table
 
 
 def big_hex(v: Column, size: int) -> Column:
-    return F.lpad(F.hex(v.cast("long")), 2 * size, "0")
+    """The low bytes of a number that is not negative."""
+    return F.substring(F.lpad(F.hex(v.cast("long")), 16, "0"), 17 - 2 * size, 2 * size)
 
 
 def once(v: Column, use) -> Column:

@@ -13,7 +13,7 @@ from rasterlake.functions.rgba import made
 from rasterlake.operators import animation, frames, palette, prediction, tiff, transforms
 from rasterlake.operators.resize import resize
 from rasterlake.plans import bitmaps, coding, containers, jpeg2000
-from rasterlake.plans.tables import emb_frames, emb_rgba, event_pixels, line_pixels, order_pixels, table
+from rasterlake.plans.tables import emb_frames, emb_rgba, event_pixels, line_pixels, order_pixels, parts, table
 from rasterlake.sources.files import decode_frames, encode_frames, read_files, write_files
 from rasterlake.streaming.images import stream_frames
 
@@ -348,12 +348,12 @@ def packet_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def more_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old BMP, extended WebP and commented Netpbm headers with a part's key and size as sides, and loop counts."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    low = lambda v, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.lpad(F.hex(v.cast("long")), 2 * n, "0"), i * 2 + 1, F.lit(2)))), "")
+    low = containers.little_hex
     bmp = F.concat(F.lit("424D00000000000000000000" + "0000" + "0C000000"), low(key, 2), low(size, 2), F.lit("01001800"))
     webp = F.concat(F.lit("52494646240000005745425056503858" + "0A00000000000000"), low(key, 3), low(size - 1, 3), F.lit("414E494D06000000FFFFFFFF"), low(key % 1000, 2))
     gif = F.concat(F.lit("474946383961"), low(key, 2), low(size, 2), F.lit("00000021FF" + headers.NETSCAPE), low(key % 777, 2), F.lit("00"))
     pnm = F.concat(F.lit("P5 # it is "), F.col("p_name"), F.lit("\n"), key.cast("string"), F.lit(" #\n "), size.cast("string"), F.lit("\n255\n"))
-    t = table(spark, sf_dir, "part").select("p_partkey", made(bmp=F.unhex(bmp), webp=F.unhex(webp), gif=F.unhex(gif), pnm=F.encode(pnm, "utf-8")))
+    t = parts(spark, sf_dir, "p_name", "p_size").select("p_partkey", made(bmp=F.unhex(bmp), webp=F.unhex(webp), gif=F.unhex(gif), pnm=F.encode(pnm, "utf-8")))
     t = t.select("p_partkey", headers.header(F.col("bmp")).alias("b"), headers.header(F.col("webp")).alias("w"), headers.pnm_header(F.col("pnm")).alias("n"), headers.loop_count(F.col("gif")).alias("gif_loops"), headers.loop_count(F.col("webp")).alias("webp_loops"), headers.loop_count(F.col("bmp")).alias("no_loops"))
     return t.select("p_partkey", F.col("b.width").alias("bmp_width"), F.col("b.height").alias("bmp_height"), F.col("b.depth").alias("bmp_depth"), F.col("w.width").alias("webp_width"), F.col("w.height").alias("webp_height"), F.col("n.format").alias("pnm_format"), F.col("n.width").alias("pnm_width"), F.col("n.height").alias("pnm_height"), F.col("n.most").alias("pnm_most"), "gif_loops", "webp_loops", "no_loops")
 

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from conftest import same_rows
@@ -17,6 +18,15 @@ def test_query_against_sql(spark, sf_dir, duck, name):
     same_rows(QUERIES[name](spark, sf_dir), duck, SQL[name])
 
 
+def test_more_headers_of_keys_beyond_two_bytes(spark, sf_dir, tmp_path):
+    """Sides of two bytes hold the low bytes of a key, as its SQL says."""
+    keys = F.col("p_partkey") % 50 + F.when(F.col("p_partkey") % 2 == 0, 65_500).otherwise(1_000_000)
+    spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("p_partkey", keys).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    same_rows(QUERIES["more_headers"](spark, str(tmp_path)), con, SQL["more_headers"])
+
+
 def picture(height, width, alpha=True, seed=0):
     px = np.random.default_rng(seed).integers(0, 256, (height, width, 4), dtype=np.uint8)
     px[: height // 2, :, :] = px[0, 0]  # runs
